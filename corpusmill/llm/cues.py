@@ -17,8 +17,9 @@ _UZ = {
     "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "x", "ц": "ts", "ч": "ch", "ш": "sh",
     "щ": "sh", "ъ": "'", "ы": "i", "ь": "", "э": "e", "ю": "yu", "я": "ya", "ў": "o'", "қ": "q", "ғ": "g'", "ҳ": "h", "і": "i",
 }
-_APOSTROPHES = "‘’ʻʼ´`ʹ′＇"
-_APOSTROPHE = str.maketrans(dict.fromkeys(_APOSTROPHES, "'") | dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", None))
+_APOSTROPHES = "".join(map(chr, (0x2018, 0x2019, 0x2BB, 0x2BC, 0xB4, 0x60, 0x2B9, 0x2032, 0xFF07)))
+_UNSEEN = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)))
+_APOSTROPHE = str.maketrans(dict.fromkeys(_APOSTROPHES, "'") | dict.fromkeys(_UNSEEN, None))
 _TRANSLATE = str.maketrans(_UZ)
 _INITIAL = re.compile(r"\bе")
 
@@ -101,7 +102,7 @@ def empty(text: str | None) -> bool:
         return True
     if len(text) > 60:
         return not any(map(str.isalnum, text))
-    bare = plain(text).strip(" .,:;!?…-–—_*#<>[](){}/\\|\"'«»“”=+~^​")
+    bare = plain(text).strip(" .,:;!?…-–—_*#<>[](){}/\\|\"'«»“”=+~^" + _UNSEEN)
     return bare in PLACEHOLDERS or not any(map(str.isalnum, bare))
 
 

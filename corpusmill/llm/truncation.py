@@ -38,7 +38,7 @@ PHRASE_WORDS = 6
 
 _MARKS = re.compile(r"[\[\](){}«»“”]|<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>|```")
 _CLOSE = {"]": "[", ")": "(", "}": "{", "»": "«", "”": "“"}
-_BROKEN = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?\w{1,7}|</?[A-Za-z][^<>]{0,40}|[\ud800-\udfff])$")
+_BROKEN = re.compile(r"(?:\ufffd|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?\w{1,7}|</?[A-Za-z][^<>]{0,40}|[\ud800-\udfff])$")
 _ENDED = re.compile(r"[.!?…。][\"'»”’)\]]*$")
 _TRAILING = re.compile(r"\w(?:\.\.\.|…)$")
 _CITED = re.compile(r"\]\s*$")
@@ -83,7 +83,7 @@ def state(text: str | None) -> int:
     """WHOLE, CUT (structurally), OPEN_SENTENCE (no terminator where a sentence has one) or PHRASE."""
     if text is None:
         return WHOLE
-    s = text.rstrip(" \t\r\n ​⁠﻿")
+    s = text.rstrip(" \t\r\n\x0b\x0c" + chr(0xA0) + cues._UNSEEN)
     if not s or cues.empty(s):
         return WHOLE
     if _BROKEN.search(s, max(0, len(s) - 60)):
