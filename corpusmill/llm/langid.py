@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import vec
+from corpusmill.functions import vec
 
 #: n-grams kept in a language's profile.
 PROFILE_SIZE = 1500

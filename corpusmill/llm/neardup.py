@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.session import checkpointed
 
-from . import vec
+from corpusmill.functions import vec
 
 #: Words in more than this share of the records are ordered by their count.
 FREQUENT_SHARE = 0.0005

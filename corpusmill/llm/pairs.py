@@ -23,7 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import crf, cues, langid, truncation, vec
+from corpusmill.functions import vec
+
+from . import crf, cues, langid, truncation
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
