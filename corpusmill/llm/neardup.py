@@ -1,14 +1,16 @@
 """Near-duplicate records by the Jaccard similarity of their word sets: a grouped prefix join.
 
 1. Every record becomes its set of distinct words, as 64-bit hashes, rarest first. The order is global:
-   words in more than a FREQUENT_SHARE of the records by their count (there are at most mean set size /
-   FREQUENT_SHARE of them, a bound that does not grow with the corpus), all others before them by hash.
+   by the count of the word over all records, for the ORDERED_WORDS commonest words (a fixed number, so
+   what is broadcast is bounded), before them all rarer ones by hash. Any global order gives the exact
+   result; a better one only leaves fewer candidates.
 2. Records with the same set are one item; exact copies never meet each other in a join.
 3. Items with the same prefix and size are one group. Two sets can be similar enough only if their
    prefixes share a word: groups are joined on the words of their prefixes (the smaller one's shorter
-   index prefix against the larger one's probing prefix), filtered by size and by the position of the
-   word, and a pair is emitted at its first common word only.
-4. Pairs of groups are expanded to pairs of items and verified on the whole sets.
+   index prefix against the larger one's probing prefix) and filtered by size, by the position of the
+   word, and, for groups of one item, by a bitmap of the set: the bits in which two bitmaps differ are
+   a lower bound of the words in which the sets do.
+4. Pairs of groups are expanded to pairs of items, filtered by their bitmaps, and verified on the sets.
 
 A word in the prefixes of very many groups is split into blocks that meet block by block, so no task
 holds all of them. Hash collisions of two words of one pair are the only deviation from exact results
@@ -20,7 +22,6 @@ records of their own. Texts are treated whole, whatever their length. Extra colu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ from corpusmill.session import checkpointed
 
 from corpusmill.functions import vec
 
-#: Words in more than this share of the records are ordered by their count.
-FREQUENT_SHARE = 0.0005
-#: Most frequent words that are sent to the executors (8 + 8 bytes each).
-FREQUENT_MAX = 1_000_000
+#: Commonest words whose counts are sent to the executors (8 + 8 bytes each).
+ORDERED_WORDS = 1_000_000
+#: 64-bit words of an item's bitmap.
+BITMAP = 4
 #: Postings of one word that meet in one task at most, on each side.
 BLOCK = 2048
 
@@ -68,16 +69,16 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, words array<long>")
 
 
-def frequent_words(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the words in more than FREQUENT_SHARE of n records, sorted by hash; counted over all records."""
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") > max(1, FREQUENT_SHARE * n))
-    rows = counts.orderBy(F.desc("count"), "word").limit(FREQUENT_MAX).toPandas().sort_values("word")
+def word_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the ORDERED_WORDS commonest words, sorted by hash; counted over all records."""
+    counts = sets.select(F.explode("words").alias("word")).groupBy("word").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "word").limit(ORDERED_WORDS).toPandas().sort_values("word")
     return rows["word"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
-def _ordered(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The words of each set in the global order, rarest first."""
-    words, counts = frequent
+def _ordered(sets: DataFrame, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """item, size, words in the global order, rarest first, and the bitmap m0, m1 ..."""
+    words, counts = counted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,50 +90,72 @@ def _ordered(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
                 rank = np.where(words[at] == flat, counts[at], 0)
             order = np.lexsort((flat, rank, own))
-            pdf["words"] = _split(flat[order], own, len(pdf))
-            yield pdf
+            bits = flat.view(np.uint64) % np.uint64(64 * BITMAP)
+            bitmap = np.zeros((len(pdf), BITMAP), np.uint64)
+            np.bitwise_or.at(bitmap, (own, (bits >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bits & np.uint64(63)))
+            out = pd.DataFrame({"item": pdf["item"], "size": lengths.astype(np.int32), "words": _split(flat[order], own, len(pdf))})
+            for k in range(BITMAP):
+                out[f"m{k}"] = bitmap[:, k].view(np.int64)
+            yield out
 
-    return sets.mapInPandas(run, sets.schema)
+    return sets.select("item", "words").mapInPandas(run, "item long, size int, words array<long>, " + ", ".join(f"m{k} long" for k in range(BITMAP)))
 
 
-def similar_items(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _up(c: Column) -> Column:
+    """Ceiling, against 0.75 * 4 = 3.0000000000000004."""
+    return F.ceil(F.round(c, 9)).cast("int")
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(1, BITMAP)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+
+
+def _renamed(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    bitmap = [F.col(f"m{k}").alias(f"m{side}{k}") for k in range(BITMAP)]
+    return df.select(*[c for c in df.columns if c not in columns and not c.startswith("m")], *[F.col(c).alias(f"{c}_{side}") for c in columns], *bitmap)
+
+
+def similar_items(sets: DataFrame, threshold: float, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """sets(item, words), distinct sets -> (a, b, similarity) with a < b and similarity >= threshold."""
     t = float(threshold)
-    ordered = checkpointed(_ordered(sets.withColumn("size", F.size("words")).where("size > 0"), frequent))
+    maps = [f"m{k}" for k in range(BITMAP)]
+    ordered = checkpointed(_ordered(sets.where(F.size("words") > 0), counted))
     size = F.col("size")
-    up = lambda c: F.ceil(F.round(c, 9)).cast("int")  # noqa: E731 - against 0.75 * 4 = 3.0000000000000004
-    probe = size - up(t * size) + 1
-    index = size - up(2 * t / (1 + t) * size) + 1
-    grouped = ordered.select("item", "size", F.slice("words", F.lit(1), probe).alias("prefix"), index.alias("n_index"))
-    members = grouped.select("item", F.xxhash64("size", "prefix").alias("group"), "size", "prefix", "n_index")
-    groups = members.groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("n_index").alias("n_index"), F.count("*").alias("n_items"))
-
-    postings = groups.select("group", "size", "prefix", "n_index", F.posexplode("prefix").alias("pos", "word"))
-    # blocks of frequent prefix words: a word's groups are dealt by hash over as many blocks as its count needs
+    need = _up((t / (1 + t)) * (F.col("size_a") + F.col("size_b")))
+    alike = 2 * need + _differing("ma", "mb") <= F.col("size_a") + F.col("size_b")
+
+    prefixed = ordered.select("item", "size", F.slice("words", F.lit(1), size - _up(t * size) + 1).alias("prefix"), *maps)
+    members = prefixed.withColumn("group", F.xxhash64("size", "prefix"))
+    groups = checkpointed(members.groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n_items"), *[F.first(m).alias(m) for m in maps]))
+    # a group of several items has several bitmaps: none is used at this stage
+    single = F.col("n_items") == 1
+    n_index = size - _up(2 * t / (1 + t) * size) + 1
+    postings = groups.select("group", "size", n_index.alias("n_index"), F.posexplode("prefix").alias("pos", "word"), *[F.when(single, F.col(m)).alias(m) for m in maps])
+    # blocks of common prefix words: a word's groups are dealt by hash over as many blocks as its count needs
     heavy = postings.groupBy("word").count().where(F.col("count") > BLOCK).select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     postings = postings.join(heavy, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own_block = F.pmod(F.col("group"), F.col("blocks")).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    small = postings.where(F.col("pos") < F.col("n_index")).select("word", own_block.alias("i"), every_block.alias("j"), F.col("group").alias("ga"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("prefix").alias("xa"))
-    large = postings.select("word", every_block.alias("i"), own_block.alias("j"), F.col("group").alias("gb"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("prefix").alias("xb"))
-    need = up((t / (1 + t)) * (F.col("sa") + F.col("sb")))
+    columns = ["group", "size", "pos"]
+    small = _renamed(postings.where(F.col("pos") < F.col("n_index")).select("word", own_block.alias("i"), every_block.alias("j"), *columns, *maps), "a", columns)
+    large = _renamed(postings.select("word", every_block.alias("i"), own_block.alias("j"), *columns, *maps), "b", columns)
     met = small.join(large, ["word", "i", "j"]).where(
-        ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("ga") < F.col("gb"))))
-        & (F.col("sb") * t <= F.col("sa") + 1e-9)
-        & (1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= need)
+        ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("group_a") < F.col("group_b"))))
+        & (F.col("size_b") * t <= F.col("size_a") + 1e-9)
+        & (F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1) >= need)
+        & F.coalesce(alike, F.lit(True))
     )
-    # a pair of groups is kept at the first word that the two prefixes share; so nothing before it counts in the filter above
-    first_common = F.element_at(F.array_intersect("xa", "xb"), 1) == F.col("word")
-    group_pairs = met.where(first_common).select("ga", "gb")
+    group_pairs = met.select("group_a", "group_b").distinct()
     # groups of several items also hold pairs among themselves
-    within = groups.where("n_items > 1").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
-    of = members.select("group", "item")
+    within = groups.where("n_items > 1").select(F.col("group").alias("group_a"), F.col("group").alias("group_b"))
+    of = members.select("group", "item", "size", *maps)
     pairs = (
         group_pairs.unionByName(within)
-        .join(of.select(F.col("group").alias("ga"), F.col("item").alias("ia")), "ga")
-        .join(of.select(F.col("group").alias("gb"), F.col("item").alias("ib")), "gb")
-        .where((F.col("ga") != F.col("gb")) | (F.col("ia") < F.col("ib")))
-        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+        .join(_renamed(of, "a", ["group", "item", "size"]), "group_a")
+        .join(_renamed(of, "b", ["group", "item", "size"]), "group_b")
+        .where(((F.col("group_a") != F.col("group_b")) | (F.col("item_a") < F.col("item_b"))) & alike)
+        .select(F.least("item_a", "item_b").alias("a"), F.greatest("item_a", "item_b").alias("b"))
     )
     left = ordered.select(F.col("item").alias("a"), F.col("words").alias("wa"), F.col("size").alias("na"))
     right = ordered.select(F.col("item").alias("b"), F.col("words").alias("wb"), F.col("size").alias("nb"))
@@ -142,25 +165,24 @@ def similar_items(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray,
 
 
 def _items(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(sets by item, members by key, frequent words); an item is a distinct set, named by the least key that has it."""
+    """(sets by item, members by key, word counts); an item is a distinct set, named by the least key that has it."""
     rows = checkpointed(word_sets(df, key, text))
-    n = rows.count()
-    frequent = frequent_words(rows, n)
+    counted = word_counts(rows)
     full = rows.where(F.size("words") > 0).select("key", "words", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
     # a set held by a third of all rows is aggregated map-side: min() needs no list of its keys
     names = full.groupBy("h1", "h2").agg(F.min("key").alias("item"))
     members = full.select("key", "h1", "h2").join(names, ["h1", "h2"]).select("key", "item")
     sets = full.join(names.select(F.col("item").alias("key")), "key", "left_semi").select(F.col("key").alias("item"), "words")
-    return sets, members, frequent
+    return sets, members, counted
 
 
 def similar_rows(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(a, b) for every two rows with keys a < b whose word sets are similar enough, copies included.
 
     All pairs are the demanded result here; where groups do, use `classes`."""
-    sets, members, frequent = _items(df, key, text)
+    sets, members, counted = _items(df, key, text)
     members = checkpointed(members)
-    links = similar_items(sets, threshold, frequent).select("a", "b")
+    links = similar_items(sets, threshold, counted).select("a", "b")
     left, right = members.select(F.col("item").alias("a"), F.col("key").alias("ka")), members.select(F.col("item").alias("b"), F.col("key").alias("kb"))
     across = links.join(left, "a").join(right, "b")
     same = left.join(right, F.col("a") == F.col("b")).where(F.col("ka") < F.col("kb"))
@@ -190,8 +212,8 @@ def classes(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """One row per record: key, item (its class of equal sets), n_links (of its item to other items), component.
 
     Records without a word are classes of their own; so are those without a link."""
-    sets, members, frequent = _items(df, key, text)
-    links = checkpointed(similar_items(sets, threshold, frequent).select("a", "b"))
+    sets, members, counted = _items(df, key, text)
+    links = checkpointed(similar_items(sets, threshold, counted).select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("item")).groupBy("item").agg(F.count("*").alias("n_links"))
     grouped = members.join(degree, "item", "left").join(components(links), "item", "left")
     out = df.select(F.col(key).alias("key")).join(grouped, "key", "left")
