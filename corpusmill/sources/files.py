@@ -47,7 +47,7 @@ def write_csv(df: DataFrame, path: str) -> bool:
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """section_slug (the file's stem), text: every Markdown file of a folder, whole."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("section_slug"), F.col("value").alias("text"))
 
 
