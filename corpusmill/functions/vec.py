@@ -13,6 +13,8 @@ import unicodedata
 import numpy as np
 
 _MAX = sys.maxunicode + 1
+#: No letter or digit lies beyond.
+_LETTERS_END = 0x33480
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,7 +22,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 def lower_table() -> np.ndarray:
     """Code point -> its lower-case code point where that is a single one."""
     table = np.arange(_MAX, dtype=np.uint32)
-    for c in range(_MAX):
+    for c in range(_LETTERS_END):
         if not 0xD800 <= c <= 0xDFFF:
             low = chr(c).lower()
             if len(low) == 1:
@@ -31,7 +33,7 @@ def lower_table() -> np.ndarray:
 @functools.cache
 def letter_table() -> np.ndarray:
     table = np.zeros(_MAX, dtype=bool)
-    for c in range(_MAX):
+    for c in range(_LETTERS_END):
         if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha():
             table[c] = True
     return table
@@ -41,7 +43,7 @@ def letter_table() -> np.ndarray:
 def word_table() -> np.ndarray:
     """True for letters, digits (categories L and N) and the underscore."""
     table = np.zeros(_MAX, dtype=bool)
-    for c in range(_MAX):
+    for c in range(_LETTERS_END):
         if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c))[0] in "LN":
             table[c] = True
     table[ord("_")] = True

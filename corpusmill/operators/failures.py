@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as tx
 
@@ -17,6 +17,16 @@ def misses(results: DataFrame, gold: DataFrame, ids: str = "retrieved_chunk_ids"
     return joined.where(~F.arrays_overlap(F.slice(ids, 1, top), "gold_ids") | (F.size("gold_ids") == 0))
 
 
+def _word_hashes(c: Column) -> Column:
+    """Distinct words as 64-bit hashes, which are shorter to move and to compare."""
+    return F.transform(tx.token_set(F.coalesce(c, F.lit(""))), lambda w: F.xxhash64(w))
+
+
+def _shared(words: str) -> Column:
+    """Share of the question's words that `words` has; 0.0 if it has no words."""
+    return F.when(F.size("q_words") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q_words", words)) / F.size("q_words"))
+
+
 def categorize(missed: DataFrame, questions: DataFrame, chunks: DataFrame, result_key: str, ids: str = "retrieved_chunk_ids", question_key: tuple[str, ...] = ("qid",), question_position: str = "question_row", top: int = TOP) -> DataFrame:
     """result_key, the question's columns, gold_chunk_id, category, boundary_or_course, question_gold_overlap, best_retrieved_overlap.
 
@@ -26,19 +36,20 @@ def categorize(missed: DataFrame, questions: DataFrame, chunks: DataFrame, resul
 
     `question_key` ("qid",) looks questions up by qid alone, the last one winning; with ("qid", "language")
     each result meets the question of its own language. Results whose first gold chunk is unknown are left
-    out (`orphans` finds them); unknown retrieved chunks are ignored. Chunk texts meet only the few ids of
-    missed results, by equi-joins on chunk_id, and are reduced to an overlap at once."""
+    out (`orphans` finds them); unknown retrieved chunks are ignored. Every text is cut into words once, and
+    only the word sets of questions and chunks travel; they meet by equi-joins on chunk_id."""
     asked = last_per_key(questions.select(*question_key, F.col("course_id").alias("q_course"), F.col("language").alias("q_language"), "question_type", "question_text", question_position), list(question_key), question_position).drop(question_position)
-    table = chunks.groupBy("chunk_id").agg(F.max(F.struct("doc_id", "course_id", "text")).alias("c")).select("chunk_id", "c.*")
+    asked = asked.withColumn("q_words", _word_hashes(F.col("question_text")))
+    table = chunks.groupBy("chunk_id").agg(F.max(F.struct("doc_id", "course_id", "text")).alias("c")).select("chunk_id", "c.doc_id", "c.course_id", _word_hashes(F.col("c.text")).alias("words"))
     base = missed.join(asked, list(question_key)).where(F.size("gold_ids") > 0).withColumn("gold_chunk_id", F.element_at("gold_ids", 1))
-    gold = table.select(F.col("chunk_id").alias("gold_chunk_id"), F.col("doc_id").alias("gold_doc"), F.col("text").alias("gold_text"))
-    base = base.join(gold, "gold_chunk_id").withColumn("question_gold_overlap", tx.overlap_ratio(F.col("question_text"), F.col("gold_text"))).drop("gold_text")
-    long = base.select(result_key, "question_text", "q_course", "gold_doc", "gold_chunk_id", F.explode(F.slice(ids, 1, top)).alias("chunk_id"))
+    gold = table.select(F.col("chunk_id").alias("gold_chunk_id"), F.col("doc_id").alias("gold_doc"), F.col("words").alias("gold_words"))
+    base = base.join(gold, "gold_chunk_id").withColumn("question_gold_overlap", _shared("gold_words")).drop("gold_words")
+    long = base.select(result_key, "q_words", "q_course", "gold_doc", "gold_chunk_id", F.explode(F.slice(ids, 1, top)).alias("chunk_id"))
     seen = long.join(table, "chunk_id").groupBy(result_key).agg(
         F.max(F.col("doc_id") == F.col("gold_doc")).alias("same_doc"),
         F.max(tx.chapter_prefix(F.col("chunk_id")) == tx.chapter_prefix(F.col("gold_chunk_id"))).alias("same_chapter"),
         F.max(F.coalesce(F.col("course_id") == F.col("q_course"), F.lit(False))).alias("same_course"),
-        F.max(tx.overlap_ratio(F.col("question_text"), F.col("text"))).alias("best"),
+        F.max(_shared("words")).alias("best"),
     )
     no = F.lit(False)
     joined = base.join(seen, result_key, "left")
@@ -46,7 +57,7 @@ def categorize(missed: DataFrame, questions: DataFrame, chunks: DataFrame, resul
     course, best = F.coalesce(F.col("same_course"), no), F.coalesce(F.col("best"), F.lit(0.0))
     category = F.when(boundary, "chunk_boundary").when(~course, "domain_confusion").when(F.col("q_language") == "uz", "cross_lingual").when(best > F.col("question_gold_overlap"), "term_mismatch").otherwise("other")
     named = {"q_course": "course_id"}
-    kept = [c for c in joined.columns if c not in ("same_doc", "same_chapter", "same_course", "best", "gold_doc", "course_id")]
+    kept = [c for c in joined.columns if c not in ("same_doc", "same_chapter", "same_course", "best", "gold_doc", "course_id", "q_words")]
     return joined.select(*[F.col(c).alias(named.get(c, c)) for c in kept], category.alias("category"), (boundary | course).alias("boundary_or_course"), F.round(best, 6).alias("best_retrieved_overlap")).withColumn("question_gold_overlap", F.round("question_gold_overlap", 6))
 
 

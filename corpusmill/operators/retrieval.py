@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as tx, vec
+from corpusmill.session import checkpointed
 
 #: Queries that are scored in one pass over the corpus.
 QUERY_BLOCK = 2000
@@ -44,7 +45,11 @@ def corpus_size(corpus: DataFrame, text: str) -> DataFrame:
 
 def term_weights(corpus: DataFrame, text: str) -> DataFrame:
     """term, df, idf: ln((N - df + 0.5) / (df + 0.5)), negative ones set to a quarter of the vocabulary's mean."""
-    raw = document_frequencies(corpus, text).join(F.broadcast(corpus_size(corpus, text).select("n_rows")))
+    return _weighted(document_frequencies(corpus, text), corpus_size(corpus, text))
+
+
+def _weighted(frequencies: DataFrame, size: DataFrame) -> DataFrame:
+    raw = frequencies.join(F.broadcast(size.select("n_rows")))
     raw = raw.withColumn("idf0", F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("mean_idf"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(0.25 * F.col("mean_idf")).alias("idf"))
@@ -65,8 +70,11 @@ class _Block:
 def _blocks(queries: DataFrame, corpus: DataFrame, key: str, text: str, corpus_text: str) -> list[_Block]:
     """The queries' words with their weights, on the driver: bounded by the query set, not by the corpus."""
     words = queries.select(F.col(key).alias("q"), F.explode_outer(tx.tokens(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
-    weighted = words.join(term_weights(corpus, corpus_text), "term", "left").select("q", "term", "n", "idf").orderBy("q", "term").toPandas()
-    avgdl = corpus_size(corpus, corpus_text).first()["avgdl"] or 1.0
+    # the corpus is read twice: for its size and for its vocabulary, which is written once and read for the mean and for the queries' words
+    size = corpus.sparkSession.createDataFrame([tuple(corpus_size(corpus, corpus_text).first())], "n_rows long, avgdl double")
+    avgdl = size.first()["avgdl"] or 1.0
+    frequencies = checkpointed(document_frequencies(corpus, corpus_text))
+    weighted = words.join(_weighted(frequencies, size), "term", "left").select("q", "term", "n", "idf").orderBy("q", "term").toPandas()
     names = sorted(set(weighted["q"]))
     out = []
     for i in range(0, len(names), QUERY_BLOCK):
@@ -110,11 +118,23 @@ def _score(texts: list[str], block: _Block, k1: float, b: float) -> tuple[np.nda
 
 
 def _best(values: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of the k greatest of each column of [rows, columns]; ties by name."""
+    """(rows, columns) of the k greatest of each column of [rows, columns]; ties by name. In no order of rank.
+
+    A partition finds each column's k-th value; of the rows that equal it, the first by name fill up."""
     order = np.argsort(names, kind="stable")
-    sorted_values = values[order]
-    top = np.argsort(-sorted_values, axis=0, kind="stable")[:k]
-    return order[top], np.broadcast_to(np.arange(values.shape[1]), top.shape)
+    by_column = np.ascontiguousarray(values[order].T)
+    n = by_column.shape[1]
+    if n <= k:
+        rows = np.tile(order, len(by_column))
+        return rows, np.repeat(np.arange(len(by_column)), n)
+    limit = np.partition(by_column, n - k, axis=1)[:, n - k]
+    rows, columns = [], []
+    for c, (x, least) in enumerate(zip(by_column, limit)):
+        above = np.flatnonzero(x > least)
+        chosen = np.concatenate([above, np.flatnonzero(x == least)[: k - len(above)]])
+        rows.append(order[chosen])
+        columns.append(np.full(len(chosen), c))
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, query_key: str, query_text: str, key: str, text: str, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
@@ -135,7 +155,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, query_key: str, query_text: str,
                 scores, shared = _score([t if t is not None else "" for t in pdf["text"]], block, k1, b)
                 for fallback, values in ((False, np.round(scores, 10)), (True, shared.astype(float))):
                     rows, columns = _best(values, names, k)
-                    yield pd.DataFrame({"q": np.array(block.names)[columns.ravel()], "d": names[rows.ravel()], "fallback": fallback, "score": values[rows.ravel(), columns.ravel()]})
+                    yield pd.DataFrame({"q": np.array(block.names)[columns], "d": names[rows], "fallback": fallback, "score": values[rows, columns]})
 
         return corpus.select(F.col(key).alias("d"), F.col(text).alias("text")).mapInPandas(run, schema)
 
@@ -168,7 +188,7 @@ def inner_product(queries: DataFrame, corpus: DataFrame, query_key: str, query_v
                 if len(pdf):
                     values = np.round(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ block.T, 10)
                     best, columns = _best(values, pdf["d"].to_numpy(), k)
-                    yield pd.DataFrame({"q": names[columns.ravel()], "d": pdf["d"].to_numpy()[best.ravel()], "score": values[best.ravel(), columns.ravel()]})
+                    yield pd.DataFrame({"q": names[columns], "d": pdf["d"].to_numpy()[best], "score": values[best, columns]})
 
         return corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("d"), F.col(vector).alias("v")).mapInPandas(run, f"q {query_type}, d {key_type}, score double")
 
