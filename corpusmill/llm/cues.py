@@ -96,6 +96,16 @@ def plain(text: str) -> str:
     return _SPACE.sub(" ", text.lower().replace("`", "'")).strip()
 
 
+_LATIN_UZ = sorted(((b, a) for a, b in _UZ.items() if b and a not in "щыіцъэ" and len(b) > 0), key=lambda x: -len(x[0]))
+_TO_CYRILLIC = re.compile("|".join(re.escape(a) for a, _ in _LATIN_UZ))
+
+
+def cyrillic(text: str) -> str:
+    """Uzbek in Latin letters in its Cyrillic spelling, in lower case; good enough for letter statistics."""
+    table = dict(_LATIN_UZ)
+    return _TO_CYRILLIC.sub(lambda m: table[m.group()], text.lower().translate(_APOSTROPHE))
+
+
 def empty(text: str | None) -> bool:
     """Null, blank, or only a placeholder or marks."""
     if text is None:

@@ -34,7 +34,7 @@ TRAIN_ROWS = 1500
 #: Rows of the language sample table that are read at most.
 SAMPLE_ROWS = 100_000
 #: Log-likelihood by which another language must lead over a clause.
-LANGUAGE_RATIO = 9.0
+LANGUAGE_RATIO = 18.0
 #: Trigrams of a question from which its language is judged.
 LANGUAGE_GRAMS = 12
 #: Log-probability per trigram by which another language must lead.
@@ -77,7 +77,8 @@ def clauses(text: str) -> list[str]:
             m = cues.TURN.search(low, 0, 90)
             if m and len(low) == len(p) and m.start() >= 10 and len(low[m.end() :].split()) >= 4:
                 left = low[: m.start()]
-                if len(left.split()) <= 10 and _RESERVES.search(cues.plain(left)):
+                # an apology before a refusal is part of it
+                if len(left.split()) <= 10 and _RESERVES.search(cues.plain(left)) and not cues.REFUSAL.search(cues.plain(low[m.end() :])):
                     turn = m
         if turn:
             out += [p[: turn.start()] + ",", p[turn.end() :]]
@@ -86,7 +87,7 @@ def clauses(text: str) -> list[str]:
     return out or ([bare] if bare else [])
 
 
-_RESERVES = re.compile(r"\b(?:cannot|can't|not|sorry|hard|difficult|unsure|unclear|uncertain|apolog\w+|unfortunately|no|aniq|qiyin|kechirasiz|afsuski|uzr|uzun\w*|ochiq|bilmayman|emas|aytilmagan|uncertainty|long)\b")
+_RESERVES = re.compile(r"\b(?:cannot|can't|not|sorry|hard|difficult|unsure|unclear|uncertain|apolog\w+|unfortunately|long answer|aniq aytish|aytish qiyin|kechirasiz|afsuski|uzr|javob uzun\w*|ochiq ayt\w*|bilmayman|aytilmagan)\b")
 
 
 def _words(plain: str) -> list[str]:
@@ -255,13 +256,19 @@ def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, seed:
 def fit(questions: DataFrame, samples: DataFrame) -> tuple[crf.CRF, langid.Trigrams]:
     """Trigrams from the language samples; the field from TRAIN_ROWS pairs, the smallest by hash."""
     s = samples.select("language", "text").where("text is not null and language is not null").limit(SAMPLE_ROWS).toPandas()
-    trigrams = langid.Trigrams.fit(list(s["text"]), list(s["language"]))
+    trigrams = fit_trigrams(list(s["text"]), list(s["language"]))
     rows = questions.select("question_row", "question_text", "reference_answer").where("question_text is not null and reference_answer is not null")
     rows = rows.orderBy(F.xxhash64("question_row")).limit(TRAIN_ROWS).select("question_text", "reference_answer").toPandas()
     qs, answers, tags = training_set(list(rows.itertuples(index=False, name=None)), trigrams)
     return train(qs, answers, tags, trigrams), trigrams
 
 
+def fit_trigrams(texts: list[str], languages: list[str]) -> langid.Trigrams:
+    """Trigrams of the samples; Uzbek ones in Latin letters count in Cyrillic spelling too, of which there are few."""
+    other = [(cues.cyrillic(t), x) for t, x in zip(texts, languages) if x == "uz" and not _CYRILLIC.search(t)]
+    return langid.Trigrams.fit(texts + [t for t, _ in other], languages + [x for _, x in other])
+
+
 def train(qs: list[str], answers: list[str], tags: list[list[int]], trigrams: langid.Trigrams) -> crf.CRF:
     if not qs:  # nothing to learn from: an untrained field, which tags everything `answer`
         return crf.CRF(np.zeros((len(FEATURES), len(TAGS))), np.zeros((5, 5)), np.array([1.0, 0, 0, 0, 0]), np.zeros(5))

@@ -31,7 +31,7 @@ from . import cues
 NO_MARKS_SHARE = 0.6
 #: Least sentences of a source for a baseline of its own.
 BASELINE_ROWS = 30
-#: A length that this share of a source's values has, and none exceeds, is a limit.
+#: A length that this share of a source's values has, more than have any of the tenth below it, and none exceeds, is a limit.
 LIMIT_SHARE = 0.02
 #: Words of a phrase that needs no mark.
 PHRASE_WORDS = 6
@@ -168,6 +168,8 @@ def baseline(values: DataFrame) -> DataFrame:
             F.sum("n").alias("n"),
             total("n", F.col("n_chars") == F.col("limit_chars")).alias("at_chars"),
             total("n", F.col("n_bytes") == F.col("limit_bytes")).alias("at_bytes"),
+            total("n", (F.col("n_chars") < F.col("limit_chars")) & (F.col("n_chars") >= 0.9 * F.col("limit_chars"))).alias("near_chars"),
+            total("n", (F.col("n_bytes") < F.col("limit_bytes")) & (F.col("n_bytes") >= 0.9 * F.col("limit_bytes"))).alias("near_bytes"),
             total("open", below).alias("open_below"),
             total("n", below).alias("below"),
         )
@@ -176,8 +178,8 @@ def baseline(values: DataFrame) -> DataFrame:
     return counts.select(
         "field",
         "source",
-        F.when(enough & (F.col("at_chars") >= LIMIT_SHARE * F.col("n")), F.col("limit_chars")).alias("limit_chars"),
-        F.when(enough & (F.col("at_bytes") >= LIMIT_SHARE * F.col("n")), F.col("limit_bytes")).alias("limit_bytes"),
+        F.when(enough & (F.col("at_chars") >= LIMIT_SHARE * F.col("n")) & (F.col("at_chars") > F.col("near_chars")), F.col("limit_chars")).alias("limit_chars"),
+        F.when(enough & (F.col("at_bytes") >= LIMIT_SHARE * F.col("n")) & (F.col("at_bytes") > F.col("near_bytes")), F.col("limit_bytes")).alias("limit_bytes"),
         (~((F.col("below") >= BASELINE_ROWS) & (F.col("open_below") > NO_MARKS_SHARE * F.col("below")))).alias("marked"),
     )
 

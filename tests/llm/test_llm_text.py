@@ -117,7 +117,7 @@ def test_repeating_the_question_is_whole():
 
 def test_sources_without_marks_and_limits(spark):
     open_text = "The words of this source never end with any mark at all number %d"
-    rows = [(i, "poem", open_text % i) for i in range(100, 160)] + [(i, "cut", ("The full sentence of this source is here and goes on %d" % i)[:40]) for i in range(200, 230)]
+    rows = [(i, "poem", open_text % i + " and on" * (i % 7)) for i in range(100, 160)] + [(i, "cut", ("The full sentence of this source is here and goes on %d" % i)[:40]) for i in range(200, 230)]
     rows += [(i, "cut", "The short one %d." % i) for i in range(230, 300)] + [(400, "cut", "It was found in the long table of 22 12." + "")]
     asked = spark.createDataFrame([(r[0], "c", r[1], "Q?", r[2]) for r in rows], "question_row long, course_id string, language string, question_text string, reference_answer string")
     none = spark.createDataFrame([], "question_row long, answer_row long, run_id string, answer string")
