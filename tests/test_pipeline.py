@@ -160,3 +160,10 @@ def test_incremental(spark, tmp_path):
     stream = spark.readStream.schema("k int, v string").parquet(source)
     incremental.resume_stream(stream, path, str(tmp_path / "check"), ["k"]).awaitTermination(60)
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_selection_needs_no_whole_groups(spark):
+    rows = [(f"k{i:03d}", "c", f"s{i % 3}_{i:03d}", "factual", f"What is thing {i % 40}?", f"S {i}", 9 - i % 4, -5, -20) for i in range(120)]
+    df = spark.createDataFrame(rows, "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int")
+    few, many = (sorted(tuple(r) for r in curation.select(df, {"factual": 10}, best=b).collect()) for b in (4, 1000))
+    assert few == many and len(few) == 10
