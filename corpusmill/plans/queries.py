@@ -142,7 +142,7 @@ def _(t: Tables) -> DataFrame:
     return t.questions.select("question_row", tx.course_name(F.col("course_id")).alias("course"), tx.language_name(F.col("language")).alias("language_name"))
 
 
-@query("txt20_json_objects")
+@query("txt20_json_objects", "SELECT event_id, json_array_length('[' || props || ']')::INT AS n_objects FROM events")
 def _(t: Tables) -> DataFrame:
     raw = F.concat(F.lit("The result is:\n```json\n["), F.col("props"), F.lit("]\n```"))
     return t.events.select("event_id", F.size(curation.parse_json(raw)).alias("n_objects"))
@@ -513,7 +513,16 @@ def _(t: Tables) -> DataFrame:
     return curation.select(_candidates(t), fallback_courses=("ocw_philosophy",))
 
 
-@query("cur10_round_robin")
+@query(
+    "cur10_round_robin",
+    f"""
+WITH {_QUALITY}, {GOLD},
+en AS (SELECT * FROM (SELECT r.*, q.course_id, lower(trim(q.question_type)) AS question_type, row_number() OVER (PARTITION BY r.qid ORDER BY score DESC, question_words DESC, answer_words DESC, r.question_row) AS place FROM rated r JOIN questions q ON q.question_row = r.question_row WHERE q.language = 'en' AND q.course_id IS NOT NULL) WHERE place = 1),
+c AS (SELECT en.qid AS candidate_id, course_id, question_type, regexp_replace(gold_chunk_ids[1], '_[^_]*$', '') AS section, score * 100000000::BIGINT + (question_words + 5000) * 10000::BIGINT + (answer_words + 5000) AS rate FROM en JOIN gold ON gold.qid = en.qid WHERE gold_chunk_ids[1] IS NOT NULL AND question_type IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY course_id, question_type, section ORDER BY rate DESC, candidate_id DESC) AS n, max(rate) OVER (PARTITION BY course_id, question_type, section) AS best FROM c),
+t AS (SELECT course_id, question_type, candidate_id, row_number() OVER (PARTITION BY course_id, question_type ORDER BY n, best DESC, section DESC) AS turn FROM r)
+SELECT course_id, question_type, candidate_id, turn::INT AS turn FROM t WHERE turn <= 20""",
+)
 def _(t: Tables) -> DataFrame:
     rows = _candidates(t).withColumn("rate", F.struct("score", "question_words", "answer_words"))
     return curation.round_robin(rows, ["course_id", "question_type"], tx.document_of(F.col("chunk_id")), [F.desc("rate"), F.desc("candidate_id")], F.col("rate"), 20).select("course_id", "question_type", "candidate_id", "turn")
