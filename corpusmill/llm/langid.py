@@ -112,26 +112,36 @@ def fit(samples: DataFrame, language: str = "language", script: str = "script",
 
 
 def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
-    """(mean out-of-place distance [texts, profiles] in 0..1, n-grams ranked per text)."""
-    w, g, n = _counted(texts)
+    """(mean out-of-place distance [texts, profiles] in 0..1, n-grams ranked per text).
+
+    An n-gram of a profile has its number; others are told apart by 20 bits of a hash, which may take two
+    of a text's for one. So text, count and n-gram fit in 64 bits, and both sorts are of plain integers."""
     k = len(profiles.names)
+    codes, offsets = vec.pack(texts)
+    g, w = _grams(codes, offsets)
     if not len(g):
         return np.ones((len(texts), k)), np.zeros(len(texts), np.int64)
-    order = np.lexsort((g, -n, w))
-    w, g, n = w[order], g[order], n[order]
-    first = np.concatenate([[True], w[1:] != w[:-1]])
-    start = np.flatnonzero(first)
-    size = np.diff(np.concatenate([start, [len(w)]]))
-    rank = np.arange(len(w)) - np.repeat(start, size)
-    keep = rank < SEGMENT_TOP
-    w, g, rank = w[keep], g[keep], rank[keep]
-    at = np.minimum(np.searchsorted(profiles.grams, g), len(profiles.grams) - 1)
+    size = len(profiles.grams)
+    at = np.minimum(np.searchsorted(profiles.grams, g), size - 1)
     known = profiles.grams[at] == g
-    place = np.where(known[:, None], profiles.ranks[at], np.float32(PROFILE_SIZE))
-    out = np.minimum(np.abs(place - rank[:, None]), PROFILE_SIZE) / PROFILE_SIZE
+    number = np.where(known, at, size + (vec.mix(g) >> np.uint64(44)).astype(np.int64))
+    pairs, n = np.unique((w.astype(np.int64) << 22) | number, return_counts=True)
+    w, number = pairs >> 22, pairs & ((1 << 22) - 1)
+    order = np.argsort((w << 32) | (np.maximum(1023 - n, 0) << 22) | number, kind="stable")
+    w, number = w[order], number[order]
+    start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    length = np.diff(np.concatenate([start, [len(w)]]))
+    rank = np.arange(len(w)) - np.repeat(start, length)
+    keep = rank < SEGMENT_TOP
+    w, number, rank = w[keep], number[keep], rank[keep]
+    ranks = np.vstack([profiles.ranks, np.full((1, k), PROFILE_SIZE, np.float32)])
+    place = ranks[np.minimum(number, size)]
+    out = np.minimum(np.abs(place - rank[:, None].astype(np.float32)), PROFILE_SIZE) / PROFILE_SIZE
     out[place >= PROFILE_SIZE] = 1.0
     used = np.bincount(w, minlength=len(texts))
-    total = np.stack([np.bincount(w, weights=out[:, j], minlength=len(texts)) for j in range(k)], axis=1)
+    total = np.zeros((len(texts), k))
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    total[w[first]] = np.add.reduceat(out.astype(np.float64), first, axis=0)
     return total / np.maximum(used, 1)[:, None], used
 
 
