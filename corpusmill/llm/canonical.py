@@ -59,6 +59,9 @@ _DOUBLES = {
 _SAFE = "\t\n\\x20-\\x5f\\x61-\\x7e¡-§©«¬®°±¶·»¿À-ÿĀ-ıĴ-ľŁ-ňŊ-žΑ-ΡΣ-ωЀ-҂Ҋ-ӿ–—“”„•€"
 _SUSPICIOUS = f"[^{_SAFE}]"
 _MIXED_PAIR = r"\p{IsLatin}[\p{M}']*[\p{IsCyrillic}\p{IsGreek}]|\p{IsCyrillic}[\p{M}']*[\p{IsLatin}\p{IsGreek}]|\p{IsGreek}[\p{M}']*[\p{IsLatin}\p{IsCyrillic}]"
+# Blocks of the three scripts, to see with two plain classes that most texts hold one script only.
+_LATIN_BLOCKS = r"[A-Za-z\x{c0}-\x{24f}\x{1e00}-\x{1eff}\x{2c60}-\x{2c7f}\x{a720}-\x{a7ff}\x{ab30}-\x{ab6f}\x{fb00}-\x{fb06}\x{ff21}-\x{ff5a}]"
+_OTHER_BLOCKS = r"[\x{370}-\x{52f}\x{1c80}-\x{1c8f}\x{1f00}-\x{1fff}\x{2de0}-\x{2dff}\x{a640}-\x{a69f}]"
 _MIXED_WORD = r"[\p{L}\p{M}']*(?:" + _MIXED_PAIR + r")[\p{L}\p{M}']*"
 
 _SPACING_MARKS = re.compile("([" + re.escape(code_points("a8 af b4 b8 2d8-2dd 37a 384 385 1fbd 1fbf-1fc1 1fcd-1fcf 1fdd-1fdf 1fed-1fef 1ffd 1ffe")) + "])")
@@ -121,8 +124,16 @@ def _repairs_all(word: pd.Series) -> pd.Series:
     return word.map(repairs)
 
 
+def _mixed(c: Column) -> Column:
+    """A word of `c` holds letters of two scripts; false for null."""
+    other = c.rlike(_OTHER_BLOCKS) & (c.rlike(_LATIN_BLOCKS) | c.rlike(r"\p{IsGreek}"))
+    return F.coalesce(other & c.rlike(_MIXED_PAIR), F.lit(False))
+
+
 def _suspicious(c: Column) -> Column:
-    return c.rlike(_SUSPICIOUS)
+    """A character outside the safe ones; texts of plain ASCII are told by their lengths, without the large class."""
+    plain = (F.octet_length(c) == F.length(c)) & ~c.rlike(r"[`\x00-\x08\x0b-\x1f\x7f]")
+    return ~plain & c.rlike(_SUSPICIOUS)
 
 
 def folded(c: Column) -> Column:
@@ -133,7 +144,7 @@ def folded(c: Column) -> Column:
 def vocabulary(texts: DataFrame, columns: list[str]) -> DataFrame:
     """word: the distinct words of one script in the columns of `texts`, folded."""
     words = reduce(DataFrame.unionByName, [texts.select(F.explode(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}']{2,})"), 1)).alias("word")) for c in columns])
-    return words.where(~F.col("word").rlike(_MIXED_PAIR)).distinct()
+    return words.distinct().where(~_mixed(F.col("word")))
 
 
 def _mixed_words(c: Column) -> Column:
@@ -165,7 +176,7 @@ def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame |
     Rows without a mixed word, nearly all, pass without a shuffle; those with one are joined with the
     repairs of their words and regrouped by `key`."""
     base = df.select(*[folded(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
-    has_mixed = reduce(Column.__or__, [F.coalesce(F.col(c).rlike(_MIXED_PAIR), F.lit(False)) for c in columns])
+    has_mixed = reduce(Column.__or__, [_mixed(F.col(c)) for c in columns])
     rest, some = base.where(~has_mixed), base.where(has_mixed)
     found = some.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.concat(*[F.coalesce(_mixed_words(F.col(c)), F.array().cast("array<string>")) for c in columns]))).alias("word"))
     corpus_columns = corpus_columns or columns
@@ -185,5 +196,5 @@ def changed(df: DataFrame, key: str, columns: list[str], **corpus) -> DataFrame:
     The form of each value is made by `consistent`, and its text is compared with the original."""
     copies = df.select(key, *columns, *[F.col(c).alias(f"_was_{c}") for c in columns])
     done = consistent(copies, key, columns, **corpus)
-    differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_was_{c}")) | F.coalesce(F.col(c).rlike(_MIXED_PAIR), F.lit(False)), F.lit(c)) for c in columns])
+    differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_was_{c}")) | _mixed(F.col(c)), F.lit(c)) for c in columns])
     return done.select(key, F.explode(F.array_compact(differs)).alias("field"))
