@@ -19,7 +19,6 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec

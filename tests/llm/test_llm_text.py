@@ -1,12 +1,11 @@
 """Canonical form, language labels, truncation and pair defects on small and awkward texts."""
 
-import unicodedata
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import canonical, crf, cues, langid, language, pairs, truncation
+from corpusmill.llm import canonical, crf, cues, language, pairs, truncation
 
 import numpy as np
 
