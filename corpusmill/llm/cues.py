@@ -5,12 +5,9 @@ Texts are compared in one lower-case Latin form, so that a cue is written once f
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
-import ahocorasick
-
 #: Uzbek Cyrillic letters in their Latin spelling.
 _UZ = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "j", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
@@ -44,31 +41,12 @@ REFUSAL = re.compile(
 #: What a refusal speaks about; a cue alone in a long sentence of content is not one.
 ABOUT = re.compile(r"\b(?:answer(?:s|ed|ing)?|respond|response|questions?|request|help|evidence|context|passages?|information|guidelines|chunks|teacher|discuss|comment\w*|know|javob\w*|savol\w*|so'rov\w*|yordam\w*|dalillar\w*|ma'lumot\w*|matnda|bilmayman|bilmadim|o'qituvchi\w*|qoida\w*|mavzu\w*|gapira|kontekst\w*)")
 
-#: Of these stems every text with a REFUSAL in it has one, in lower case; looked for before the expression is.
-_HINTS = (
-    "cannot", "can not", "could not", "n't", "n’t", "unable", "will not", "declin", "refus", "not able", "not allowed", "not permitted", "do not", "dont", "i have no", "rather not",
-    "not enough", "insufficient", "not sufficient", "no answer", "nothing", "not covered", "outside", "guideline", "prevents me", "prevent me", "something i can", "topic i can", "assistant", "consult your",
-    "olma", "bilma", "bosh tort", "rad etaman", "bermay", "istamay", "etarli", "mumkin emas", "imkonsiz", "javob yo", "topilma", "hech narsa", "murojaat", "ruxsat", "tashqari", "taqiq", "qamrab", "yoritilma",
-    "олма", "билма", "бош торт", "рад этаман", "бермай", "истамай", "етарли", "мумкин эмас", "имконсиз", "жавоб й", "жавоб ё", "топилма", "ҳеч нарса", "мурожаат", "рухсат", "ташқари", "тақиқ", "қамраб", "ёритилма",
-)
 _ODD = re.compile("[^\x00-\x7fЀ-ӿʻʼ‘’À-ÿα-ω«»ığşĞİŞ]|[a-z][а-яіѕјһ]|[а-яіѕјһ][a-z]")
 
 
 def hinted(text: str) -> bool:
-    """False only if `text` holds no REFUSAL; texts in odd characters always count as hinted."""
-    low = text.lower()
-    if not low.isascii() and _ODD.search(low):
-        return True
-    return next(_hint_automaton().iter(low), None) is not None
-
-
-@functools.cache
-def _hint_automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for h in _HINTS:
-        automaton.add_word(h, True)
-    automaton.make_automaton()
-    return automaton
+    """`text`, in any form, holds a REFUSAL."""
+    return bool(REFUSAL.search(plain(text)))
 
 
 #: Between a reservation and the answer after it.

@@ -104,22 +104,20 @@ class Featurizer:
         parts, folded, belongs, lengths, extra = [], [], [], [], []
         for i, a in enumerate(answers):
             own = clauses(a)
-            hinted = cues.hinted(a)
             state = truncation.state(a)
             cross = bool(_CYRILLIC.search(a)) != bool(_CYRILLIC.search(asked[i]))
             if cross:  # perhaps the question in the other script of its language
                 asked[i] = cues.plain(asked[i])
             for j, part in enumerate(own):
                 f = []
-                if hinted:
-                    plain = cues.plain(part)
-                    if cues.REFUSAL.search(plain):
-                        if cues.declines(plain):
-                            f.append(_AT["declines"])
-                            if len(plain.split()) <= 16:
-                                f.append(_AT["declines_short"])
-                        else:
-                            f.append(_AT["turned"])
+                plain = cues.plain(part)
+                if cues.REFUSAL.search(plain):
+                    if cues.declines(plain):
+                        f.append(_AT["declines"])
+                        if len(plain.split()) <= 16:
+                            f.append(_AT["declines_short"])
+                    else:
+                        f.append(_AT["turned"])
                 if "?" in part[-3:]:
                     f.append(_AT["asks"])
                 if j == len(own) - 1:
@@ -132,7 +130,7 @@ class Featurizer:
                         f.append(_AT["phrase"] if state == truncation.PHRASE else _AT["last_whole"])
                 extra.append(f)
                 parts.append(part)
-                folded.append(_PREFIX.sub("", cues.plain(part) if cross else _fold(part)))
+                folded.append(_PREFIX.sub("", plain if cross else _fold(part)))
                 belongs.append(i)
             lengths.append(len(own))
         x = np.zeros((len(parts), len(FEATURES)), dtype=np.float32)

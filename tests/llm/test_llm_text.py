@@ -156,6 +156,16 @@ def test_declines():
         assert not cues.declines(cues.plain(text)), text
 
 
+def test_every_refusal_reaches_the_field():
+    """Wordings in either script and in loose blanks: no cheaper test may keep a clause from the expression."""
+    texts = ["Bu savolga javob berib bo'lmaydi.", "Matnda bu haqda ma'lumot yo'q.", "As an AI, I must stay silent on this question.", "Qoidalar bunga yo'l qo'ymaydi.", "I can  not answer this question."]
+    texts += [cues.cyrillic(t) for t in (texts[0], texts[1], texts[3])] + ["Бу саволга жавоб бериб бўлмайди.", "Матнда бу ҳақда маълумот йўқ."]
+    x, lengths, _ = pairs.Featurizer(pairs.fit_trigrams([t for *_, t in SAMPLES], [a for a, *_ in SAMPLES])).batch([None] * len(texts), texts)
+    held = [t for t in texts if cues.declines(cues.plain(t))]
+    assert (lengths == 1).all() and len(held) >= 8
+    assert [t for t, on in zip(texts, x[:, pairs._AT["declines"]]) if on] == held
+
+
 def _corpus(spark):
     """Enough sound pairs in two languages to train on."""
     en = [f"The theory number {i} matters because careful students revise the limit of sample {i}. Readers of the table follow the method {i} in these notes." for i in range(160)]
