@@ -328,14 +328,12 @@ def judge(texts: list[str], model: Classifier) -> np.ndarray:
     for i, parts, hot in _looked_at(texts):
         hot_set = set(hot)
         for j, s in enumerate(parts):
+            plain = cues.plain(s)  # the form the classifier is trained on
             if j in hot_set:
-                plain = cues.plain(s)
                 v = votes(plain)
                 voted_rows.append(len(parts_all))
                 voted_z.append([float(np.dot(v[c], model.voted[c])) for c in CATEGORIES])
-                parts_all.append(plain)
-            else:
-                parts_all.append(s)
+            parts_all.append(plain)
             own.append(i)
     out = np.zeros((len(texts), len(CATEGORIES)))
     if parts_all:

@@ -268,6 +268,15 @@ def test_label_model_finds_the_better_voter():
     assert q[1, 1, 0] > 0.8 and q[0, 0, 1] < 0.2
 
 
+def test_both_scripts_score_alike():
+    """Words are scored in the form in which they were learnt, voted sentences or not."""
+    words = np.random.default_rng(3).normal(size=(1 << content.BITS, 3))
+    model = content.Classifier(words, {c: np.zeros(len(content._BY[c])) for c in content.CATEGORIES}, np.zeros(3))
+    same = [("Ғалати шубҳали сўзлар.", "G'alati shubhali so'zlar."), ("Картина в музее.", "Kartina v muzee."), ("G‘alati so‘zlar.", "G'alati so'zlar.")]
+    for a, b in same:
+        assert np.allclose(content.judge([a], model), content.judge([b], model)), a
+
+
 def test_scores(spark):
     rng = random.Random(1)
     words = "proof table student theory limit archive sample reader method column".split()
