@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec
 
-from . import cues
+from . import cues, literals
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: Sentences of each kind (voted on or not) on which the classifier is trained.
+#: Sentences of each kind (with a vote for a category or not) on which the classifier is trained.
 TRAIN_SENTENCES = 4000
 #: Labelled sentences that are read at most, and the weight of one against a sentence of the corpus.
 SAMPLE_ROWS, SAMPLE_WEIGHT = 10_000, 5.0
@@ -78,16 +78,11 @@ VOTERS = {
 }
 _BY = {c: [n for n, v in VOTERS.items() if v[0] == c] for c in CATEGORIES}
 _EXPR = {n: re.compile(v[2]) for n, v in VOTERS.items()}
-# A sentence is looked at by the voters only if it has one of these stems (in the lower-case form of its own script).
-_STEMS = (
-    "idiot imbecil moron cretin dumb halfwit half-wit loser parasit clown pig fool dimwit jerk scum bastard asshole arsehole bitch whore slut dunce nitwit trash garbage filth cockroach retard swine prick wanker blockhead dickhead shit fuck "
-    "stupid pathetic disgust worthless miserable useless brainless ugly vile nasty shut get_lost go_jump go_to_hell go_die jump_off drop_dead disappear nobody piss screw smash kill break_your hurt strangle choke hope_you your_face "
-    "eshak tentak nodon ahmoq iflos ablah yaramas cho'chqa jirkanch befoyda razil o'chir yo'qol daf_bo'l joy_yo'q yoraman o'ldir refugee immigrant migrant foreigner believer infidel southerner northerner druvan ilvan osmer tarnish brask kalvor muhojir qochqin kelgindi "
-    "vermin rats subhuman animal plague human inferior race breed infest drive round_up kick deport banish exterminat wipe get_rid away burn their_house poison ruin bullet sit_next kalamush odam_emas haydash haydab quvib yoqish yoqib bulg'a yurtimiz qirib "
-    "porn nude naked horny orgasm cock dick pussy tits boob blowjob erotic masturbat sex hookup webcam uncensored adults lick moan yalang'och ehtiros behayo seks badan shahvon kattalar "
-    "эшак тентак нодон аҳмоқ ифлос аблаҳ ярамас чўчқа жирканч бефойда разил ўчир йўқол жой_ёъқ жой_йўқ ёраман ўлдир друван илван осмер тарниш браск калвор муҳожир қочқин келгинди каламуш одам_эмас ҳайдаш ҳайдаб қувиб ёқиш ёқиб булға юртимиз қириб яланғоч эҳтирос беҳаё секс бадан шаҳвон катталар "
-    "тупой тупая тупые идиот придур мразь дурак кретин дебил сволоч скотин тварь урод подон ничтож заткни убирай пошёл пошел провали убью сломаю гнать сжечь отравля крыс не_люди нелюд бежен мигрант приезж порно секса голые голая голую эротич интим взрослых хочу_тебя"
-).split()
+_VOTE = [v[1] for v in VOTERS.values()]
+_SEARCH = [e.search for e in _EXPR.values()]
+_PLACES = {c: [i for i, v in enumerate(VOTERS.values()) if v[0] == c] for c in CATEGORIES}
+#: The votes on a sentence on which all abstain.
+_SILENT = {c: (0,) * len(names) for c, names in _BY.items()}
 
 _LEET = str.maketrans("013457@$!8", "oieastasib")
 _LEETWORD = re.compile(r"[^\W\d_]+[013457@$!8]+[^\W_@$!]*(?:[013457@$!8]+[^\W\d_]+)*[013457@$!8]*|[013457@$!8]+[^\W\d_]+(?:[013457@$!8]+[^\W\d_]*)*")
@@ -99,10 +94,15 @@ _ACCENT = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 
 
 @functools.cache
-def _stems() -> ahocorasick.Automaton:
+def _needed() -> ahocorasick.Automaton:
+    """Texts that the voters' expressions cannot match without, each with the voters (bits) that need it."""
+    by: dict[str, int] = {}
+    for i, (_, _, expression) in enumerate(VOTERS.values()):
+        for x in literals.needed(expression):
+            by[x] = by.get(x, 0) | 1 << i
     a = ahocorasick.Automaton()
-    for s in _STEMS:
-        a.add_word(s.replace("_", " "), True)
+    for x, voters in by.items():
+        a.add_word(x, voters)
     a.make_automaton()
     return a
 
@@ -145,21 +145,28 @@ def sentences(text: str) -> list[str]:
 
 
 def votes(sentence: str) -> dict[str, tuple[int, ...]]:
-    """Votes of each category's voters on a sentence in plain form."""
-    return {c: tuple(VOTERS[n][1] if _EXPR[n].search(sentence) else 0 for n in _BY[c]) for c in CATEGORIES}
-
-
-def _looked_at(texts: list[str]) -> Iterator[tuple[int, list[str], list[int]]]:
-    """(text number, its undisguised sentences, numbers of those with a stem) of every text."""
+    """Votes of each category's voters on a sentence in plain form; only voters that may have a match are run."""
+    may = 0
+    for _, voters in _needed().iter(sentence):
+        may |= voters
+    cast = {}
+    while may:
+        i = (may & -may).bit_length() - 1
+        may &= may - 1
+        if _SEARCH[i](sentence):
+            cast[i] = _VOTE[i]
+    return {c: tuple([cast.get(i, 0) for i in places]) for c, places in _PLACES.items()} if cast else _SILENT
+
+
+def _plain_sentences(texts: list[str]) -> Iterator[list[str]]:
+    """Of every text its sentences, undisguised and in plain form."""
     cut = [sentences(t) for t in texts]
     parts = [s for c in cut for s in c]
     flagged = _disguised(parts).tolist() if parts else []
-    find = _stems().iter
     at = 0
-    for i, c in enumerate(cut):
-        low = [undisguised(s) if flagged[at + j] else s.lower() for j, s in enumerate(c)]
+    for c in cut:
+        yield [cues.plain(undisguised(s) if flagged[at + j] else s) for j, s in enumerate(c)]
         at += len(c)
-        yield i, low, [j for j, s in enumerate(low) if next(find(s), None) is not None]
 
 
 # ---------------------------------------------------------------- label model
@@ -177,9 +184,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold
     allp, n = np.vstack([patterns, gold]), np.concatenate([counts.astype(float), np.full(len(gold), SAMPLE_WEIGHT)])
     fixed = np.concatenate([np.full(len(patterns), np.nan), gold_label.astype(float)])
     hot = np.stack([allp == v for v in (-1, 0, 1)], axis=2).astype(float)  # [patterns, voters, votes]
-    # start: the share of votes for, out of those cast, where at least two are for
+    # start: the share of votes for, out of those cast, where at least two are for; none where none is
     pro, con = (allp > 0).sum(axis=1), (allp < 0).sum(axis=1)
-    q = np.where(np.isnan(fixed), np.where((pro >= 3) & (con == 0), 0.9, np.where(pro >= 2, 0.5, 0.05)), fixed)
+    q = np.where(np.isnan(fixed), np.where((pro >= 3) & (con == 0), 0.9, np.where(pro >= 2, 0.5, np.where(pro > 0, 0.05, 0.0))), fixed)
     weight = np.ones(m)
     for step in range(steps):
         table = []
@@ -228,7 +235,7 @@ class Classifier:
         return total / np.sqrt(np.maximum(n, 1))[:, None] + self.bias
 
 
-def train(texts: list[str], cast: list[dict[str, tuple[int, ...]] | None], labels: np.ndarray, weights: np.ndarray, steps: int = 150, rate: float = 0.3, l2: float = 2e-4) -> Classifier:
+def train(texts: list[str], cast: list[dict[str, tuple[int, ...]]], labels: np.ndarray, weights: np.ndarray, steps: int = 150, rate: float = 0.3, l2: float = 2e-4) -> Classifier:
     """labels, soft, [texts, categories]; full-batch Adam."""
     f, own = _word_features(texts)
     n = len(texts)
@@ -236,7 +243,7 @@ def train(texts: list[str], cast: list[dict[str, tuple[int, ...]] | None], label
     words, bias = np.zeros((1 << BITS, len(CATEGORIES))), np.full(len(CATEGORIES), -3.0)
     voted = {}
     for k, c in enumerate(CATEGORIES):
-        x = np.array([(v[c] if v else (0,) * len(_BY[c])) for v in cast], dtype=float)
+        x = np.array([v[c] for v in cast], dtype=float)
         w, a, b = np.zeros(1 << BITS), np.zeros(x.shape[1]), -3.0
         m = [np.zeros_like(w), np.zeros_like(a), 0.0]
         s = [np.zeros_like(w), np.zeros_like(a), 0.0]
@@ -260,10 +267,11 @@ def train(texts: list[str], cast: list[dict[str, tuple[int, ...]] | None], label
 
 
 def _survey(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of vote patterns with counts (kind = category) and of sampled sentences (kind = 'voted' or 'unvoted')."""
+    """Rows of vote patterns of all sentences with counts (kind = category) and of sampled sentences (kind = 'voted': with a vote for a category, or 'unvoted')."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        silent = 0
         sample: dict[str, dict[int, str]] = {"voted": {}, "unvoted": {}}
 
         def shrink(kind: str, most: int) -> None:
@@ -272,22 +280,29 @@ def _survey(documents: DataFrame, key: str, text: str) -> DataFrame:
 
         for pdf in batches:
             texts = [t if t is not None else "" for t in pdf["text"]]
-            for _, parts, hot in _looked_at(texts):
-                for j in hot:
-                    plain = cues.plain(parts[j])
-                    for c, v in votes(plain).items():
-                        if any(v):
-                            seen[c, ",".join(map(str, v))] += 1
-                    sample["voted"][vec.hash_word(plain)] = plain
-                cold = set(range(len(parts))) - set(hot)
+            for parts in _plain_sentences(texts):
+                cold = []
+                for j, plain in enumerate(parts):
+                    v = votes(plain)
+                    if v is _SILENT:
+                        silent += 1
+                        cold.append(j)
+                        continue
+                    for c in CATEGORIES:
+                        seen[c, v[c]] += 1
+                    if any(max(x) > 0 for x in v.values()):
+                        sample["voted"][vec.hash_word(plain)] = plain
+                    else:
+                        cold.append(j)
                 if cold:
-                    j = min(cold, key=lambda x: (len(parts[x]) * 7919 + x) % 1009)
-                    plain = cues.plain(parts[j])
+                    plain = parts[min(cold, key=lambda x: (len(parts[x]) * 7919 + x) % 1009)]
                     if plain:
                         sample["unvoted"][vec.hash_word(plain)] = plain
             shrink("voted", 4 * TRAIN_SENTENCES), shrink("unvoted", 4 * TRAIN_SENTENCES)
         shrink("voted", TRAIN_SENTENCES), shrink("unvoted", TRAIN_SENTENCES)
-        rows = [(c, p, n) for (c, p), n in seen.items()] + [(k, s, h - 2**63) for k, v in sample.items() for h, s in v.items()]
+        for c in CATEGORIES if silent else ():
+            seen[c, _SILENT[c]] += silent
+        rows = [(c, ",".join(map(str, p)), n) for (c, p), n in seen.items()] + [(k, s, h - 2**63) for k, v in sample.items() for h, s in v.items()]
         if rows:
             yield pd.DataFrame(rows, columns=["kind", "content", "n"])
 
@@ -307,8 +322,8 @@ def fit(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: str
 def fit_local(patterns: pd.DataFrame, voted: list[str], unvoted: list[str], gold: list[str], gold_category: list[str]) -> Classifier:
     gold = [cues.plain(undisguised(t)) for t in gold]
     gold_votes = [votes(t) for t in gold]
-    cast = [votes(t) for t in voted]
-    labels = np.zeros((len(voted), len(CATEGORIES)))
+    cast = [votes(t) for t in voted + unvoted]
+    labels = np.zeros((len(cast), len(CATEGORIES)))
     for k, c in enumerate(CATEGORIES):
         own = patterns[patterns["kind"] == c]
         found = np.array([list(map(int, p.split(","))) for p in own["content"]], dtype=int).reshape(-1, len(_BY[c]))
@@ -317,29 +332,27 @@ def fit_local(patterns: pd.DataFrame, voted: list[str], unvoted: list[str], gold
         posterior = {tuple(p): x for p, x in zip(found.tolist(), q)}
         labels[:, k] = [posterior.get(v[c], 0.0) for v in cast]
     texts = voted + unvoted + gold
-    y = np.vstack([labels, np.zeros((len(unvoted), len(CATEGORIES))), np.array([[x == c for c in CATEGORIES] for x in gold_category], dtype=float).reshape(-1, len(CATEGORIES))])
+    y = np.vstack([labels, np.array([[x == c for c in CATEGORIES] for x in gold_category], dtype=float).reshape(-1, len(CATEGORIES))])
     w = np.concatenate([np.ones(len(voted) + len(unvoted)), np.full(len(gold), SAMPLE_WEIGHT)])
-    return train(texts, [*cast, *[None] * len(unvoted), *gold_votes], y, w)
+    return train(texts, [*cast, *gold_votes], y, w)
 
 
 def judge(texts: list[str], model: Classifier) -> np.ndarray:
     """Score of every text in every category: that of its worst sentence."""
-    parts_all, own, voted_rows, voted_z = [], [], [], []
-    for i, parts, hot in _looked_at(texts):
-        hot_set = set(hot)
-        for j, s in enumerate(parts):
-            plain = cues.plain(s)  # the form the classifier is trained on
-            if j in hot_set:
-                v = votes(plain)
+    parts_all, own, voted_rows, cast = [], [], [], []
+    for i, parts in enumerate(_plain_sentences(texts)):
+        for plain in parts:
+            v = votes(plain)
+            if v is not _SILENT:
                 voted_rows.append(len(parts_all))
-                voted_z.append([float(np.dot(v[c], model.voted[c])) for c in CATEGORIES])
+                cast.append(v)
             parts_all.append(plain)
             own.append(i)
     out = np.zeros((len(texts), len(CATEGORIES)))
     if parts_all:
         z = model.word_scores(parts_all)
         if voted_rows:
-            z[voted_rows] += np.array(voted_z)
+            z[voted_rows] += np.stack([np.array([v[c] for v in cast], dtype=float) @ model.voted[c] for c in CATEGORIES], axis=1)
         np.maximum.at(out, np.array(own), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return out
 

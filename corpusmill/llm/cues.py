@@ -57,12 +57,18 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _ALIKE = str.maketrans("аеорсухіјѕһкмтвн", "aeopcyxijshkmtbh")
 
 _SPACE = re.compile(r"\s+")
+# cheap tests: without these characters the steps behind them change nothing
+_MARK = re.compile(f"[{_APOSTROPHES}{_UNSEEN}]")
+_LATIN = re.compile("[a-z]")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 
 
 def unscripted(text: str) -> str:
     """Compatibility forms, invisible characters and letters of another script inside a word resolved."""
-    text = unicodedata.normalize("NFKC", text.translate(_APOSTROPHE)).lower()
-    if _MIXED.search(text):
+    if _MARK.search(text):
+        text = text.translate(_APOSTROPHE)
+    text = unicodedata.normalize("NFKC", text).lower()
+    if _LATIN.search(text) and _CYRILLIC.search(text) and _MIXED.search(text):
         text = _TOKEN.sub(lambda m: m.group().translate(_ALIKE) if re.search("[a-z]", m.group()) else m.group(), text)
     return text
 
@@ -70,8 +76,11 @@ def unscripted(text: str) -> str:
 def plain(text: str) -> str:
     """Lower case, one form of apostrophe, Latin letters, single blanks."""
     if not text.isascii():
-        return _SPACE.sub(" ", _INITIAL.sub("ye", unscripted(text)).translate(_TRANSLATE)).strip()
-    return _SPACE.sub(" ", text.lower().replace("`", "'")).strip()
+        text = unscripted(text)
+        if _CYRILLIC.search(text):
+            text = _INITIAL.sub("ye", text).translate(_TRANSLATE)
+        return _SPACE.sub(" ", text).strip()
+    return " ".join(text.lower().replace("`", "'").split())
 
 
 _LATIN_UZ = sorted(((b, a) for a, b in _UZ.items() if b and a not in "щыіцъэ" and len(b) > 0), key=lambda x: -len(x[0]))

@@ -1,0 +1,64 @@
+"""Substrings without which a regular expression cannot match."""
+
+from __future__ import annotations
+
+from re import _constants as op, _parser
+
+#: Texts that one part of an expression may stand for and still be listed.
+MOST = 400
+
+
+def _texts(items) -> set[str] | None:
+    """All texts that the parsed items can match, positions aside; None if they are many or unbounded."""
+    out = {""}
+    for kind, arg in items:
+        if kind is op.LITERAL:
+            own = {chr(arg)}
+        elif kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+            own = {""}
+        elif kind is op.IN and all(k is op.LITERAL for k, _ in arg):
+            own = {chr(a) for _, a in arg}
+        elif kind is op.SUBPATTERN:
+            own = _texts(arg[3])
+        elif kind is op.BRANCH:
+            each = [_texts(b) for b in arg[1]]
+            own = None if None in each else set().union(*each)
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[1] == 1:
+            own = _texts(arg[2])
+            own = own if own is None or arg[0] else own | {""}
+        else:
+            own = None
+        if own is None or len(out) * len(own) > MOST:
+            return None
+        out = {a + b for a in out for b in own}
+    return out
+
+
+def _needed(items) -> set[str] | None:
+    """Texts of which every match of the parsed items holds one; None if there are none such. The longest are chosen."""
+    choices, run = [], {""}
+    for item in items:
+        kind, arg = item
+        own = _texts([item])
+        if own is not None and len(run) * len(own) <= MOST:
+            run = {a + b for a in run for b in own}
+            continue
+        choices.append(run)
+        run = own if own is not None else {""}
+        if kind is op.SUBPATTERN:
+            choices.append(_needed(arg[3]))
+        elif kind is op.BRANCH:
+            each = [_needed(b) for b in arg[1]]
+            choices.append(None if None in each else set().union(*each))
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[0]:
+            choices.append(_needed(arg[2]))
+    choices = [c for c in [*choices, run] if c and "" not in c]
+    return max(choices, key=lambda c: (min(min(map(len, c)), 5), -len(c)), default=None)
+
+
+def needed(expression: str) -> list[str]:
+    """Texts of which every match of `expression` holds one; ValueError if it can match without any."""
+    found = _needed(_parser.parse(expression))
+    if not found:
+        raise ValueError(f"no text is needed for {expression}")
+    return sorted(x for x in found if not any(y in x for y in found if y != x))

@@ -8,10 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import content, encoding, mixing, neardup, ranks, sampling, splitting
+from corpusmill.llm import content, encoding, literals, mixing, neardup, ranks, sampling, splitting
 
 # ------------------------------------------------------------------ ranks and p4
 
@@ -277,6 +277,36 @@ def test_both_scripts_score_alike():
         assert np.allclose(content.judge([a], model), content.judge([b], model)), a
 
 
+@pytest.mark.parametrize("name", content.VOTERS)
+@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_no_match_without_a_needed_text(name, data):
+    expression = content.VOTERS[name][2]
+    text = data.draw(st.from_regex(expression))
+    assert any(x in text for x in literals.needed(expression))
+    assert content.votes(text) == {c: tuple(content.VOTERS[n][1] if content._EXPR[n].search(text) else 0 for n in content._BY[c]) for c in content.CATEGORIES}
+
+
+def test_needed_texts():
+    assert literals.needed(r"\b(?:cats?|dog\w*|(?:a|the) cow)\b") == ["a cow", "cat", "dog", "the cow"]
+    assert literals.needed(r"x?(?:\w+ ){0,2}long(?:er|est)") == ["longer", "longest"]
+    for expression in (r"\w+", r"a?", r"a|\d"):
+        with pytest.raises(ValueError):
+            literals.needed(expression)
+
+
+def test_voters_see_every_sentence(spark):
+    texts = ["They should all be shot.", "those people deserve to die", "I will find you and beat you", "You dummy.", "Sen hayvon.", "Их всех надо расстрелять.", "Чтоб ты сдохни"]
+    flags = {c: np.array([5.0 * (content.VOTERS[n][1] > 0) for n in content._BY[c]]) for c in content.CATEGORIES}
+    model = content.Classifier(np.zeros((1 << content.BITS, 3)), flags, np.full(3, -3.0))
+    assert (content.judge(texts, model)[:, :2].max(axis=1) > 0.8).all()
+    assert (content.judge(["The matrix is sparse."], model) < 0.1).all()
+    rows = content._survey(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "The matrix is sparse. So it is.", None])], "doc_id long, text string"), "doc_id", "text").collect()
+    for c in content.CATEGORIES:
+        assert sum(r["n"] for r in rows if r["kind"] == c) == len(texts) + 2
+    assert {r["content"] for r in rows if r["kind"] == "unvoted"} <= {"the matrix is sparse.", "so it is."}
+
+
 def test_scores(spark):
     rng = random.Random(1)
     words = "proof table student theory limit archive sample reader method column".split()
