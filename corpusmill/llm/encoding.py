@@ -3,7 +3,7 @@
 Overlapping chunk encoding: a text is cut into chunks of CHUNK_CHARS characters that overlap by
 OVERLAP_CHARS; each chunk is pre-tokenised on its own, in parallel. The pre-tokenisation pattern reads
 forward and looks ahead one character only, so two scans that share a boundary share all that follow:
-neighbouring chunks are stitched at the first boundary that both have in their overlap. Between two
+neighbouring chunks are stitched at the first boundary behind no blank that both have in their overlap. Between two
 stitches lies a piece whose pre-tokens are those of the whole text; the pieces are encoded in parallel
 and their ids put one behind the other. If an overlap has no common boundary (a run of one class that
 is longer than the overlap), the chunks on both sides are one piece.
@@ -70,7 +70,8 @@ def bounds(text: str, final: bool, overlap: int) -> tuple[list[int], list[int]]:
     starts = [m.start() for m in _pattern().finditer(text)]
     if not final:
         starts = starts[:-2]
-    return [s for s in starts if s < overlap], [s for s in starts if s >= len(text) - overlap]
+    # a run of blanks ends otherwise at the end of a piece than before a word: no piece may end behind a blank
+    return [s for s in starts if s < overlap], [s for s in starts if s >= len(text) - overlap and not text[s - 1 : s].isspace()]
 
 
 def stitches(heads: list[list[int]], tails: list[list[int]]) -> list[int]:

@@ -195,6 +195,23 @@ def test_stitches_are_boundaries_of_the_whole(text, chunk):
     assert set(cuts) <= whole and cuts == sorted(set(cuts))
 
 
+@needs_tokenizer
+@pytest.mark.parametrize("blanks", ["\n\n", " \n", "\t\t", "\n", "\n \n\n", "  ", " "])
+def test_pieces_of_paragraphs_have_the_ids_of_the_whole(blanks):
+    chunk, overlap = 64, 16
+    encode = encoding.encoder().encode_ordinary
+    n_cuts = 0
+    for shift in range(chunk):
+        text = "a" * shift + blanks + blanks.join(["word next", "some more words here", "it's 5", "end."] * 6)
+        starts = encoding.chunk_starts(len(text), chunk, overlap)
+        both = [(s, encoding.bounds(text[s : s + chunk], s + chunk >= len(text), overlap)) for s in starts]
+        cuts = encoding.stitches([[s + x for x in h] for s, (h, _) in both], [[s + x for x in t] for s, (_, t) in both])
+        edges = [0, *cuts, len(text)]
+        n_cuts += len(cuts)
+        assert [i for a, b in zip(edges, edges[1:]) for i in encode(text[a:b])] == encode(text), (shift, cuts)
+    assert n_cuts
+
+
 @needs_tokenizer
 def test_same_ids_as_the_other_library():
     tokenizers = pytest.importorskip("tokenizers")
