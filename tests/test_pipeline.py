@@ -167,3 +167,24 @@ def test_selection_needs_no_whole_groups(spark):
     df = spark.createDataFrame(rows, "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int")
     few, many = (sorted(tuple(r) for r in curation.select(df, {"factual": 10}, best=b).collect()) for b in (4, 1000))
     assert few == many and len(few) == 10
+
+
+def _both_ways(spark, rows, best, targets, **more):
+    """The selection from `best` rows a group at first, and from all rows."""
+    df = spark.createDataFrame(rows, "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int")
+    return [sorted(tuple(r) for r in curation.select(df, targets, best=b, **more).collect()) for b in (best, 1000)]
+
+
+def test_selection_looks_behind_a_tie_for_sections(spark):
+    """All rated alike: the sections that come first by name are those of the rows cut off."""
+    rows = [(f"k{99 - i:02d}", "c", f"s{i:02d}_1", "factual", f"What is thing {i}?", f"S {i}", 5, -5, -20) for i in range(40)]
+    few, many = _both_ways(spark, rows, 4, {"factual": 3})
+    assert few == many and {r[0] for r in many} == {"k60", "k61", "k62"}
+
+
+def test_selection_relabels_from_all_comparative_rows(spark):
+    """The best row to relabel by its wording is the worst by its rating."""
+    rows = [(f"k{i:02d}", "c", f"s{i:02d}_1", "comparative", f"Is thing {i} larger?" if i < 39 else "How do the two differ?", f"S {i}", 90 - i, -5, -20) for i in range(40)]
+    rows.append(("p00", "c", "s00_2", "procedural", "What comes first?", "P", 5, -5, -20))
+    few, many = _both_ways(spark, rows, 4, {"comparative": 2, "procedural": 2}, fallback_courses=("c",))
+    assert few == many and ("k39", "relabelled") in {(r[0], r[4]) for r in many}
