@@ -7,8 +7,9 @@ trained on clauses of a bounded sample of the corpus's own pairs (TRAIN_ROWS) in
 put by construction: questions repeated in changed form, sentences of answers in other languages,
 ends cut off, and refusals and reservations in wordings of this module.
 
-The work per pair is one pass in Python batches; the only shuffle is the equi-join of answers with
-their question. Nulls: a null or blank answer is `empty`; a null question has no words, so nothing
+The work per pair is one pass in Python batches; the only shuffle of texts is the equi-join of answers
+with their question. A decimal cut at the length limit of its source (`truncation.baseline`) is a cut end. Whether
+a source sets terminators is not asked: one in which most values are cut looks like one without. Nulls: a null or blank answer is `empty`; a null question has no words, so nothing
 is an echo of it or foreign to it. Repeated rows are judged each. Very long answers are judged
 whole. Extra columns are dropped.
 """
@@ -98,8 +99,10 @@ class Featurizer:
     def __init__(self, trigrams: langid.Trigrams):
         self.trigrams = trigrams
 
-    def batch(self, questions: list[str | None], answers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(features of all clauses, clauses per answer, words per clause); answers with content."""
+    def batch(self, questions: list[str | None], answers: list[str], at_limit: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features of all clauses, clauses per answer, words per clause); answers with content.
+
+        at_limit: whether an answer has the length at which those of its source are cut."""
         asked = [_fold(q) if q else "" for q in questions]
         parts, folded, belongs, lengths, extra = [], [], [], [], []
         for i, a in enumerate(answers):
@@ -122,7 +125,7 @@ class Featurizer:
                     f.append(_AT["asks"])
                 if j == len(own) - 1:
                     f.append(_AT["last"])
-                    if state == truncation.CUT:
+                    if state == truncation.CUT or at_limit and at_limit[i] and truncation.decimal(a):
                         f.append(_AT["cut"])
                     elif state == truncation.OPEN_SENTENCE and not (_AT["declines"] in f or truncation._same_as(part, questions[i])):
                         f.append(_AT["open"])
@@ -274,7 +277,7 @@ def train(qs: list[str], answers: list[str], tags: list[list[int]], trigrams: la
     return crf.train(x.astype(np.float64), np.concatenate([np.array(t) for t in tags]), lengths, len(TAGS), steps=100)
 
 
-def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF, trigrams: langid.Trigrams) -> tuple[list[str | None], np.ndarray]:
+def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF, trigrams: langid.Trigrams, at_limit: list[bool] | None = None) -> tuple[list[str | None], np.ndarray]:
     """(defect or None, share of words under each tag) of every pair."""
     defect: list[str | None] = [None] * len(answers)
     share = np.zeros((len(answers), len(TAGS)))
@@ -286,7 +289,7 @@ def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF
             full.append(i)
     if not full:
         return defect, share
-    x, lengths, weights = Featurizer(trigrams).batch([questions[i] for i in full], [answers[i] for i in full])
+    x, lengths, weights = Featurizer(trigrams).batch([questions[i] for i in full], [answers[i] for i in full], [at_limit[i] for i in full] if at_limit else None)
     tags = model.decode(x, lengths)
     own = np.repeat(np.arange(len(full)), lengths)
     got = np.zeros((len(full), len(TAGS)))
@@ -315,12 +318,16 @@ def detect(questions: DataFrame, answers: DataFrame, samples: DataFrame) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            defect, share = judge(list(pdf["question"]), list(pdf["value"]), model, trigrams)
+            defect, share = judge(list(pdf["question"]), list(pdf["value"]), model, trigrams, list(pdf["at_limit"]))
             out = pdf[["field", "record_row"]].copy()
             out["defect"] = pd.Series(defect, dtype=object, index=out.index)
             for j, tag in enumerate(TAGS):
                 out[f"{tag}_share"] = share[:, j]
             yield out
 
-    values = truncation.values_of(questions, answers).select("field", "record_row", "value", "question")
+    # a row per source, so the texts are not shuffled for it
+    usual = F.broadcast(truncation.baseline(truncation.values_of(questions, answers, asked=False)))
+    limit = truncation.at_limit(F.length("value"), F.octet_length("value"))
+    values = truncation.values_of(questions, answers).join(usual, ["field", "source"], "left")
+    values = values.select("field", "record_row", "value", "question", limit.alias("at_limit"))
     return values.mapInPandas(run, "field string, record_row long, defect string, " + ", ".join(f"{t}_share double" for t in TAGS))

@@ -111,6 +111,11 @@ def state(text: str | None) -> int:
     return OPEN_SENTENCE
 
 
+def decimal(text: str) -> bool:
+    """The value ends in a number and a point: at a length limit a cut decimal."""
+    return bool(_DECIMAL.search(text, max(0, len(text) - 12)))
+
+
 def _same_as(clauses: str, question: str | None) -> bool:
     """The value says only words of the question, to its last word."""
     if not question:
@@ -133,7 +138,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf["state"] = [_decide(t, q) for t, q in zip(pdf["value"], pdf["question"])]
         text = pdf["value"].fillna("")
-        pdf["decimal"] = [bool(_DECIMAL.search(x, max(0, len(x) - 12))) for x in text]
+        pdf["decimal"] = [decimal(x) for x in text]
         pdf["n_chars"] = text.str.len().astype("int32")
         pdf["n_bytes"] = [len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in text]
         yield pdf.drop(columns=["value", "question"])
@@ -184,9 +189,13 @@ def baseline(values: DataFrame) -> DataFrame:
     )
 
 
+def at_limit(n_chars: Column, n_bytes: Column) -> Column:
+    return F.coalesce(n_chars == F.col("limit_chars"), F.lit(False)) | F.coalesce(n_bytes == F.col("limit_bytes"), F.lit(False))
+
+
 def is_cut() -> Column:
-    at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") == F.col("limit_bytes"), F.lit(False))
-    return (F.col("state") == CUT) | ((F.col("state") == OPEN_SENTENCE) & (F.coalesce("marked", F.lit(True)) | at_limit)) | (at_limit & F.col("decimal"))
+    limit = at_limit(F.col("n_chars"), F.col("n_bytes"))
+    return (F.col("state") == CUT) | ((F.col("state") == OPEN_SENTENCE) & (F.coalesce("marked", F.lit(True)) | limit)) | (limit & F.col("decimal"))
 
 
 def detect(questions: DataFrame, answers: DataFrame) -> DataFrame:

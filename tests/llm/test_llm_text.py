@@ -190,6 +190,21 @@ def test_pair_defects(spark, samples):
     assert got[50] is None and got[51] is None and len(rows) == len(cases) + 2
 
 
+def test_pairs_know_the_limit_of_their_source(spark, samples):
+    """A cut decimal is truncated at the limit of its source only; a source of cut values keeps them."""
+    sound = "The method matters because careful students follow the theory of the table"
+    long = sound + ". " + sound + " and then revise the limit of the sample"
+    rows = [(5, i, "limited", f"{sound} {i}0 in the notes.") for i in range(60)]
+    rows += [(5, 100 + i, "limited", long[:130]) for i in range(4)] + [(5, 110, "limited", long[:126] + " 12."), (5, 111, "limited", sound + " 12.")]
+    rows += [(5, 200 + i, "cut", (sound + ". ") * (i % 5 + i // 59 + 1) + "The students revise the limit of the sam") for i in range(60)]
+    answers = spark.createDataFrame(rows, "question_row long, answer_row long, run_id string, answer string")
+    questions = _corpus(spark)
+    got = {r["record_row"]: r["defect"] for r in pairs.detect(questions, answers, samples).where("field = 'answers.answer'").collect()}
+    cut = {r["record_row"] for r in truncation.detect(questions, answers).where("cut and field = 'answers.answer'").collect()}
+    assert cut == {100, 101, 102, 103, 110}
+    assert {k for k, d in got.items() if d == "truncated"} == cut | set(range(200, 260))
+
+
 def test_pairs_of_empty_tables(spark, samples):
     questions = _corpus(spark).limit(0)
     answers = spark.createDataFrame([], "question_row long, answer_row long, run_id string, answer string")
