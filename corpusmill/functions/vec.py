@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -57,6 +58,16 @@ def pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive texts with at most `most` characters together; a longer text stands alone."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    a, n = 0, len(lengths)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield a, min(b, n)
+        a = b
+
+
 def owner(offsets: np.ndarray) -> np.ndarray:
     """For every code point, the number of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
