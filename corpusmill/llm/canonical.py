@@ -12,24 +12,32 @@ vocabulary; where both directions occur, the dominant script decides. A mixed wo
 occurs in the vocabulary (most are names that occur once) is repaired towards its dominant script if
 all its foreign letters have doubles there; otherwise it stays.
 
-Only values with a suspicious character reach Python; the test for that is a character class in the
-JVM. Only mixed words are looked up in the vocabulary, by an equi-join with the words of the corpus.
+Suspicious characters and mixed words are found in whole batches of code points. Only mixed words are
+looked up in the vocabulary, by an equi-join with the words of the corpus (64-bit hashes of them).
 
-Nulls stay null, empty texts stay empty, long texts are treated whole. Keys may be repeated only in
-rows that are wholly equal in their texts. Extra columns pass through.
+Nulls stay null, empty texts stay empty, long texts are treated whole. Keys may be null or repeated.
+Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.functions import vec
+from corpusmill.session import checkpointed
 
+#: Hashes of words that a task remembers to have given (8 bytes each).
+WORDS_HELD = 1_000_000
 
 def code_points(ranges: str) -> str:
     """The characters of a list of code points and ranges of them, in hexadecimal."""
@@ -57,13 +65,6 @@ _DOUBLES = {
 
 #: Characters of texts that are surely in the consistent form already (letters of two scripts in a word apart).
 _SAFE = "\t\n\\x20-\\x5f\\x61-\\x7e¡-§©«¬®°±¶·»¿À-ÿĀ-ıĴ-ľŁ-ňŊ-žΑ-ΡΣ-ωЀ-҂Ҋ-ӿ–—“”„•€"
-_SUSPICIOUS = f"[^{_SAFE}]"
-_MIXED_PAIR = r"\p{IsLatin}[\p{M}']*[\p{IsCyrillic}\p{IsGreek}]|\p{IsCyrillic}[\p{M}']*[\p{IsLatin}\p{IsGreek}]|\p{IsGreek}[\p{M}']*[\p{IsLatin}\p{IsCyrillic}]"
-# Blocks of the three scripts, to see with two plain classes that most texts hold one script only.
-_LATIN_BLOCKS = r"[A-Za-z\x{c0}-\x{24f}\x{1e00}-\x{1eff}\x{2c60}-\x{2c7f}\x{a720}-\x{a7ff}\x{ab30}-\x{ab6f}\x{fb00}-\x{fb06}\x{ff21}-\x{ff5a}]"
-_OTHER_BLOCKS = r"[\x{370}-\x{52f}\x{1c80}-\x{1c8f}\x{1f00}-\x{1fff}\x{2de0}-\x{2dff}\x{a640}-\x{a69f}]"
-_MIXED_WORD = r"[\p{L}\p{M}']*(?:" + _MIXED_PAIR + r")[\p{L}\p{M}']*"
-
 _SPACING_MARKS = re.compile("([" + re.escape(code_points("a8 af b4 b8 2d8-2dd 37a 384 385 1fbd 1fbf-1fc1 1fcd-1fcf 1fdd-1fdf 1fed-1fef 1ffd 1ffe")) + "])")
 _IN_WORD = regex.compile(rf"(?<=[oOgG])[{APOSTROPHES}]|(?<=\p{{L}})[{APOSTROPHES}](?=\p{{L}})")
 _OTHER_BLANKS = re.compile("[" + code_points("b c 1c-1f 85 a0 1680 2000-200a 2028 2029 202f 205f 3000") + "]")
@@ -116,50 +117,131 @@ def repairs(word: str) -> list[str]:
     return out
 
 
-def _fold_all(text: pd.Series) -> pd.Series:
-    return text.map(fold, na_action="ignore")
-
-
-def _repairs_all(word: pd.Series) -> pd.Series:
-    return word.map(repairs)
-
-
-def _mixed(c: Column) -> Column:
-    """A word of `c` holds letters of two scripts; false for null."""
-    other = c.rlike(_OTHER_BLOCKS) & (c.rlike(_LATIN_BLOCKS) | c.rlike(r"\p{IsGreek}"))
-    return F.coalesce(other & c.rlike(_MIXED_PAIR), F.lit(False))
-
-
-def _suspicious(c: Column) -> Column:
-    """A character outside the safe ones; texts of plain ASCII are told by their lengths, without the large class."""
-    plain = (F.octet_length(c) == F.length(c)) & ~c.rlike(r"[`\x00-\x08\x0b-\x1f\x7f]")
-    return ~plain & c.rlike(_SUSPICIOUS)
+@functools.cache
+def _safe_table() -> np.ndarray:
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in regex.finditer(f"[{_SAFE}]", "".join(map(chr, range(0x2100)))):
+        table[m.start()] = True
+    return table
+
+
+#: What a character is within words: letter of one of the three scripts, other letter, mark or apostrophe.
+_NO_WORD, _L, _C, _G, _OTHER, _MARK = range(6)
+
+
+@functools.cache
+def _kind_table() -> np.ndarray:
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    every = "".join(chr(c) if not 0xD800 <= c <= 0xDFFF else " " for c in range(sys.maxunicode + 1))
+    for kind, expression in ((_OTHER, r"\p{L}+"), (_MARK, r"[\p{M}']+"), (_L, r"\p{Latin}+"), (_C, r"\p{Cyrillic}+"), (_G, r"\p{Greek}+")):
+        for m in regex.finditer(expression, every):
+            table[m.start() : m.end()] = kind
+    return table
+
+
+def mixed_words(texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
+    """Of each text its distinct words with letters of two scripts side by side, and the hashes of all other words of two letters or more."""
+    codes, offsets = vec.pack(texts)
+    out: list[list[str]] = [[] for _ in texts]
+    kind = _kind_table()[codes]
+    starts, ends = vec.runs(kind > 0, offsets)
+    if not len(starts):
+        return out, np.empty(0, np.int64)
+    seen = np.flatnonzero(kind != _MARK)
+    k = kind[seen]
+    script = (k >= _L) & (k <= _G)
+    # a letter and the next one; no run goes over the border of a text, so both are in the run of the second
+    meet = np.flatnonzero(script[:-1] & script[1:] & (k[:-1] != k[1:]))
+    word = np.searchsorted(starts, seen[meet + 1], "right") - 1
+    meet = seen[meet] >= starts[word]
+    odd = np.unique(word[meet])
+    who = np.searchsorted(offsets, starts[odd], "right") - 1
+    for i, w in zip(who.tolist(), odd.tolist()):
+        at = offsets[i]
+        x = texts[i][starts[w] - at : ends[w] - at]
+        if x not in out[i]:
+            out[i].append(x)
+    plain = ends - starts >= 2
+    plain[odd] = False
+    return out, vec.span_hashes(codes, starts[plain], ends[plain]).view(np.int64)
+
+
+def fold_all(texts: list[str | None]) -> list[str | None]:
+    """`fold` of every text; those of safe characters only are told in one pass over all code points."""
+    codes, offsets = vec.pack([t if t is not None else "" for t in texts])
+    odd = np.flatnonzero(~_safe_table()[codes])
+    out = list(texts)
+    for i in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
+        out[i] = fold(texts[i])
+    return out
 
 
-def folded(c: Column) -> Column:
-    """`fold` of a column; clean values never leave the JVM (their place in the batch is null)."""
-    return F.coalesce(F.pandas_udf(_fold_all, "string")(F.when(_suspicious(c), c)), c)
+def _folder(columns: list[str], with_words: bool) -> Callable[..., Column]:
+    """A function of the columns: struct of their folded forms (f0, f1 ...), whether each changed (c0, ...), the mixed words of
+    all of them, and, if asked for, on some rows hashes of words of the vocabulary.
+
+    A task gives a word once or a few times, and forgets those given when they are many."""
+    fields = [f"f{i} string, c{i} boolean" for i in range(len(columns))]
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        given = np.empty(0, np.int64)
+        for batch in batches:
+            n = len(batch[0])
+            done: list[list] = [[] for _ in columns]
+            mixed: list[list[str]] = []
+            words: list = [None] * n
+            lengths = np.sum([s.str.len().fillna(0).to_numpy(dtype=np.int64) for s in batch], axis=0)
+            for a, b in vec.slices(lengths):
+                found, hashes = [], []
+                for j, s in enumerate(batch):
+                    folded = fold_all([t if isinstance(t, str) else None for t in s.iloc[a:b]])
+                    done[j] += folded
+                    m, h = mixed_words([t if t is not None else "" for t in folded])
+                    found.append(m), hashes.append(h)
+                mixed += [list(dict.fromkeys(w for m in row for w in m)) for row in zip(*found)]
+                if with_words:
+                    new = np.unique(np.concatenate(hashes))
+                    new = new[~np.isin(new, given)]
+                    if len(new):
+                        words[a] = new
+                        given = np.union1d(given, new) if len(given) < WORDS_HELD else new
+            out = {}
+            for j, s in enumerate(batch):
+                out[f"f{j}"] = pd.Series(done[j], dtype=object)
+                out[f"c{j}"] = [x is not None and x != y for x, y in zip(done[j], s)]
+            yield pd.DataFrame(out | {"mixed": mixed, "words": pd.Series(words, dtype=object)})
+
+    udf = F.pandas_udf(run, ", ".join(fields) + ", mixed array<string>, words array<long>").asNondeterministic()
+    return lambda: udf(*[F.col(c) for c in columns])
+
+
+def _spare(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def vocabulary(texts: DataFrame, columns: list[str]) -> DataFrame:
-    """word: the distinct words of one script in the columns of `texts`, folded."""
-    words = reduce(DataFrame.unionByName, [texts.select(F.explode(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}']{2,})"), 1)).alias("word")) for c in columns])
-    return words.distinct().where(~_mixed(F.col("word")))
+    """word: hashes of the distinct words of one script in the columns of `texts`, folded."""
+    words = texts.select(*columns).select(_folder(columns, True)().alias("f")).where("f.words is not null")
+    return words.select(F.explode("f.words").alias("word")).distinct()
 
 
-def _mixed_words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({_MIXED_WORD})"), 1)
+def _candidates(word: pd.Series) -> pd.Series:
+    return word.map(lambda w: [{"word": r, "hash": int(h)} for r in [repairs(w)] if r for r, h in zip(r, vec.hash_words(r).view(np.int64))])
 
 
 def repair_table(mixed: DataFrame, words: DataFrame) -> DataFrame:
-    """mixed(word), words(word) -> word, repaired: one row per distinct mixed word that has a repair.
+    """mixed(word), words(word: hash) -> word, repaired, known: one row per distinct mixed word that has a repair.
 
     The vocabulary is only semi-joined with the candidates: of its many words those survive that a
     repair gives. Both sides are spread by word; no word is hot, since both are distinct."""
-    candidates = mixed.distinct().select(F.col("word").alias("mixed"), F.posexplode(F.pandas_udf(_repairs_all, "array<string>")("word")).alias("place", "word"))
-    known = words.join(candidates.select("word").distinct(), "word", "left_semi").withColumn("known", F.lit(True))
-    ranked = candidates.join(known, "word", "left").groupBy("mixed").agg(F.min(F.struct(F.coalesce(~F.col("known"), F.lit(True)).alias("unknown"), "place", "word")).alias("best"))
-    return ranked.select(F.col("mixed").alias("word"), F.col("best.word").alias("repaired"))
+    repaired = F.pandas_udf(_candidates, "array<struct<word:string,hash:long>>")
+    candidates = mixed.distinct().select(F.col("word").alias("mixed"), F.posexplode(repaired("word")).alias("place", "r")).select("mixed", "place", "r.word", "r.hash")
+    known = words.select(F.col("word").alias("hash")).join(candidates.select("hash").distinct(), "hash", "left_semi").withColumn("known", F.lit(True))
+    ranked = candidates.join(known, "hash", "left").groupBy("mixed").agg(F.min(F.struct(F.coalesce(~F.col("known"), F.lit(True)).alias("unknown"), "place", "word")).alias("best"))
+    return ranked.select(F.col("mixed").alias("word"), F.col("best.word").alias("repaired"), (~F.col("best.unknown")).alias("known"))
 
 
 def _replace_all(text: pd.Series, table: pd.Series) -> pd.Series:
@@ -170,31 +252,66 @@ def _replace_all(text: pd.Series, table: pd.Series) -> pd.Series:
     return pd.Series(out, index=text.index, dtype=object)
 
 
-def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame | None = None, corpus_columns: list[str] | None = None) -> DataFrame:
-    """`df` with `columns` in the consistent form. The vocabulary is that of `corpus` (default: `df` itself).
+def _mixed_left(text: pd.Series) -> pd.Series:
+    return pd.Series([bool(m) for m in mixed_words([t if t is not None else "" for t in text])[0]], index=text.index)
+
+
+def _survey(df: DataFrame, columns: list[str], corpus: DataFrame | None, corpus_columns: list[str] | None, changed: bool) -> tuple[DataFrame, DataFrame, str]:
+    """(rows with a mixed word and, if asked for, those that folding changes; the vocabulary; the name of the struct of `_folder`).
 
-    Rows without a mixed word, nearly all, pass without a shuffle; those with one are joined with the
-    repairs of their words and regrouped by `key`."""
-    base = df.select(*[folded(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
-    has_mixed = reduce(Column.__or__, [_mixed(F.col(c)) for c in columns])
-    rest, some = base.where(~has_mixed), base.where(has_mixed)
-    found = some.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.concat(*[F.coalesce(_mixed_words(F.col(c)), F.array().cast("array<string>")) for c in columns]))).alias("word"))
-    corpus_columns = corpus_columns or columns
-    text = df if corpus is None else corpus
-    words = vocabulary(text.select(*[folded(F.col(c)).alias(c) for c in corpus_columns]), corpus_columns)
+    One pass over the texts; only the rows named are written down."""
+    f = _spare(df, "_f")
+    own = corpus is None
+    wanted = (F.size(f"{f}.mixed") > 0) | F.col(f"{f}.words").isNotNull()
+    if changed:
+        wanted = reduce(Column.__or__, [F.col(f"{f}.c{i}") for i in range(len(columns))], wanted)
+    rows = checkpointed(df.withColumn(f, _folder(columns, own)()).where(wanted))
+    words = rows.where(F.col(f"{f}.words").isNotNull()).select(F.explode(f"{f}.words").alias("word")).distinct() if own else vocabulary(corpus, corpus_columns or columns)
+    return rows, words, f
+
+
+def _repaired(rows: DataFrame, columns: list[str], words: DataFrame, f: str) -> DataFrame:
+    """The rows with a mixed word, their words replaced in the struct's folded forms (as columns f0, f1 ... of struct `f`)."""
+    row = _spare(rows, "_row")
+    some = checkpointed(rows.where(F.size(f"{f}.mixed") > 0).withColumn(row, F.monotonically_increasing_id()))
+    found = some.select(row, F.explode(f"{f}.mixed").alias("word"))
     table = repair_table(found.select("word"), words)
-    by_row = found.join(table, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("_repairs"))
-    fixed = some.join(by_row, some[key] == by_row["_key"], "left")
+    by_row = found.join(table, "word").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias(_spare(rows, "_repairs")))
     replace = F.pandas_udf(_replace_all, "string")
-    fixed = fixed.select(*[replace(F.col(c), F.col("_repairs")).alias(c) if c in columns else F.col(c) for c in df.columns])
-    return rest.unionByName(fixed)
+    fixed = some.join(by_row, row, "left")
+    repairs_of = F.col(by_row.columns[1])
+    new = [x for i in range(len(columns)) for x in (replace(F.col(f"{f}.f{i}"), repairs_of).alias(f"f{i}"), F.col(f"{f}.c{i}").alias(f"c{i}"))]
+    return fixed.withColumn(f, F.struct(*new))
+
+
+def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame | None = None, corpus_columns: list[str] | None = None) -> DataFrame:
+    """`df` with `columns` in the consistent form. The vocabulary is that of `corpus` (default: `df` itself).
+
+    Two passes over the texts: one finds mixed words and the vocabulary, the other gives the rows without
+    a mixed word, nearly all, without a shuffle; those with one are written down by the first pass and
+    joined with the repairs of their words. Rows keep no order; `key` is not used to tell them apart."""
+    rows, words, f = _survey(df, columns, corpus, corpus_columns, changed=False)
+    rest = df.withColumn(f, _folder(columns, False)()).where(F.size(f"{f}.mixed") == 0)
+
+    def out(part: DataFrame) -> DataFrame:
+        return part.select(*[F.col(f"{f}.f{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+    return out(rest).unionByName(out(_repaired(rows, columns, words, f)))
 
 
 def changed(df: DataFrame, key: str, columns: list[str], **corpus) -> DataFrame:
     """(key, field): the values that are not in the consistent form, or that cannot be brought into it wholly.
 
-    The form of each value is made by `consistent`, and its text is compared with the original."""
-    copies = df.select(key, *columns, *[F.col(c).alias(f"_was_{c}") for c in columns])
-    done = consistent(copies, key, columns, **corpus)
-    differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_was_{c}")) | _mixed(F.col(c)), F.lit(c)) for c in columns])
-    return done.select(key, F.explode(F.array_compact(differs)).alias("field"))
+    The forms are those of `consistent`, from the same passes; a value is given if its form differs from
+    it, or if a mixed word is left for which there is no repair."""
+    narrow = df.select(key, *columns)
+    rows, words, f = _survey(narrow, columns, corpus.get("corpus"), corpus.get("corpus_columns"), changed=True)
+    left = F.pandas_udf(_mixed_left, "boolean")
+    fixed = _repaired(rows, columns, words, f)
+
+    def fields(part: DataFrame, differs: list[Column]) -> DataFrame:
+        return part.select(key, F.explode(F.array_compact(F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, columns)]))).alias("field"))
+
+    plain = fields(rows.where(F.size(f"{f}.mixed") == 0), [F.col(f"{f}.c{i}") for i in range(len(columns))])
+    mixed = fields(fixed, [~F.col(f"{f}.f{i}").eqNullSafe(F.col(c)) | left(F.col(f"{f}.f{i}")) for i, c in enumerate(columns)])
+    return plain.unionByName(mixed)
