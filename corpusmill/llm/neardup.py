@@ -6,15 +6,19 @@
    result; a better one only leaves fewer candidates.
 2. Records with the same set are one item; exact copies never meet each other in a join.
 3. Items with the same prefix and size are one group. Two sets can be similar enough only if their
-   prefixes share a word: groups are joined on the words of their prefixes (the smaller one's shorter
-   index prefix against the larger one's probing prefix) and filtered by size, by the position of the
-   word, and, for groups of one item, by a bitmap of the set: the bits in which two bitmaps differ are
-   a lower bound of the words in which the sets do.
-4. Pairs of groups are expanded to pairs of items, filtered by their bitmaps, and verified on the sets.
-
-A word in the prefixes of very many groups is split into blocks that meet block by block, so no task
-holds all of them. Hash collisions of two words of one pair are the only deviation from exact results
-(about 1e-15 for each such pair of words).
+   prefixes share a word: groups are posted under the words of their prefixes (the smaller one's shorter
+   index prefix meets the larger one's probing prefix). A word that more than LIGHT groups post is
+   refined: sets whose first common word it is must share a second one, which stands in the prefix
+   longer by a word, so such groups are posted under the pairs of that word and a later one; pairs
+   posted too often are refined to triples. So lists stay short while a collection grows.
+4. The groups of a list meet in order of size, whole batches of lists at once in numpy, and are filtered
+   by size, by the position of the word, and, for groups of one item, by a bitmap of the set: the bits in
+   which two bitmaps differ are a lower bound of the words in which the sets do.
+5. Pairs of groups are expanded to pairs of items, filtered by their bitmaps, and verified on the sets.
+
+A list that is still long, of which the last refinement has any, is split into blocks that meet block by
+block, so no task holds all of it. Hash collisions of two words of one pair are the only deviation from
+exact results (about 1e-15 for each such pair of words).
 
 Records without a word have no similarity to any other. Nulls count as empty. Repeated rows are
 records of their own. Texts are treated whole, whatever their length. Extra columns are ignored.
@@ -22,10 +26,12 @@ records of their own. Texts are treated whole, whatever their length. Extra colu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.session import checkpointed
@@ -34,10 +40,16 @@ from corpusmill.functions import vec
 
 #: Commonest words whose counts are sent to the executors (8 + 8 bytes each).
 ORDERED_WORDS = 1_000_000
-#: 64-bit words of an item's bitmap.
-BITMAP = 4
-#: Postings of one word that meet in one task at most, on each side.
+#: 64-bit words of an item's bitmap, and of them those that groups are compared by.
+BITMAP, GROUP_BITMAP = 4, 2
+#: Groups under a word, or words, from which they are refined by a further one; words in a refined posting at most.
+LIGHT, LEVELS = 512, 3
+#: Refined words, or sets of words, of a level that are sent to the executors (8 bytes each); further ones are split into blocks.
+REFINED = 1_000_000
+#: Groups of one list that meet in one task at most, from each of two blocks.
 BLOCK = 2048
+#: Postings that are compared at once, about.
+POSTINGS_AT_ONCE = 1 << 16
 
 
 def _hash_sets(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -63,17 +75,35 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own, h = _hash_sets(pdf["text"])
-            yield pd.DataFrame({"key": pdf["key"], "words": _split(h, own, len(pdf))})
+            for a, b in vec.slices(pdf["text"].str.len().fillna(0).to_numpy(np.int64)):
+                own, h = _hash_sets(pdf["text"].iloc[a:b])
+                yield pd.DataFrame({"key": pdf["key"].iloc[a:b], "words": _split(h, own, b - a)})
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, words array<long>")
 
 
+def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(keys, counts) of the commonest of counts(key, count), at most `most`, sorted by key, and the rest.
+
+    A histogram of counts tells from which count there are few enough, so no task and no collected result holds more."""
+    step = F.floor(F.log2("count") * 16)
+    bins = sorted(counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    total, least = 0, None
+    for bin_, n in bins:
+        total += n
+        if total > most:
+            break
+        least = bin_
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64), counts
+    rows = counts.where(step >= least).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows["count"].to_numpy(np.int64), counts.where(step < least)
+
+
 def word_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the ORDERED_WORDS commonest words, sorted by hash; counted over all records."""
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").count().where("count > 1")
-    rows = counts.orderBy(F.desc("count"), "word").limit(ORDERED_WORDS).toPandas().sort_values("word")
-    return rows["word"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+    """(hashes, counts) of the commonest words, at most ORDERED_WORDS, sorted by hash; counted over all records."""
+    counts = sets.select(F.explode("words").alias("key")).groupBy("key").count().where("count > 1")
+    return _commonest(checkpointed(counts), ORDERED_WORDS)[:2]
 
 
 def _ordered(sets: DataFrame, counted: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -106,11 +136,142 @@ def _up(c: Column) -> Column:
     return F.ceil(F.round(c, 9)).cast("int")
 
 
+def _ceil(x: np.ndarray) -> np.ndarray:
+    return np.ceil(np.round(x, 9)).astype(np.int64)
+
+
 def _differing(a: str, b: str) -> Column:
     """Bits in which two bitmaps differ."""
     return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(1, BITMAP)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
 
 
+def _keys(words: np.ndarray, start: np.ndarray, size: np.ndarray, prefix: np.ndarray, refined: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By level: (row, position of the last word, key, whether it is refined at the next level) of all postings.
+
+    words: of all rows one behind the other, from `start`; prefix: length of each row's prefix proper."""
+    row = np.repeat(np.arange(len(size)), prefix)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    key = words[start[row] + place].view(np.uint64)
+    for level in range(1, LEVELS + 1):
+        more = refined[level - 1] if level <= len(refined) else np.empty(0, np.int64)
+        heavy = np.zeros(len(key), bool)
+        if len(more):
+            heavy = more[np.minimum(np.searchsorted(more, key.view(np.int64)), len(more) - 1)] == key.view(np.int64)
+        yield row, place, key.view(np.int64), heavy
+        if not heavy.any():
+            return
+        row, place, key = row[heavy], place[heavy], key[heavy]
+        n = np.minimum(prefix[row] + level, size[row]) - place - 1
+        at = np.repeat(np.arange(len(row)), n)
+        after = place[at] + 1 + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        key = vec.mix(key[at] * np.uint64(31) + words[start[row[at]] + after].view(np.uint64))
+        row, place = row[at], after
+
+
+def _posted(groups: DataFrame, t: float, refined: list[np.ndarray], count: int | None) -> DataFrame:
+    """The postings of the groups: key, info, group, bitmap; or, to be counted, only the keys of level `count`.
+
+    info holds the size (from bit 32), the position of the word (from bit 4), whether the group has several items (bit 1)
+    and whether the word is in the index prefix (bit 0)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lengths, size = pdf["prefix"].map(len).to_numpy(), pdf["size"].to_numpy(np.int64)
+            words = np.concatenate(list(pdf["prefix"])) if lengths.sum() else np.empty(0, np.int64)
+            whole = size - _ceil(t * size) + 1
+            index = size - _ceil(2 * t / (1 + t) * size) + 1
+            for level, (row, place, key, heavy) in enumerate(_keys(words, np.cumsum(lengths) - lengths, size, whole, refined), 1):
+                if count is not None:
+                    if level == count:
+                        yield pd.DataFrame({"key": key})
+                    continue
+                row, place, key = row[~heavy], place[~heavy], key[~heavy]
+                info = (size[row] << 32) | (place << 4) | ((pdf["n_items"].to_numpy()[row] > 1).astype(np.int64) << 1) | (place < index[row] + level - 1)
+                out = {"key": key, "info": info, "group": pdf["group"].to_numpy()[row]}
+                yield pd.DataFrame(out | {f"m{k}": pdf[f"m{k}"].to_numpy()[row] for k in range(GROUP_BITMAP)})
+
+    schema = "key long" if count is not None else "key long, info long, group long, " + ", ".join(f"m{k} long" for k in range(GROUP_BITMAP))
+    return groups.mapInPandas(run, schema)
+
+
+def _lists(groups: DataFrame, t: float) -> DataFrame:
+    """Postings (list, info, group, bitmap), none of whose lists has more than two blocks; bits 2 and 3 of info: 1 or 2 if only groups of the other block are met."""
+    refined: list[np.ndarray] = []
+    long: list[DataFrame] = []
+    for level in range(1, LEVELS + 1):
+        counts = checkpointed(_posted(groups, t, refined, level).groupBy("key").count().where(F.col("count") > (LIGHT if level < LEVELS else BLOCK)))
+        keys, _, rest = _commonest(counts, REFINED) if level < LEVELS else (np.empty(0, np.int64), None, counts)
+        long.append(rest.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        if not len(keys):
+            break
+        refined.append(keys)
+    posted = _posted(groups, t, refined, None)
+    over = checkpointed(functools.reduce(DataFrame.unionByName, long))
+    n = over.count()
+    if not n:
+        return posted.withColumnRenamed("key", "list")
+    posted = posted.join(F.broadcast(over) if n <= REFINED else over, "key", "left")
+    own = F.pmod(F.col("group"), F.col("blocks")).cast("int")
+    posted = posted.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), F.lit(4)).when(F.col("own") > F.col("other"), F.lit(8)).otherwise(0)
+    return posted.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(cell).alias("list"), F.col("info").bitwiseOR(side.cast("long")).alias("info"), "group", *[f"m{k}" for k in range(GROUP_BITMAP)])
+
+
+def _meet(of: np.ndarray, info: np.ndarray, group: np.ndarray, maps: list[np.ndarray], t: float) -> np.ndarray:
+    """Pairs of groups [2, n] that may be similar, of postings sorted by list and info."""
+    size = info >> 32
+    number = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
+    spread = int(size.max()) + 1
+    # in order of size, the partners of a posting are those behind it up to the largest size that is similar enough
+    last = np.searchsorted(number * spread + size, number * spread + np.minimum((size / t + 1e-9).astype(np.int64), spread - 1), "right")
+    n = np.where(info & 1 == 1, last - np.arange(len(of)) - 1, 0)
+    total = np.arange(2 * spread)
+    slack = total - 2 * _ceil(t / (1 + t) * total)
+    several = info & 2 == 2
+    maps = [m.view(np.uint64) for m in maps]
+    found = []
+    for a, b in vec.slices(n, 1 << 20):
+        i = np.repeat(np.arange(a, b), n[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+        differ = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int16) for m in maps)
+        both = size[i] + size[j]
+        keep = (differ <= slack[both]) | several[i] | several[j]
+        i, j, both = i[keep], j[keep], both[keep]
+        at_i, at_j, side = (info[i] >> 4) & 0xFFFFFFF, (info[j] >> 4) & 0xFFFFFFF, (info[i] | info[j]) & 12
+        possible = np.minimum(at_i, at_j) + 1 + np.minimum(size[i] - at_i - 1, size[j] - at_j - 1)
+        keep = (2 * possible >= both - slack[both]) & ((side == 0) | (side == 12)) & (group[i] != group[j])
+        found.append(np.stack([np.minimum(group[i[keep]], group[j[keep]]), np.maximum(group[i[keep]], group[j[keep]])]))
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+
+
+def _met(lists: DataFrame, t: float) -> DataFrame:
+    """(group_a, group_b) of groups that meet in a list and pass its filters, possibly several times.
+
+    One shuffle of the postings by list; a task holds a few batches of them at a time, and of a list at most two blocks."""
+    columns = ["list", "info", "group", *[f"m{k}" for k in range(GROUP_BITMAP)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            got = _meet(parts[0], parts[1], parts[2], parts[3:], t)
+            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["group_a", "group_b"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= POSTINGS_AT_ONCE:
+                parts = [np.concatenate(c) for c in zip(*held)]
+                edge = int(np.searchsorted(parts[0], parts[0][-1], "left"))
+                held = [[p[edge:] for p in parts]]
+                if edge:
+                    yield out([p[:edge] for p in parts])
+        if held and len(held[0][0]):
+            yield out([np.concatenate(c) for c in zip(*held)])
+
+    return lists.select(*columns).repartition("list").sortWithinPartitions("list", "info").mapInArrow(run, "group_a long, group_b long")
+
+
 def _renamed(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     bitmap = [F.col(f"m{k}").alias(f"m{side}{k}") for k in range(BITMAP)]
     return df.select(*[c for c in df.columns if c not in columns and not c.startswith("m")], *[F.col(c).alias(f"{c}_{side}") for c in columns], *bitmap)
@@ -125,28 +286,12 @@ def similar_items(sets: DataFrame, threshold: float, counted: tuple[np.ndarray,
     need = _up((t / (1 + t)) * (F.col("size_a") + F.col("size_b")))
     alike = 2 * need + _differing("ma", "mb") <= F.col("size_a") + F.col("size_b")
 
-    prefixed = ordered.select("item", "size", F.slice("words", F.lit(1), size - _up(t * size) + 1).alias("prefix"), *maps)
-    members = prefixed.withColumn("group", F.xxhash64("size", "prefix"))
-    groups = checkpointed(members.groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n_items"), *[F.first(m).alias(m) for m in maps]))
-    # a group of several items has several bitmaps: none is used at this stage
-    single = F.col("n_items") == 1
-    n_index = size - _up(2 * t / (1 + t) * size) + 1
-    postings = groups.select("group", "size", n_index.alias("n_index"), F.posexplode("prefix").alias("pos", "word"), *[F.when(single, F.col(m)).alias(m) for m in maps])
-    # blocks of common prefix words: a word's groups are dealt by hash over as many blocks as its count needs
-    heavy = postings.groupBy("word").count().where(F.col("count") > BLOCK).select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    postings = postings.join(heavy, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own_block = F.pmod(F.col("group"), F.col("blocks")).cast("int")
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["group", "size", "pos"]
-    small = _renamed(postings.where(F.col("pos") < F.col("n_index")).select("word", own_block.alias("i"), every_block.alias("j"), *columns, *maps), "a", columns)
-    large = _renamed(postings.select("word", every_block.alias("i"), own_block.alias("j"), *columns, *maps), "b", columns)
-    met = small.join(large, ["word", "i", "j"]).where(
-        ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("group_a") < F.col("group_b"))))
-        & (F.col("size_b") * t <= F.col("size_a") + 1e-9)
-        & (F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1) >= need)
-        & F.coalesce(alike, F.lit(True))
-    )
-    group_pairs = met.select("group_a", "group_b").distinct()
+    # the prefix, and the words behind it by which long lists are refined
+    prefix = F.slice("words", F.lit(1), F.least(size, size - _up(t * size) + LEVELS))
+    members = ordered.select("item", "size", prefix.alias("prefix"), *maps).withColumn("group", F.xxhash64("size", "prefix"))
+    firsts = [F.first(m).alias(m) for m in maps[:GROUP_BITMAP]]
+    groups = checkpointed(members.groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n_items"), *firsts))
+    group_pairs = checkpointed(_met(_lists(groups, t), t).distinct())
     # groups of several items also hold pairs among themselves
     within = groups.where("n_items > 1").select(F.col("group").alias("group_a"), F.col("group").alias("group_b"))
     of = members.select("group", "item", "size", *maps)
