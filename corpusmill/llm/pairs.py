@@ -3,9 +3,10 @@
 An answer is cut into clauses (sentences; a reservation and what follows it are two). A linear-chain
 conditional random field tags every clause as answer, refusal, echo, foreign or unfinished; the share
 of the words under each tag decides the pair's defect. No labelled pairs exist, so the field is
-trained on clauses of a bounded sample of the corpus's own pairs (TRAIN_ROWS) in which defects are
+trained on clauses of a bounded sample of the corpus's own pairs (about TRAIN_ROWS) in which defects are
 put by construction: questions repeated in changed form, sentences of answers in other languages,
-ends cut off, and refusals and reservations in wordings of this module.
+ends cut off, reservations, and refusals. How likely a clause is a refusal by its words, word pairs and
+letters is learned (`refusals`), and a feature of the field; no list of cues decides it.
 
 The work per pair is one pass in Python batches; the only shuffle of texts is the equi-join of answers
 with their question. A decimal cut at the length limit of its source (`truncation.baseline`) is a cut end. Whether
@@ -16,6 +17,7 @@ whole. Extra columns are dropped.
 
 from __future__ import annotations
 
+import dataclasses
 import random
 import re
 from collections.abc import Iterator
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec
 
-from . import crf, cues, langid, truncation
+from . import crf, cues, langid, ngrams, refusals, truncation
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-#: Pairs read to train the field, the smallest by hash.
+#: Pairs read to train the models, about.
 TRAIN_ROWS = 1500
 #: Rows of the language sample table that are read at most.
 SAMPLE_ROWS = 100_000
@@ -40,6 +42,10 @@ LANGUAGE_RATIO = 18.0
 LANGUAGE_GRAMS = 12
 #: Log-probability per trigram by which another language must lead.
 LANGUAGE_LEAD = 0.35
+#: Words that a foreign answer of the training set has at least.
+FOREIGN_WORDS = 6
+#: Log-odds of the refusal model from which a clause is likely one, surely one, and below which it is hardly one.
+LIKELY, SURE, UNLIKELY = 0.7, 2.0, -1.5
 
 _CITATION = re.compile(r"\s*\[[^\[\]\s]*\]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
@@ -47,21 +53,12 @@ _PREFIX = re.compile(r"(?i)^(?:question|savol|вопрос|frage|soru|q)\s*:\s*"
 _CYRILLIC = re.compile("[\u0400-\u04ff]")
 _WORD = re.compile(r"\w+(?:'\w+)*")
 
-#: Wordings that decline, with {} for a topic; training material.
-_DECLINING = (
-    "I cannot answer this question.", "I am unable to answer.", "I do not know the answer.", "I'm sorry, but I can't help with {}.", "Sorry, I cannot discuss {}.",
-    "There is not enough information about {} to respond.", "The context is insufficient to answer this question.", "No answer can be given from the passages.",
-    "I must decline to respond.", "I would rather not answer this question.", "As an AI model I am not able to help with this request.", "My guidelines prevent me from discussing {}.",
-    "This question about {} falls outside of what I can answer.", "Nothing in the passages lets me answer this.", "I have no information on {}.", "The evidence is not enough to answer.",
-    "Bilmayman.", "Bu savolga javob bera olmayman.", "Kechirasiz, {} haqida javob bera olmayman.", "Javob berish uchun ma'lumot yetarli emas.", "Afsuski, {} bo'yicha ma'lumot topilmadi.",
-    "Men bunday savollarga javob berishdan bosh tortaman.", "Matnda {} haqida hech narsa yo'q, javob berib bo'lmaydi.", "Qoidalar menga {} haqida javob berishga ruxsat bermaydi.", "Bu so'rovga yordam bera olmayman.",
-)
 #: Reservations, before an answer; training material.
 _RESERVING = ("I am not certain, but ", "It is hard to say; still, ", "Sorry for the length of this answer: ", "The passages do not say it directly, but ", "I do not know for sure, but ", "Aniq aytish qiyin, ammo ", "Kechirasiz, javob uzun: ", "Matnda ochiq aytilmagan, lekin ")
 
 FEATURES = (
     "bias", "last", "inside_60", "inside_85", "inside_all", "covers_60", "covers_85", "echo", "asks", "asks_echo",
-    "other_language", "language_unsure", "declines", "declines_short", "words_1_3", "words_4_8", "cut", "open", "phrase", "last_whole", "turned",
+    "other_language", "language_unsure", "refusal_likely", "refusal_sure", "refusal_unlikely", "turns", "words_1_3", "words_4_8", "cut", "open", "phrase", "last_whole",
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
@@ -96,15 +93,16 @@ def _words(plain: str) -> list[str]:
 
 
 class Featurizer:
-    def __init__(self, trigrams: langid.Trigrams):
-        self.trigrams = trigrams
+    def __init__(self, trigrams: langid.Trigrams, wording: ngrams.Linear):
+        self.trigrams, self.wording = trigrams, wording
 
     def batch(self, questions: list[str | None], answers: list[str], at_limit: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(features of all clauses, clauses per answer, words per clause); answers with content.
 
         at_limit: whether an answer has the length at which those of its source are cut."""
         asked = [_fold(q) if q else "" for q in questions]
-        parts, folded, belongs, lengths, extra = [], [], [], [], []
+        parts, plains, folded, belongs, lengths, extra = [], [], [], [], [], []
+        unended: list[int] = []
         for i, a in enumerate(answers):
             own = clauses(a)
             state = truncation.state(a)
@@ -114,25 +112,22 @@ class Featurizer:
             for j, part in enumerate(own):
                 f = []
                 plain = cues.plain(part)
-                if cues.REFUSAL.search(plain):
-                    if cues.declines(plain):
-                        f.append(_AT["declines"])
-                        if len(plain.split()) <= 16:
-                            f.append(_AT["declines_short"])
-                    else:
-                        f.append(_AT["turned"])
                 if "?" in part[-3:]:
                     f.append(_AT["asks"])
-                if j == len(own) - 1:
+                if j < len(own) - 1:
+                    if part[-1] in ",:":
+                        f.append(_AT["turns"])
+                else:
                     f.append(_AT["last"])
                     if state == truncation.CUT or at_limit and at_limit[i] and truncation.decimal(a):
                         f.append(_AT["cut"])
-                    elif state == truncation.OPEN_SENTENCE and not (_AT["declines"] in f or truncation._same_as(part, questions[i])):
-                        f.append(_AT["open"])
+                    elif state == truncation.OPEN_SENTENCE and not truncation._same_as(part, questions[i]):
+                        unended.append(len(parts))
                     else:
                         f.append(_AT["phrase"] if state == truncation.PHRASE else _AT["last_whole"])
                 extra.append(f)
                 parts.append(part)
+                plains.append(plain)
                 folded.append(_PREFIX.sub("", plain if cross else _fold(part)))
                 belongs.append(i)
             lengths.append(len(own))
@@ -142,6 +137,14 @@ class Featurizer:
         x[:, _AT["bias"]] = 1
         for r, f in enumerate(extra):
             x[r, f] = 1
+        odds = self.wording.scores(plains)[:, 0]
+        x[:, _AT["refusal_likely"]] = odds > LIKELY
+        x[:, _AT["refusal_sure"]] = odds > SURE
+        x[:, _AT["refusal_unlikely"]] = odds < UNLIKELY
+        # a refusal needs no end mark; a word or two at the end of an answer are no refusal
+        alone = np.array([lengths[belongs[r]] == 1 for r in unended], dtype=bool)
+        done = (odds[unended] > LIKELY) & (alone | (np.array([plains[r].count(" ") for r in unended], dtype=int) > 1))
+        x[unended, np.where(done, _AT["last_whole"], _AT["open"])] = 1
         belong = np.array(belongs)
         words, inside, covers = _overlap(folded, belong, asked)
         x[:, _AT["inside_all"]] = inside >= 0.999
@@ -197,12 +200,17 @@ def _changed(question: str, rng: random.Random) -> str:
     return [question, question.upper(), mark.lower(), mark + ".", f"«{question}»", f"{question} {question}", f"Question: {question}", " ".join(question.split()[1:])][form]
 
 
-def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, seed: int = 7) -> tuple[list[str], list[str], list[list[int]]]:
+def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, wording: ngrams.Linear, seed: int = 7) -> tuple[list[str], list[str], list[list[int]]]:
     """Questions, answers with constructed defects, and the tags of their clauses."""
     rng = random.Random(seed)
-    good = [(q, a) for q, a in pairs if q and not cues.empty(q) and not cues.empty(a) and truncation.state(a) in (truncation.WHOLE, truncation.PHRASE) and not cues.REFUSAL.search(cues.plain(a))]
+    good = [(q, a) for q, a in pairs if q and not cues.empty(q) and not cues.empty(a) and truncation.state(a) in (truncation.WHOLE, truncation.PHRASE)]
+    cut = [[cues.plain(c) for c in clauses(a)] for _, a in good]
+    odds = wording.scores([c for part in cut for c in part])[:, 0]
+    worst = np.full(len(good), -np.inf)
+    np.maximum.at(worst, np.repeat(np.arange(len(good)), [len(c) for c in cut]), odds)
+    good = [pair for pair, z in zip(good, worst) if z < 0]
     asked, given = trigrams.scores([q for q, _ in good])[0].argmax(axis=1), trigrams.scores([a for _, a in good])[0].argmax(axis=1)
-    topic_words = [w for q, _ in good[:200] for w in q.lower().split() if w.isalpha()] or ["this"]
+    refused = iter(refusals.sentences(len(good) + 1, rng, topics([a for _, a in good]))[0])
     clean = []
     for (q, a), x, y in zip(good, asked, given):
         overlap = len(set(_words(cues.plain(a))) & set(_words(cues.plain(q)))) / max(1, len(set(_words(cues.plain(a)))))
@@ -229,14 +237,17 @@ def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, seed:
         n = len(clauses(a))
         kind = rng.randrange(8)
         if kind <= 1:
-            add(q, a, [ANSWER] * n)
+            phrase = " ".join(a.lower().rstrip(".!?").split()[-rng.randrange(2, 4) :])
+            # some answers are a short phrase
+            add(q, *((phrase, [ANSWER]) if rng.randrange(4) == 0 and truncation.state(phrase) == truncation.PHRASE else (a, [ANSWER] * n)))
         elif kind == 2:
             echo = _changed(q, rng)
             add(q, echo, [ECHO] * len(clauses(echo)))
         elif kind == 3 and q.endswith("?"):
             add(q, f"{q} {a}", [ECHO] * len(clauses(q)) + [ANSWER] * n)
         elif kind == 4:
-            text = rng.choice(_DECLINING).format(f"the {rng.choice(topic_words)} {rng.choice(topic_words)}")
+            # in any language, whatever that of the question
+            text = next(refused)
             form = rng.randrange(4)
             add(q, [text, text, text.upper(), text.rstrip(".")][form], [REFUSAL] * 3)
         elif kind == 5:
@@ -245,7 +256,8 @@ def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, seed:
             add(q, text, [ANSWER] * len(clauses(text)))
         elif kind == 6 and others[int(x)]:
             text = some(rng.choice(others[int(x)]))
-            add(q, text, [FOREIGN] * len(clauses(text)))
+            if len(text.split()) >= FOREIGN_WORDS:  # of a phrase no one can tell
+                add(q, text, [FOREIGN] * len(clauses(text)))
         elif kind == 7 and len(a) > 60:
             text = a[: rng.randrange(30, len(a) - 2)] + rng.choice(["", "", "...", " [ds00012_ch0", "\ufffd", ","])
             if truncation.state(text) in (truncation.CUT, truncation.OPEN_SENTENCE):
@@ -254,14 +266,29 @@ def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, seed:
     return qs, out, tags
 
 
-def fit(questions: DataFrame, samples: DataFrame) -> tuple[crf.CRF, langid.Trigrams]:
-    """Trigrams from the language samples; the field from TRAIN_ROWS pairs, the smallest by hash."""
+@dataclasses.dataclass(frozen=True)
+class Model:
+    field: crf.CRF
+    trigrams: langid.Trigrams
+    wording: ngrams.Linear
+
+
+def topics(texts: list[str]) -> list[str]:
+    """Words of some texts, to speak about in training sentences."""
+    return [w for t in texts[:400] for w in cues.plain(t).split() if w.isalpha() and len(w) > 3] or ["theory"]
+
+
+def fit(questions: DataFrame, samples: DataFrame) -> Model:
+    """Trigrams from the language samples; the rest from about TRAIN_ROWS pairs, those with the smallest hashes.
+
+    The hash from which a row is left out follows from the number of rows, so no task gives more than its share."""
     s = samples.select("language", "text").where("text is not null and language is not null").limit(SAMPLE_ROWS).toPandas()
-    trigrams = fit_trigrams(list(s["text"]), list(s["language"]))
     rows = questions.select("question_row", "question_text", "reference_answer").where("question_text is not null and reference_answer is not null")
-    rows = rows.orderBy(F.xxhash64("question_row")).limit(TRAIN_ROWS).select("question_text", "reference_answer").toPandas()
-    qs, answers, tags = training_set(list(rows.itertuples(index=False, name=None)), trigrams)
-    return train(qs, answers, tags, trigrams), trigrams
+    share = TRAIN_ROWS / max(rows.count(), 1)
+    drawn = rows.where(F.pmod(F.xxhash64("question_row"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))).select("question_row", "question_text", "reference_answer").toPandas()
+    # repeated keys may draw more rows: the order makes the draw the same on every cluster
+    drawn = drawn.sort_values(["question_row", "question_text", "reference_answer"])
+    return train(list(drawn[["question_text", "reference_answer"]].itertuples(index=False, name=None)), list(s["text"]), list(s["language"]))
 
 
 def fit_trigrams(texts: list[str], languages: list[str]) -> langid.Trigrams:
@@ -270,14 +297,18 @@ def fit_trigrams(texts: list[str], languages: list[str]) -> langid.Trigrams:
     return langid.Trigrams.fit(texts + [t for t, _ in other], languages + [x for _, x in other])
 
 
-def train(qs: list[str], answers: list[str], tags: list[list[int]], trigrams: langid.Trigrams) -> crf.CRF:
+def train(pairs: list[tuple[str, str]], sentences: list[str], languages: list[str]) -> Model:
+    """From pairs of the corpus and labelled sentences, which are also examples of clauses that decline nothing."""
+    trigrams = fit_trigrams(sentences, languages)
+    wording = refusals.fit([c for _, a in pairs for c in clauses(a)], sentences, topics(sentences + [a for _, a in pairs]))
+    qs, answers, tags = training_set(pairs, trigrams, wording)
     if not qs:  # nothing to learn from: an untrained field, which tags everything `answer`
-        return crf.CRF(np.zeros((len(FEATURES), len(TAGS))), np.zeros((5, 5)), np.array([1.0, 0, 0, 0, 0]), np.zeros(5))
-    x, lengths, _ = Featurizer(trigrams).batch(qs, answers)
-    return crf.train(x.astype(np.float64), np.concatenate([np.array(t) for t in tags]), lengths, len(TAGS), steps=100)
+        return Model(crf.CRF(np.zeros((len(FEATURES), len(TAGS))), np.zeros((5, 5)), np.array([1.0, 0, 0, 0, 0]), np.zeros(5)), trigrams, wording)
+    x, lengths, _ = Featurizer(trigrams, wording).batch(qs, answers)
+    return Model(crf.train(x.astype(np.float64), np.concatenate([np.array(t) for t in tags]), lengths, len(TAGS), steps=100), trigrams, wording)
 
 
-def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF, trigrams: langid.Trigrams, at_limit: list[bool] | None = None) -> tuple[list[str | None], np.ndarray]:
+def judge(questions: list[str | None], answers: list[str | None], model: Model, at_limit: list[bool] | None = None) -> tuple[list[str | None], np.ndarray]:
     """(defect or None, share of words under each tag) of every pair."""
     defect: list[str | None] = [None] * len(answers)
     share = np.zeros((len(answers), len(TAGS)))
@@ -289,8 +320,8 @@ def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF
             full.append(i)
     if not full:
         return defect, share
-    x, lengths, weights = Featurizer(trigrams).batch([questions[i] for i in full], [answers[i] for i in full], [at_limit[i] for i in full] if at_limit else None)
-    tags = model.decode(x, lengths)
+    x, lengths, weights = Featurizer(model.trigrams, model.wording).batch([questions[i] for i in full], [answers[i] for i in full], [at_limit[i] for i in full] if at_limit else None)
+    tags = model.field.decode(x, lengths)
     own = np.repeat(np.arange(len(full)), lengths)
     got = np.zeros((len(full), len(TAGS)))
     np.add.at(got, (own, tags), weights)
@@ -314,16 +345,18 @@ def judge(questions: list[str | None], answers: list[str | None], model: crf.CRF
 
 def detect(questions: DataFrame, answers: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per pair: field, record_row, defect (null if sound) and the share of words under each tag."""
-    model, trigrams = fit(questions, samples)
+    model = fit(questions, samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            defect, share = judge(list(pdf["question"]), list(pdf["value"]), model, trigrams, list(pdf["at_limit"]))
-            out = pdf[["field", "record_row"]].copy()
-            out["defect"] = pd.Series(defect, dtype=object, index=out.index)
-            for j, tag in enumerate(TAGS):
-                out[f"{tag}_share"] = share[:, j]
-            yield out
+        for whole in batches:
+            for a, b in vec.slices((whole["value"].str.len().fillna(0) + whole["question"].str.len().fillna(0)).to_numpy(np.int64)):
+                pdf = whole.iloc[a:b]
+                defect, share = judge(list(pdf["question"]), list(pdf["value"]), model, list(pdf["at_limit"]))
+                out = pdf[["field", "record_row"]].copy()
+                out["defect"] = pd.Series(defect, dtype=object, index=out.index)
+                for j, tag in enumerate(TAGS):
+                    out[f"{tag}_share"] = share[:, j]
+                yield out
 
     # a row per source, so the texts are not shuffled for it
     usual = F.broadcast(truncation.baseline(truncation.values_of(questions, answers, asked=False)))

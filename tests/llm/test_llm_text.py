@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import canonical, crf, cues, language, pairs, truncation
 
+import heldout
 import numpy as np
+import pyarrow.parquet as pq
+
+FOLDER = "/root/testdata/sf0.01"
 
 SAMPLES = [
     ("en", "Latn", "The table lists many careful students who follow the theory and then revise the limit of the sample. Because the matrix is sparse, readers become modest."),
@@ -156,22 +160,47 @@ def test_declines():
         assert not cues.declines(cues.plain(text)), text
 
 
-def test_every_refusal_reaches_the_field():
-    """Wordings in either script and in loose blanks: no cheaper test may keep a clause from the expression."""
-    texts = ["Bu savolga javob berib bo'lmaydi.", "Matnda bu haqda ma'lumot yo'q.", "As an AI, I must stay silent on this question.", "Qoidalar bunga yo'l qo'ymaydi.", "I can  not answer this question."]
-    texts += [cues.cyrillic(t) for t in (texts[0], texts[1], texts[3])] + ["Бу саволга жавоб бериб бўлмайди.", "Матнда бу ҳақда маълумот йўқ."]
-    x, lengths, _ = pairs.Featurizer(pairs.fit_trigrams([t for *_, t in SAMPLES], [a for a, *_ in SAMPLES])).batch([None] * len(texts), texts)
-    held = [t for t in texts if cues.declines(cues.plain(t))]
-    assert (lengths == 1).all() and len(held) >= 8
-    assert [t for t, on in zip(texts, x[:, pairs._AT["declines"]]) if on] == held
+@pytest.fixture(scope="module")
+def model():
+    """Trained on the questions of the small tables."""
+    rows = pq.read_table(f"{FOLDER}/questions.parquet", columns=["question_text", "reference_answer"]).to_pylist()
+    known = [(r["question_text"], r["reference_answer"]) for r in rows if r["question_text"] and r["reference_answer"]]
+    labelled = pq.read_table(f"{FOLDER}/lang_samples.parquet", columns=["language", "text"]).to_pylist()
+    return pairs.train(known, [r["text"] for r in labelled], [r["language"] for r in labelled])
 
 
-def _corpus(spark):
+ASKED = {"en": "Which early critic doubts that the median describes the sample?", "uz": "Nima uchun mediana tanlanmani yaxshiroq tavsiflaydi deb hisoblanadi?", "ru": None}
+
+
+@pytest.mark.parametrize("asked", ["en", "uz"])
+@pytest.mark.parametrize("language", ["en", "uz", "ru"])
+def test_refusals_in_other_words(model, asked, language):
+    """Wordings that no training pattern has, in the language of the question or another: a refusal is no foreign answer."""
+    texts = heldout.REFUSALS[language]
+    assert len(texts) >= 40
+    texts = texts + [cues.cyrillic(t) for t in texts] if language == "uz" else texts
+    defects, _ = pairs.judge([ASKED[asked]] * len(texts), texts, model)
+    assert defects.count("refusal") >= 0.9 * len(texts), [t for t, d in zip(texts, defects) if d != "refusal"]
+
+
+@pytest.mark.parametrize("language", ["en", "uz", "ru"])
+def test_answers_that_decline_nothing(model, language):
+    texts = heldout.ANSWERED[language]
+    assert len(texts) >= 40
+    defects, _ = pairs.judge([ASKED[language]] * len(texts), texts, model)
+    assert defects.count(None) >= 0.9 * len(texts), [t for t, d in zip(texts, defects) if d]
+
+
+def _pairs():
     """Enough sound pairs in two languages to train on."""
     en = [f"The theory number {i} matters because careful students revise the limit of sample {i}. Readers of the table follow the method {i} in these notes." for i in range(160)]
     uz = [f"Talabalar avval {i} ta nazariyani tekshirish, keyin esa chegarani asoslash bilan shug'ullanadi. Bu bobda {i} ta tajriba belgini o'zgartiradi." for i in range(160)]
     rows = [(i, f"What does the early critic {i} say about the proof in Bivor {i}?", t, "en") for i, t in enumerate(en)] + [(200 + i, f"Nima uchun {i} ta isbot Zadbor {i} uchun chegara emas, balki tajriba?", t, "uz") for i, t in enumerate(uz)]
-    return spark.createDataFrame([(a, "c", d, b, c) for a, b, c, d in rows], "question_row long, course_id string, language string, question_text string, reference_answer string")
+    return [(a, d, b, c) for a, b, c, d in rows]
+
+
+def _corpus(spark):
+    return spark.createDataFrame([(a, "c", d, b, c) for a, d, b, c in _pairs()], "question_row long, course_id string, language string, question_text string, reference_answer string")
 
 
 def test_pair_defects(spark, samples):
