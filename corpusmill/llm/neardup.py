@@ -10,7 +10,8 @@
    index prefix meets the larger one's probing prefix). A word that more than LIGHT groups post is
    refined: sets whose first common word it is must share a second one, which stands in the prefix
    longer by a word, so such groups are posted under the pairs of that word and a later one; pairs
-   posted too often are refined to triples. So lists stay short while a collection grows.
+   posted too often are refined to triples. So lists stay short while a collection grows. Sets so small
+   that the words of a list are all they need have in common stay in it as well.
 4. The groups of a list meet in order of size, whole batches of lists at once in numpy, and are filtered
    by size, by the position of the word, and, for groups of one item, by a bitmap of the set: the bits in
    which two bitmaps differ are a lower bound of the words in which the sets do.
@@ -181,17 +182,24 @@ def _posted(groups: DataFrame, t: float, refined: list[np.ndarray], count: int |
             words = np.concatenate(list(pdf["prefix"])) if lengths.sum() else np.empty(0, np.int64)
             whole = size - _ceil(t * size) + 1
             index = size - _ceil(2 * t / (1 + t) * size) + 1
+            least = _ceil(t * size)
             for level, (row, place, key, heavy) in enumerate(_keys(words, np.cumsum(lengths) - lengths, size, whole, refined), 1):
+                # sets so small that the words of the key are enough may have no further word in common: they stay here, in a list of their own
+                small = heavy & (least[row] <= level)
+                key = np.where(small, vec.mix(key.view(np.uint64) ^ np.uint64(0x5BD1E995)).view(np.int64), key)
                 if count is not None:
                     if level == count:
-                        yield pd.DataFrame({"key": key})
+                        yield pd.DataFrame({"key": key, "small": False})
+                    elif level == count - 1:
+                        yield pd.DataFrame({"key": key[small], "small": True})
                     continue
-                row, place, key = row[~heavy], place[~heavy], key[~heavy]
+                stay = ~heavy | small
+                row, place, key = row[stay], place[stay], key[stay]
                 info = (size[row] << 32) | (place << 4) | ((pdf["n_items"].to_numpy()[row] > 1).astype(np.int64) << 1) | (place < index[row] + level - 1)
                 out = {"key": key, "info": info, "group": pdf["group"].to_numpy()[row]}
                 yield pd.DataFrame(out | {f"m{k}": pdf[f"m{k}"].to_numpy()[row] for k in range(GROUP_BITMAP)})
 
-    schema = "key long" if count is not None else "key long, info long, group long, " + ", ".join(f"m{k} long" for k in range(GROUP_BITMAP))
+    schema = "key long, small boolean" if count is not None else "key long, info long, group long, " + ", ".join(f"m{k} long" for k in range(GROUP_BITMAP))
     return groups.mapInPandas(run, schema)
 
 
@@ -200,9 +208,9 @@ def _lists(groups: DataFrame, t: float) -> DataFrame:
     refined: list[np.ndarray] = []
     long: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
-        counts = checkpointed(_posted(groups, t, refined, level).groupBy("key").count().where(F.col("count") > (LIGHT if level < LEVELS else BLOCK)))
-        keys, _, rest = _commonest(counts, REFINED) if level < LEVELS else (np.empty(0, np.int64), None, counts)
-        long.append(rest.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        counts = checkpointed(_posted(groups, t, refined, level).groupBy("key", "small").count().where(F.col("count") > F.when(~F.col("small") & F.lit(level < LEVELS), LIGHT).otherwise(BLOCK)))
+        keys, _, rest = _commonest(counts.where("not small"), REFINED) if level < LEVELS else (np.empty(0, np.int64), None, counts.where("not small"))
+        long.append(rest.unionByName(counts.where("small")).where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
         if not len(keys):
             break
         refined.append(keys)
