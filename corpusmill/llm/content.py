@@ -1,19 +1,21 @@
 """Scores of abusive, hateful and sexually explicit language, by weak supervision.
 
-Sentences are judged, documents take their worst sentence. For each category many voters (lexicons and
-patterns, in English, Uzbek of both scripts and Russian) vote for or against it or abstain, on a form of
-the text in which disguises are undone (digits for letters, stretched and spaced letters, look-alikes).
+Sentences are judged, documents take their worst sentence. For each category many voters (`lexicon`:
+lexicons by role, and patterns of roles that stand together, in English, Uzbek of both scripts and
+Russian) vote for or against it or abstain, on a form of the text in which disguises are undone (digits
+for letters, stretched and spaced letters, look-alikes). Words that the labelled samples of a category
+have and its harmless ones have not are voters too, read when the model is fitted.
 
 A generative label model takes the vote patterns of all sentences of all documents, with their counts,
-and estimates by expectation-maximisation how often each voter votes each way with and without the
-category, and how strongly voters vote alike beyond that; correlated voters are weighed down. The small
-table of labelled sentences anchors it. Its posteriors are the labels on which a linear classifier over
-the votes and hashed words and word pairs is trained; the classifier scores every sentence of every
-document, those without a vote too.
+and estimates by expectation-maximisation how often each voter votes with and without the category,
+given the vote of the voter that it depends on most: the dependencies form a tree, of the greatest
+mutual information between voters beyond what the category explains. The small table of labelled
+sentences anchors it. Its posteriors are the labels on which a linear classifier over the votes and over
+words, word pairs and character 4-grams (`ngrams`) is trained; the classifier scores every sentence of
+every document, those without a vote too, in the form that it is trained on.
 
-Three passes over the texts, none with a shuffle of them: vote patterns (a bounded number per category),
-a bounded sample of sentences for the classifier (TRAIN_SENTENCES, the smallest by hash), and the scores.
-The first two are one pass.
+Two passes over the texts, none with a shuffle of them: vote patterns and a bounded sample of sentences
+for the classifier (TRAIN_SENTENCES, those with the smallest hashes), and the scores.
 
 Null and empty texts score 0. Whole texts are judged, whatever their length. Repeated rows are scored
 each. Extra columns are dropped, but those asked for.
@@ -21,68 +23,37 @@ each. Extra columns are dropped, but those asked for.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec
 
-from . import cues, literals
+from . import cues, lexicon, ngrams
+from .lexicon import CATEGORIES, VOTERS
 
-CATEGORIES = ("abusive", "hateful", "sexual")
-#: Sentences of each kind (with a vote for a category or not) on which the classifier is trained.
-TRAIN_SENTENCES = 4000
+#: Sentences of each kind on which the classifier is trained, about: with several votes for a category, with one, with none.
+TRAIN_SENTENCES = 3000
+KINDS = ("strong", "weak", "silent")
 #: Labelled sentences that are read at most, and the weight of one against a sentence of the corpus.
 SAMPLE_ROWS, SAMPLE_WEIGHT = 10_000, 5.0
-#: Vote patterns of a category that are kept at most (the commonest); the rest would be a vanishing share.
-PATTERNS = 20_000
+#: Weight of a sentence without a vote: that no voter knows its words says little about them.
+SILENT_WEIGHT = 0.3
+#: Weight of a vote without a text.
+ALONE_WEIGHT = 20.0
+#: Share of sentences that a category may have at most before any vote, and log-odds that the silence of a voter may move.
+PRIOR, SILENCE = 0.1, 0.25
+#: Words of a category's samples that become voters: by how much more of the category's samples have them, and how many at most.
+SAMPLED_LEAD, SAMPLED_WORDS = 2.0, 200
 #: Score from which a document counts as a case.
 THRESHOLD = 0.5
-BITS = 15
-
-# The voters: name -> (category, vote, expression). Expressions are matched in one lower-case Latin form.
-_INSULT = r"(?:idiots?|imbeciles?|morons?|cretins?|dumbass\w*|halfwits?|half-wits?|losers?|parasites?|clowns?|pigs?|fools?|dimwits?|jerks?|scumbags?|scum|bastards?|assholes?|arseholes?|bitch\w*|whores?|sluts?|dunces?|nitwits?|twits?|trash|garbage|filth|worms?|cockroach\w*|retards?|dummy|dummies|donkeys?|swine|pricks?|wankers?|blockheads?|dickheads?|shitheads?|motherfuckers?|eshak\w*|tentak\w*|nodon\w*|ahmoq|ahmoqsan\w*|ahmoqlar|jinni|iflos\w*|ablah\w*|yaramas\w*|hayvon|cho'chqa\w*|it emgan|galvars|merov|tupoy\w*|idiot\w*|pridur\w*|mraz\w*|durak\w*|kretin\w*|debil\w*|svoloch\w*|skotina\w*|tvar\w*|urod\w*|podonok\w*|nichtoj\w*)"
-_SCORN = r"(?:stupid|pathetic|filthy|disgusting|worthless|miserable|useless|brainless|dumb|ugly|idiotic|moronic|hopeless|rotten|vile|nasty|lousy|jirkanch|befoyda|yaramas|iflos|ahmoq|razil|pastkash|tupoy|tupaya|tupie|jalk\w+|merzk\w+)"
-_GROUP = r"(?:refugees?|immigrants?|migrants?|foreigners?|believers?|infidels?|southerners?|northerners?|easterners?|westerners?|natives?|minorit\w+|tribes?|people of \w+|their kind|those people|druvan\w*|ilvan\w*|osmer\w*|tarnish\w*|brask\w*|kalvor\w*|muhojir\w*|qochqin\w*|kelgindi\w*|dindor\w*|bejen\w*|migrant\w*|immigrant\w*|inostran\w*|priezj\w*)"
-VOTERS = {
-    "insult": ("abusive", 1, rf"\b{_INSULT}\b"),
-    "scorn": ("abusive", 1, rf"\b{_SCORN}\b"),
-    "scorned_insult": ("abusive", 1, rf"\b{_SCORN} (?:\w+ )?{_INSULT}\b"),
-    "you_insult": ("abusive", 1, rf"\b(?:you|you're|your|u|sen|siz|ti|vi|ty|vy)\b[ ,]+(?:\w+[ ,]+){{0,4}}{_INSULT}|{_INSULT}(?:san|siz)\b"),
-    "dismissal": ("abusive", 1, r"\b(?:shut (?:the \w+ )?up|get lost|go (?:to hell|jump|die|away and)|jump off|drop dead|disappear for good|just disappear|nobody (?:likes|wants|needs|loves)|piss off|fuck (?:off|you)|screw you|eat shit|ovozingni o'chir|yo'qol|ko'zimdan|daf bo'l|tilingni tiy|senga joy yo'q|zatknis\w*|ubiray\w*|poshol|poshel|provalivay\w*|zakroy rot)"),
-    "threat": ("abusive", 1, r"\b(?:i (?:will|'ll|am going to|shall|would|wanna|want to) (?:\w+ ){0,2}(?:smash|kill|break|hurt|beat|crush|punch|strangle|find|destroy|burn|slap) (?:you|your|u)\b|smash your|break your|i hope you (?:\w+ )?(?:choke|die|rot|suffer|fail|burn)|choke on|boshingni yoraman|boshingni yor\w+|o'ldiraman|uraman|sindiraman|kaltaklayman|ub'yu|ubyu|slomayu|razob'yu|sdoxni)"),
-    "second_person": ("abusive", 1, r"\b(?:you|your|yourself|sen|seni|senga|sensan|ko'rmaganman|ti|tebya|tebe|tvoy\w*)\b"),
-    "plain_abusive": ("abusive", -1, r"\b(?:books?|chapter|fallac\w+|proof|study|archive|table|sample|concerns?|problem|logic\w*|argument\w*|theory|asarda|dalil|mantiqiy|xatodir|matnda|simple|process|puzzle|kitob\w*)\b"),
-    "group": ("hateful", 1, rf"\b{_GROUP}\b"),
-    "vermin": ("hateful", 1, r"\b(?:vermin|rats?|cockroach\w*|parasites?|subhuman\w*|animals?|plague|disease|cancer|pests?|infest\w*|not (?:even )?human|no humans?|not people|inferior race|lesser race|dirty race|breed like|kalamush\w*|odam emas|hasharot\w*|parazit\w*|ne lyudi|ne lyudi|krisi|kris|nelyud\w*|nizsh\w* rasa)\b"),
-    "group_vermin": ("hateful", 1, rf"\b{_GROUP}\b.{{0,80}}\b(?:vermin|rats?|cockroach\w*|parasites?|subhuman|animals|plague|human|inferior|filthy|kalamush\w*|odam emas|krisi|ne lyudi|infest\w*|breed|poison\w*|bullet|kopay\w*|ko'payib)\b"),
-    "expel": ("hateful", 1, r"\b(?:driven? (?:\w+ )?out|round(?:ed)? up|kick(?:ed)? (?:\w+ )?out|throw (?:\w+ )?out|deport\w*|banish\w*|exterminat\w*|wip(?:e|ed) out|get rid of|keep (?:the |all |those )?\w+ away|burn(?:ed)? (?:down )?their|out of (?:every|our|this) (?:campus|country|city|school)|haydash kerak|haydab chiqar\w*|quvib chiqar\w*|yoqish kerak|uyini yoq\w*|uylarini yoq\w*|qirib tashla\w*|gnat|sjech\w*|vignat\w*|istreb\w*|doma nado)"),
-    "poison": ("hateful", 1, r"\b(?:poison(?:s|ing)? (?:this|our|the) (?:country|nation|land|school\w*|blood)|ruin(?:s|ing)? (?:this|our) (?:country|nation)|yurtimizni|yurtni bulg'\w*|bulg'ay\w*|vatanimizni|otravlyayut|portyat stranu|nashu stranu)"),
-    "only_good": ("hateful", 1, r"\b(?:only good (?:thing|one)s? (?:for \w+|is)|is a bullet|a bullet for|should (?:all )?(?:be shot|hang|die|burn|be hanged|be gassed)|deserve to die|sit next to|o'lishi kerak|otish kerak|rasstrel\w*|povesit)"),
-    "all_of_them": ("hateful", 1, r"\b(?:all (?:those |these |the )?\w+ (?:must|should)|barcha \w+larni\w*|hamma \w+larni|ularning|ular|ix|etix|vsex)\b"),
-    "plain_hateful": ("hateful", -1, r"\b(?:laws?|chapter|study|counted|method|history|free expression|argues|survey|table|asarda|explains?|archive|sample|column|census|bobda|maktabida|tanqid)\b"),
-    "explicit": ("sexual", 1, r"\b(?:porn\w*|nudes?|horny|orgasm\w*|cocks?|dicks?|pussy|tits|boobs?|blowjob\w*|cum|cumshot\w*|anal|erotic\w*|masturbat\w*|fuck(?:ing|ed)? (?:me|her|him|you)|xxx|milf|striptease|hookups?|sex tape|dildo\w*|penis|vagina|ehtirosli\w*|behayo|seks|seksi|pornografik|buzuq|shahvoniy\w*|poyrno|seksa|seksu|seksom|golie|golaya|golim|trax\w*|intim\w*|vozbujd\w*|razdet\w*)\b"),
-    "bare": ("sexual", 1, r"\b(?:naked|nude|undress\w*|topless|bare (?:body|breasts?)|yalang'och\w*|badan\w*|obnaj\w*|gol\w{2}|sex|sexy|breasts?)\b"),
-    "invitation": ("sexual", 1, r"\b(?:send me|come to my|watch (?:my|me)|want to (?:lick|kiss|touch|taste|fuck|see)|wanna|looking for|i want|touch myself|adults? only|click (?:for|here)|webcam|uncensored|tonight|menga .{0,40}yubor|o'pib chiq\w*|faqat kattalar|kattalar uchun|bosing|yubor|prishli mne|xochu|hochu|dlya vzroslix|bez tsenzuri|tol'ko dlya|tolko dlya)"),
-    "body": ("sexual", 1, r"\b(?:lick\w*|moan\w*|every inch|bod(?:y|ies)|clothes|lips|bed|thighs?|kiss\w*|badaning\w*|o'pib|rasmlaring\w*|foto|telo)\b"),
-    "explicit_invitation": ("sexual", 1, r"\b(?:send|watch|want|click|looking|lick|hot|big|loud)\b.{0,60}\b(?:nudes?|naked|porn\w*|cock|sex|horny|nude)\b|yalang'och .{0,40}(?:yubor|chiqmoqchi)|golie foto|seks video\w*|goryach\w* porno|yubor.{0,20}ehtiros"),
-    "adult_show": ("sexual", 1, r"\b(?:webcam show|sex tape|adult (?:models?|videos?|clips?)|adults? only|porn (?:clips?|videos?)|fully naked|loud sex|behayo \w+ video\w*|seks video\w*|porno)\b"),
-    "plain_sexual": ("sexual", -1, r"\b(?:selection|dimorphism|binary|column|variable|census|survey|censorship|chapter|dialogue|treated|question of|naked truth|samples?|tanlanish\w*|tushuntiriladi|study|coded|genetic\w*|reveals?|ratio|species|education)\b"),
-}
-_BY = {c: [n for n, v in VOTERS.items() if v[0] == c] for c in CATEGORIES}
-_EXPR = {n: re.compile(v[2]) for n, v in VOTERS.items()}
-_VOTE = [v[1] for v in VOTERS.values()]
-_SEARCH = [e.search for e in _EXPR.values()]
-_PLACES = {c: [i for i, v in enumerate(VOTERS.values()) if v[0] == c] for c in CATEGORIES}
-#: The votes on a sentence on which all abstain.
-_SILENT = {c: (0,) * len(names) for c, names in _BY.items()}
 
 _LEET = str.maketrans("013457@$!8", "oieastasib")
 _LEETWORD = re.compile(r"[^\W\d_]+[013457@$!8]+[^\W_@$!]*(?:[013457@$!8]+[^\W\d_]+)*[013457@$!8]*|[013457@$!8]+[^\W\d_]+(?:[013457@$!8]+[^\W\d_]*)*")
@@ -93,20 +64,6 @@ _BREAK = re.compile(r"(?<=[.!?…;|])\s+|\n+")
 _ACCENT = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 
 
-@functools.cache
-def _needed() -> ahocorasick.Automaton:
-    """Texts that the voters' expressions cannot match without, each with the voters (bits) that need it."""
-    by: dict[str, int] = {}
-    for i, (_, _, expression) in enumerate(VOTERS.values()):
-        for x in literals.needed(expression):
-            by[x] = by.get(x, 0) | 1 << i
-    a = ahocorasick.Automaton()
-    for x, voters in by.items():
-        a.add_word(x, voters)
-    a.make_automaton()
-    return a
-
-
 def undisguised(text: str) -> str:
     """Lower case, with stretched, spaced, digit-coded and look-alike letters undone."""
     if not text.isascii():
@@ -144,232 +101,229 @@ def sentences(text: str) -> list[str]:
     return [s for s in _BREAK.split(text) if s and not s.isspace()]
 
 
-def votes(sentence: str) -> dict[str, tuple[int, ...]]:
-    """Votes of each category's voters on a sentence in plain form; only voters that may have a match are run."""
-    may = 0
-    for _, voters in _needed().iter(sentence):
-        may |= voters
-    cast = {}
-    while may:
-        i = (may & -may).bit_length() - 1
-        may &= may - 1
-        if _SEARCH[i](sentence):
-            cast[i] = _VOTE[i]
-    return {c: tuple([cast.get(i, 0) for i in places]) for c, places in _PLACES.items()} if cast else _SILENT
-
-
 def _plain_sentences(texts: list[str]) -> Iterator[list[str]]:
-    """Of every text its sentences, undisguised and in plain form."""
-    cut = [sentences(t) for t in texts]
-    parts = [s for c in cut for s in c]
-    flagged = _disguised(parts).tolist() if parts else []
-    at = 0
-    for c in cut:
-        yield [cues.plain(undisguised(s) if flagged[at + j] else s) for j, s in enumerate(c)]
-        at += len(c)
+    """Of every text its sentences, undisguised, in the form of `lexicon.bare`."""
+    for a, b in vec.slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+        cut = [sentences(t) for t in texts[a:b]]
+        parts = [s for c in cut for s in c]
+        flagged = _disguised(parts).tolist() if parts else []
+        at = 0
+        for c in cut:
+            whole = "\n".join(undisguised(s) if flagged[at + j] else s for j, s in enumerate(c))
+            at += len(c)
+            yield [s for s in map(str.strip, lexicon.bare(whole).split("\n")) if s]
+
+
+def sampled_words(texts: list[str], categories: list[str]) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(category, words): words of the category's samples that its others lack, SAMPLED_WORDS at most, the most telling first."""
+    has = [set(w for s in t for w in s.split() if len(w) > 3) for t in _plain_sentences(texts)]
+    out = []
+    for c in CATEGORIES:
+        own = Counter(w for words, x in zip(has, categories) if x == c for w in words)
+        rest = Counter(w for words, x in zip(has, categories) if x != c for w in words)
+        n, m = max(sum(x == c for x in categories), 1), max(sum(x != c for x in categories), 1)
+        lead = {w: np.log((k + 0.1) / n) - np.log((rest[w] + 0.1) / m) for w, k in own.items() if k > 1}
+        out.append((c, tuple(sorted((w for w in lead if lead[w] > SAMPLED_LEAD), key=lambda w: (-lead[w], w))[:SAMPLED_WORDS])))
+    return tuple(out)
 
 
 # ---------------------------------------------------------------- label model
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold_label: np.ndarray, steps: int = 60) -> np.ndarray:
+def _tree(hot: np.ndarray, q: np.ndarray, n: np.ndarray) -> list[int]:
+    """The voter that each depends on (-1: none): the tree of the greatest mutual information given the label.
+
+    hot [patterns, voters, votes]; Prim's algorithm from voter 0; information below a hundredth of a bit is none."""
+    m = hot.shape[1]
+    info = np.zeros((m, m))
+    for y in (q, 1 - q):
+        w = n * y
+        total = max(w.sum(), 1e-12)
+        joint = np.einsum("p,pik,pjl->ijkl", w, hot, hot) / total + 1e-9
+        alone = np.einsum("p,pik->ik", w, hot) / total + 1e-9
+        info += total / n.sum() * (joint * np.log2(joint / (alone[:, None, :, None] * alone[None, :, None, :]))).sum(axis=(2, 3))
+    # by the class that is rare the voters are told apart: its share of the sum would hide it
+    parent, inside = [-1] * m, [0] if m else []
+    while len(inside) < m:
+        score = np.where(np.isin(np.arange(m), inside)[:, None] & ~np.isin(np.arange(m), inside)[None, :], info, -1.0)
+        i, j = np.unravel_index(score.argmax(), score.shape)
+        parent[j] = int(i) if score[i, j] > 0.01 else -1
+        inside.append(int(j))
+    return parent
+
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold_label: np.ndarray, steps: int = 60, most: float = PRIOR, silence: float = SILENCE) -> np.ndarray:
     """Posterior of the category for every vote pattern [patterns, voters] with its count.
 
-    Each voter has a table P(vote | label) of its three votes; expectation-maximisation over the
-    patterns, with the labelled sentences as fixed points. Voters that vote alike beyond what the
-    labels explain share their weight: 1 / (1 + the sum of their residual correlations)."""
+    Each voter has a table P(vote | label, vote of the voter that it depends on); expectation-maximisation
+    over the patterns, with the labelled sentences as fixed points. The dependencies are found on the way,
+    and found again once they have had their effect."""
     if not len(patterns):
         return np.empty(0)
-    m = patterns.shape[1]
     allp, n = np.vstack([patterns, gold]), np.concatenate([counts.astype(float), np.full(len(gold), SAMPLE_WEIGHT)])
     fixed = np.concatenate([np.full(len(patterns), np.nan), gold_label.astype(float)])
     hot = np.stack([allp == v for v in (-1, 0, 1)], axis=2).astype(float)  # [patterns, voters, votes]
+    m = allp.shape[1]
     # start: the share of votes for, out of those cast, where at least two are for; none where none is
     pro, con = (allp > 0).sum(axis=1), (allp < 0).sum(axis=1)
     q = np.where(np.isnan(fixed), np.where((pro >= 3) & (con == 0), 0.9, np.where(pro >= 2, 0.5, np.where(pro > 0, 0.05, 0.0))), fixed)
-    weight = np.ones(m)
+    parent = [-1] * m
+    pro_voter = (allp > 0).any(axis=0)
     for step in range(steps):
-        table = []
-        for y in (q, 1 - q):
-            c = np.einsum("p,pvk->vk", n * y, hot) + 0.5
-            table.append(c / c.sum(axis=1, keepdims=True))
-        prior = np.clip((n * q).sum() / n.sum(), 1e-6, 0.5)
-        ratio = np.log(table[0] / table[1])
         if step in (10, 25):
-            residual = allp - (q[:, None] * (table[0] @ [-1, 0, 1]) + (1 - q)[:, None] * (table[1] @ [-1, 0, 1]))
-            cov = (residual * n[:, None]).T @ residual / n.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr = np.maximum(cov / sd[:, None] / sd[None, :], 0) - np.eye(m)
-            weight = 1 / (1 + np.maximum(corr, 0).sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + np.einsum("pvk,vk->p", hot, ratio * weight[:, None])
+            parent = _tree(hot, q, n)
+        prior = np.clip((n * q).sum() / n.sum(), 1e-6, most)
+        odds = np.full(len(allp), np.log(prior / (1 - prior)))
+        for j, i in enumerate(parent):
+            ratio = []
+            for y in (q, 1 - q):
+                alone = (n * y) @ hot[:, j] + 0.5
+                alone /= alone.sum()
+                if i < 0:
+                    ratio.append(hot[:, j] @ alone)
+                else:  # seldom votes of the other lean on the voter's own rates
+                    given = np.einsum("p,pk,pl->kl", n * y, hot[:, i], hot[:, j]) + 2.0 * alone
+                    ratio.append(np.einsum("pk,kl,pl->p", hot[:, i], given / given.sum(axis=1, keepdims=True), hot[:, j]))
+            # a voter may be useless, but not worse than chance: no vote tells the opposite, and silence tells little
+            for_, silent, against = np.log(ratio[0] / ratio[1]) * hot[:, j].T[::-1]
+            odds += np.maximum(for_, 0) + np.minimum(against, 0) + np.clip(silent, -silence if pro_voter[j] else 0, 0 if pro_voter[j] else silence)
         q = np.where(np.isnan(fixed), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), fixed)
     return q[: len(patterns)]
 
 
-# ---------------------------------------------------------------- linear classifier
+# ---------------------------------------------------------------- passes
 
 
-def _word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text number): hashed words and word pairs."""
-    codes, offsets = vec.pack(texts)
-    starts, ends = vec.runs(vec.letter_table()[codes] | (codes == 0x27) if len(codes) else np.empty(0, bool), offsets)
-    if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h, own = vec.span_hashes(codes, starts, ends), vec.owner(offsets)[starts]
-    two = vec.mix(h[:-1] * np.uint64(31) + h[1:])
-    same = own[:-1] == own[1:]
-    shift = np.uint64(64 - BITS)
-    return np.concatenate([(h >> shift).astype(np.int64), (two[same] >> shift).astype(np.int64)]), np.concatenate([own, own[:-1][same]])
-
-
-class Classifier:
-    """Three logistic models over votes and hashed words."""
-
-    def __init__(self, words: np.ndarray, voted: dict[str, np.ndarray], bias: np.ndarray):
-        self.words, self.voted, self.bias = words, voted, bias
-
-    def word_scores(self, texts: list[str]) -> np.ndarray:
-        f, own = _word_features(texts)
-        n = np.bincount(own, minlength=len(texts))
-        total = np.stack([np.bincount(own, weights=self.words[f, k], minlength=len(texts)) for k in range(len(CATEGORIES))], axis=1)
-        return total / np.sqrt(np.maximum(n, 1))[:, None] + self.bias
-
-
-def train(texts: list[str], cast: list[dict[str, tuple[int, ...]]], labels: np.ndarray, weights: np.ndarray, steps: int = 150, rate: float = 0.3, l2: float = 2e-4) -> Classifier:
-    """labels, soft, [texts, categories]; full-batch Adam."""
-    f, own = _word_features(texts)
-    n = len(texts)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(own, minlength=n), 1))
-    words, bias = np.zeros((1 << BITS, len(CATEGORIES))), np.full(len(CATEGORIES), -3.0)
-    voted = {}
-    for k, c in enumerate(CATEGORIES):
-        x = np.array([v[c] for v in cast], dtype=float)
-        w, a, b = np.zeros(1 << BITS), np.zeros(x.shape[1]), -3.0
-        m = [np.zeros_like(w), np.zeros_like(a), 0.0]
-        s = [np.zeros_like(w), np.zeros_like(a), 0.0]
-        y = labels[:, k]
-        balance = weights * np.where(y > 0.5, max(1.0, (1 - y).sum() / max(y.sum(), 1) / 4), 1.0)
-        for step in range(1, steps + 1):
-            z = np.bincount(own, weights=w[f], minlength=n) * scale + x @ a + b
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance / balance.sum()
-            grads = [np.bincount(f, weights=(err * scale)[own], minlength=1 << BITS) + l2 * w, x.T @ err + l2 * 0.1 * a, err.sum()]
-            new = []
-            for i, (p, g) in enumerate(zip((w, a, b), grads)):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                s[i] = 0.999 * s[i] + 0.001 * g * g
-                new.append(p - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-7))
-            w, a, b = new
-        words[:, k], voted[c], bias[k] = w, a, b
-    return Classifier(words, voted, bias)
+@dataclasses.dataclass(frozen=True)
+class Model:
+    linear: ngrams.Linear
+    sampled: tuple[tuple[str, tuple[str, ...]], ...]
 
 
-# ---------------------------------------------------------------- passes
+def _survey(documents: DataFrame, text: str, sampled: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """Rows of vote patterns of all sentences with counts (kind = category), numbers of sentences of each of KINDS (kind = 'n_strong'
+    ...), and of each sampled sentences (kind = 'strong' ...; n is their hash)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        voting = lexicon.voting(sampled)
+        silent = (0,) * len(VOTERS)
 
-def _survey(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of vote patterns of all sentences with counts (kind = category) and of sampled sentences (kind = 'voted': with a vote for a category, or 'unvoted')."""
+        @functools.cache
+        def kind_of(cast: tuple[int, ...]) -> str:
+            most = max(sum(cast[i] > 0 for i in voting.place[c]) for c in CATEGORIES)
+            return "strong" if most > 1 else "weak" if most else "silent"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        silent = 0
-        sample: dict[str, dict[int, str]] = {"voted": {}, "unvoted": {}}
+        sample: dict[str, dict[int, str]] = {kind: {} for kind in KINDS}
 
-        def shrink(kind: str, most: int) -> None:
-            if len(sample[kind]) > most:
-                sample[kind] = dict(sorted(sample[kind].items())[:TRAIN_SENTENCES])
+        def shrink(most: int) -> None:
+            for kind, own in sample.items():
+                if len(own) > most:
+                    sample[kind] = dict(sorted(own.items())[:TRAIN_SENTENCES])
 
         for pdf in batches:
-            texts = [t if t is not None else "" for t in pdf["text"]]
-            for parts in _plain_sentences(texts):
-                cold = []
-                for j, plain in enumerate(parts):
-                    v = votes(plain)
-                    if v is _SILENT:
-                        silent += 1
-                        cold.append(j)
-                        continue
-                    for c in CATEGORIES:
-                        seen[c, v[c]] += 1
-                    if any(max(x) > 0 for x in v.values()):
-                        sample["voted"][vec.hash_word(plain)] = plain
-                    else:
-                        cold.append(j)
-                if cold:
-                    plain = parts[min(cold, key=lambda x: (len(parts[x]) * 7919 + x) % 1009)]
-                    if plain:
-                        sample["unvoted"][vec.hash_word(plain)] = plain
-            shrink("voted", 4 * TRAIN_SENTENCES), shrink("unvoted", 4 * TRAIN_SENTENCES)
-        shrink("voted", TRAIN_SENTENCES), shrink("unvoted", TRAIN_SENTENCES)
-        for c in CATEGORIES if silent else ():
-            seen[c, _SILENT[c]] += silent
-        rows = [(c, ",".join(map(str, p)), n) for (c, p), n in seen.items()] + [(k, s, h - 2**63) for k, v in sample.items() for h, s in v.items()]
+            parts = [s for p in _plain_sentences([t if t is not None else "" for t in pdf["text"]]) for s in p]
+            if not parts:
+                continue
+            cast = [v or silent for v in voting.votes(parts)]
+            seen.update(cast)
+            kinds = [kind_of(v) for v in cast]
+            for kind in sample:
+                few = max(sample[kind]) if len(sample[kind]) >= TRAIN_SENTENCES else None
+                those = [s for s, k in zip(parts, kinds) if k == kind]
+                hashes = vec.hash_words(those)
+                keep = range(len(those)) if few is None else np.flatnonzero(hashes < np.uint64(few)).tolist()
+                sample[kind] |= {int(hashes[i]): those[i] for i in keep}
+            shrink(4 * TRAIN_SENTENCES)
+        shrink(TRAIN_SENTENCES)
+        by: Counter = Counter()
+        for v, n in seen.items():
+            by[f"n_{kind_of(v)}", ""] += n
+            for c in CATEGORIES:
+                by[c, ",".join(str(v[i]) for i in voting.place[c])] += n
+        rows = [(k, x, n) for (k, x), n in by.items()] + [(k, s, h - 2**63) for k, own in sample.items() for h, s in own.items()]
         if rows:
             yield pd.DataFrame(rows, columns=["kind", "content", "n"])
 
     return documents.select(F.col(text).alias("text")).mapInPandas(run, "kind string, content string, n long")
 
 
-def fit(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
+def fit(documents: DataFrame, samples: DataFrame, text: str = "text") -> Model:
+    """Patterns of a category are few (its voters vote one way or abstain); of the sampled sentences those below a hash that
+    follows from their number are collected, so the driver gets about TRAIN_SENTENCES of each kind, whatever the partitions."""
     from corpusmill.session import checkpointed
 
-    survey = checkpointed(_survey(documents, key, text))
-    patterns = survey.where(F.col("kind").isin(*CATEGORIES)).groupBy("kind", "content").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "content").limit(PATTERNS * len(CATEGORIES)).toPandas()
-    drawn = [survey.where(F.col("kind") == k).dropDuplicates(["n"]).orderBy("n").limit(TRAIN_SENTENCES).select("content").toPandas() for k in ("voted", "unvoted")]
     gold = samples.select("category", "text").where("text is not null and category is not null").limit(SAMPLE_ROWS).toPandas()
-    return fit_local(patterns, list(drawn[0]["content"]), list(drawn[1]["content"]), list(gold["text"]), list(gold["category"]))
-
-
-def fit_local(patterns: pd.DataFrame, voted: list[str], unvoted: list[str], gold: list[str], gold_category: list[str]) -> Classifier:
-    gold = [cues.plain(undisguised(t)) for t in gold]
-    gold_votes = [votes(t) for t in gold]
-    cast = [votes(t) for t in voted + unvoted]
+    sampled = sampled_words(list(gold["text"]), list(gold["category"]))
+    survey = checkpointed(_survey(documents, text, sampled))
+    counted = survey.where(~F.col("kind").isin(*KINDS)).groupBy("kind", "content").agg(F.sum("n").alias("n")).toPandas()
+    drawn = []
+    for kind in KINDS:
+        n = int(counted.loc[counted["kind"] == f"n_{kind}", "n"].sum())
+        below = -(2**63) + min(int(TRAIN_SENTENCES / max(n, 1) * 2**64), 2**64 - 1)
+        drawn.append(sorted(set(survey.where((F.col("kind") == kind) & (F.col("n") <= below)).select("content").toPandas()["content"])))
+    return fit_local(counted, drawn[0] + drawn[1], drawn[2], list(gold["text"]), list(gold["category"]), sampled)
+
+
+def fit_local(patterns: pd.DataFrame, voted: list[str], unvoted: list[str], gold: list[str], gold_category: list[str], sampled: tuple) -> Model:
+    voting = lexicon.voting(sampled)
+    silent = (0,) * len(VOTERS)
+    whole = [" ".join(p) for p in _plain_sentences(gold)]
+    gold_votes = np.array([v or silent for v in voting.votes(whole)], dtype=int).reshape(-1, len(VOTERS))
+    cast = np.array([v or silent for v in voting.votes(voted + unvoted)], dtype=int).reshape(-1, len(VOTERS))
     labels = np.zeros((len(cast), len(CATEGORIES)))
+    # votes that stand alone, without a text: what a voter is worth where no other votes; the last row is silence
+    alone = np.vstack([np.eye(len(VOTERS), dtype=int), np.zeros((1, len(VOTERS)), dtype=int)])
+    worth, heavy = np.zeros((len(alone), len(CATEGORIES))), np.zeros((len(alone), len(CATEGORIES)))
     for k, c in enumerate(CATEGORIES):
-        own = patterns[patterns["kind"] == c]
-        found = np.array([list(map(int, p.split(","))) for p in own["content"]], dtype=int).reshape(-1, len(_BY[c]))
-        fixed = np.array([v[c] for v in gold_votes], dtype=int).reshape(-1, len(_BY[c]))
-        q = label_model(found, own["n"].to_numpy(float), fixed, np.array([x == c for x in gold_category], dtype=float))
+        own, place = patterns[patterns["kind"] == c], voting.place[c]
+        found = np.array([list(map(int, p.split(","))) for p in own["content"]], dtype=int).reshape(-1, len(place))
+        one = alone[np.ix_([*place, -1], place)]
+        q = label_model(np.vstack([found, one]), np.concatenate([own["n"].to_numpy(float), np.zeros(len(one))]), gold_votes[:, place], np.array([x == c for x in gold_category], dtype=float))
         posterior = {tuple(p): x for p, x in zip(found.tolist(), q)}
-        labels[:, k] = [posterior.get(v[c], 0.0) for v in cast]
-    texts = voted + unvoted + gold
+        labels[:, k] = [posterior[tuple(v)] for v in cast[:, place].tolist()]
+        pro = [i for i in place if list(VOTERS.values())[i][1] > 0]
+        worth[[*place, -1], k] = q[len(found) :]
+        heavy[pro, k] = ALONE_WEIGHT
+        heavy[-1, k] = ALONE_WEIGHT * len(pro)
     y = np.vstack([labels, np.array([[x == c for c in CATEGORIES] for x in gold_category], dtype=float).reshape(-1, len(CATEGORIES))])
-    w = np.concatenate([np.ones(len(voted) + len(unvoted)), np.full(len(gold), SAMPLE_WEIGHT)])
-    return train(texts, [*cast, *gold_votes], y, w)
+    w = np.concatenate([np.ones(len(voted)), np.full(len(unvoted), SILENT_WEIGHT), np.full(len(gold), SAMPLE_WEIGHT)])
+    # the few sentences of a category weigh a quarter of the many others
+    balance = np.maximum(1.0, ((1 - y) * w[:, None]).sum(axis=0) / np.maximum((y * w[:, None]).sum(axis=0), 1e-9) / 4)
+    texts, weights = voted + unvoted + whole + [""] * len(alone), np.vstack([w[:, None] * np.where(y > 0.5, balance, 1.0), heavy])
+    return Model(ngrams.train(texts, np.vstack([y, worth]), weights, np.vstack([cast, gold_votes, alone]).astype(float), steps=200, rate=0.2), sampled)
 
 
-def judge(texts: list[str], model: Classifier) -> np.ndarray:
+def judge(texts: list[str], model: Model) -> np.ndarray:
     """Score of every text in every category: that of its worst sentence."""
-    parts_all, own, voted_rows, cast = [], [], [], []
-    for i, parts in enumerate(_plain_sentences(texts)):
-        for plain in parts:
-            v = votes(plain)
-            if v is not _SILENT:
-                voted_rows.append(len(parts_all))
-                cast.append(v)
-            parts_all.append(plain)
-            own.append(i)
+    voting = lexicon.voting(model.sampled)
+    cut = list(_plain_sentences(texts))
+    parts = [s for c in cut for s in c]
     out = np.zeros((len(texts), len(CATEGORIES)))
-    if parts_all:
-        z = model.word_scores(parts_all)
-        if voted_rows:
-            z[voted_rows] += np.stack([np.array([v[c] for v in cast], dtype=float) @ model.voted[c] for c in CATEGORIES], axis=1)
-        np.maximum.at(out, np.array(own), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    if parts:
+        z = model.linear.scores(parts)
+        voted = [(i, v) for i, v in enumerate(voting.votes(parts)) if v is not None]
+        if voted:
+            z[[i for i, _ in voted]] += np.array([v for _, v in voted], dtype=float) @ model.linear.further
+        np.maximum.at(out, np.repeat(np.arange(len(texts)), [len(c) for c in cut]), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return out
 
 
 def score(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, `keep`, and a score in 0..1 per category, of every row."""
-    model = fit(documents, samples, key, text)
+    model = fit(documents, samples, text)
     schema = documents.select(key, *keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = judge([t if t is not None else "" for t in pdf[text]], model)
-            out = pdf[[key, *keep]].copy()
-            for k, c in enumerate(CATEGORIES):
-                out[f"{c}_score"] = np.round(got[:, k], 6)
-            yield out
+        for whole in batches:
+            for a, b in vec.slices(whole[text].str.len().fillna(0).to_numpy(np.int64)):
+                pdf = whole.iloc[a:b]
+                got = judge([t if t is not None else "" for t in pdf[text]], model)
+                out = pdf[[key, *keep]].copy()
+                for k, c in enumerate(CATEGORIES):
+                    out[f"{c}_score"] = np.round(got[:, k], 6)
+                yield out
 
     return documents.select(key, *keep, text).mapInPandas(run, f"{fields}, " + ", ".join(f"{c}_score double" for c in CATEGORIES))
 

@@ -73,12 +73,15 @@ def unscripted(text: str) -> str:
     return text
 
 
+def latin(text: str) -> str:
+    """Cyrillic letters of a lower-case text in their Latin spelling."""
+    return _INITIAL.sub("ye", text).translate(_TRANSLATE) if _CYRILLIC.search(text) else text
+
+
 def plain(text: str) -> str:
     """Lower case, one form of apostrophe, Latin letters, single blanks."""
     if not text.isascii():
-        text = unscripted(text)
-        if _CYRILLIC.search(text):
-            text = _INITIAL.sub("ye", text).translate(_TRANSLATE)
+        text = latin(unscripted(text))
         return _SPACE.sub(" ", text).strip()
     return " ".join(text.lower().replace("`", "'").split())
 

@@ -11,6 +11,10 @@ import numpy as np
 from corpusmill.functions import vec
 
 BITS = 16
+#: Features that a text counts as having beside its own, so that one word alone says little.
+SMOOTH = 20
+#: Features from which a text counts by their mean: a very long one is no surer than a long one.
+LONG = 200
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,34 +44,41 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return feature, np.concatenate([own, own[:-1][near], own[word[:-3][inside]]])
 
 
+def _scale(n: np.ndarray) -> np.ndarray:
+    """What the sum of the weights of `n` features is multiplied by."""
+    return 1 / (np.sqrt(n + SMOOTH) * np.maximum(1.0, np.sqrt(n / LONG)))
+
+
 class Linear:
-    """One logistic model per class; weights [2^BITS, classes]."""
+    """One logistic model per class; weights [2^BITS, classes] of the texts' features and [columns, classes] of further ones."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights.astype(np.float32), bias
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, further: np.ndarray | None = None):
+        self.weights, self.bias = np.ascontiguousarray(weights.T, dtype=np.float32), bias
+        self.further = further
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Log-odds [texts, classes]."""
+        """Log-odds [texts, classes], by the texts' features alone."""
         k = len(self.bias)
         out = np.zeros((len(texts), k))
         for a, b in vec.slices(np.fromiter(map(len, texts), np.int64, len(texts))):
             f, own = features(texts[a:b])
-            n = np.sqrt(np.maximum(np.bincount(own, minlength=b - a), 1))
+            n = _scale(np.bincount(own, minlength=b - a))
             for j in range(k):
-                out[a:b, j] = np.bincount(own, weights=self.weights[f, j], minlength=b - a) / n + self.bias[j]
+                out[a:b, j] = np.bincount(own, weights=self.weights[j][f], minlength=b - a) * n + self.bias[j]
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = 80, rate: float = 0.1, l2: float = 1e-6) -> Linear:
-    """labels, hard or soft, and weights of the texts, both [texts, classes]; full-batch Adam on the weighted log-loss.
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, further: np.ndarray | None = None, steps: int = 80, rate: float = 0.1, l2: float = 1e-6) -> Linear:
+    """labels, hard or soft, and weights of the texts, both [texts, classes]; `further` features [texts, columns]; full-batch Adam on the weighted log-loss.
 
     Features of one text only are left out: what was seen once tells nothing about other texts."""
     f, own = features(texts)
     n, k = len(texts), labels.shape[1]
-    table, bias = np.zeros((1 << BITS, k)), np.zeros(k)
-    if not len(f):
-        return Linear(table, bias - 3.0)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(own, minlength=n), 1))
+    x = np.zeros((n, 0)) if further is None else further
+    table, bias, outer = np.zeros((1 << BITS, k)), np.full(k, -3.0), np.zeros((x.shape[1], k))
+    if not n:
+        return Linear(table, bias, outer)
+    scale = _scale(np.bincount(own, minlength=n))
     once = np.unique(f * n + own)
     f, own = once // n, once % n
     often = np.bincount(f, minlength=1 << BITS)[f] > 1
@@ -75,15 +86,15 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int
     used, f = np.unique(f, return_inverse=True)
     for j in range(k):
         y, c = labels[:, j], weights[:, j] / max(weights[:, j].sum(), 1e-9)
-        w, b = np.zeros(len(used)), -1.0
-        m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        p = [np.zeros(len(used)), np.zeros(x.shape[1]), np.full(1, -1.0)]
+        m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
         for step in range(1, steps + 1):
-            z = np.bincount(own, weights=w[f], minlength=n) * scale + b
+            z = np.bincount(own, weights=p[0][f], minlength=n) * scale + x @ p[1] + p[2]
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * c
-            g, gb = np.bincount(f, weights=(error * scale)[own], minlength=len(used)) + l2 * w, error.sum()
-            m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
-            s, sb = 0.999 * s + 0.001 * g * g, 0.999 * sb + 0.001 * gb * gb
-            u, v = 1 - 0.9**step, 1 - 0.999**step
-            w, b = w - rate * (m / u) / (np.sqrt(s / v) + 1e-9), b - rate * (mb / u) / (np.sqrt(sb / v) + 1e-9)
-        table[used, j], bias[j] = w, b
-    return Linear(table, bias)
+            grads = [np.bincount(f, weights=(error * scale)[own], minlength=len(used)) + l2 * p[0], x.T @ error + l2 * p[1], error.sum(keepdims=True)]
+            for i, g in enumerate(grads):
+                m[i] = 0.9 * m[i] + 0.1 * g
+                s[i] = 0.999 * s[i] + 0.001 * g * g
+                p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-9)
+        table[used, j], outer[:, j], bias[j] = p[0], p[1], p[2][0]
+    return Linear(table, bias, outer)

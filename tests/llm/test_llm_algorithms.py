@@ -11,7 +11,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import content, encoding, literals, mixing, neardup, ranks, sampling, splitting
+import heldout
+from corpusmill.llm import content, encoding, lexicon, mixing, neardup, ngrams, ranks, sampling, splitting
 
 # ------------------------------------------------------------------ ranks and p4
 
@@ -82,9 +83,12 @@ def near_texts(seed, n=160):
     return out + [(n, None), (n + 1, ""), (n + 2, "."), (n + 3, "w1 " * 3000)]
 
 
-@pytest.mark.parametrize("seed,threshold,block", [(1, 0.75, 2048), (2, 0.75, 3), (3, 0.8, 4), (4, 0.5, 2048)])
-def test_similar_rows_are_those_of_brute_force(spark, monkeypatch, seed, threshold, block):
+@pytest.mark.parametrize("seed,threshold,light,block,refined", [(1, 0.75, 4096, 4096, 10**6), (2, 0.75, 4096, 3, 10**6), (3, 0.8, 2, 4, 10**6), (4, 0.5, 2, 4096, 10**6), (5, 0.75, 1, 2, 5)])
+def test_similar_rows_are_those_of_brute_force(spark, monkeypatch, seed, threshold, light, block, refined):
+    """Words refined from two postings on, lists in blocks of a few, more long lists than are refined."""
+    monkeypatch.setattr(neardup, "LIGHT", light)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "REFINED", refined)
     texts = near_texts(seed)
     df = spark.createDataFrame(texts, "k long, t string").withColumn("group", F.lit("clash")).withColumn("words", F.lit(1))
     got = [(r["a"], r["b"]) for r in neardup.similar_rows(df, "k", "t", threshold).collect()]
@@ -281,47 +285,74 @@ def test_label_model_finds_the_better_voter():
     v = np.stack([np.where(rng.random(4000) < a, truth, ~truth) for a in (0.95, 0.9, 0.55)], axis=1) * 1
     patterns, counts = np.unique(v, axis=0, return_counts=True)
     gold, labels = np.array([[1, 1, 1], [0, 0, 0]]), np.array([1.0, 0.0])
-    q = {tuple(p): x for p, x in zip(patterns.tolist(), content.label_model(patterns, counts, gold, labels))}
+    q = {tuple(p): x for p, x in zip(patterns.tolist(), content.label_model(patterns, counts, gold, labels, most=0.5, silence=9.0))}
     assert q[1, 1, 0] > 0.8 and q[0, 0, 1] < 0.2
 
 
+def test_dependencies_are_those_beyond_the_label():
+    """A noisy copy depends on what it copies; voters that only the label makes alike depend on nothing."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(20000) < 0.3
+    a, b, c = [np.where(rng.random(20000) < p, truth, ~truth) * 1 for p in (0.9, 0.8, 0.85)]
+    copy = np.where(rng.random(20000) < 0.95, b, 1 - b)
+    v = np.stack([a, b, c, copy], axis=1)
+    hot = np.stack([v == x for x in (-1, 0, 1)], axis=2).astype(float)
+    assert content._tree(hot, truth.astype(float), np.ones(len(v))) in ([-1, -1, -1, 1], [-1, 3, -1, -1])
+
+
+def _flags():
+    """A model of votes only."""
+    further = np.array([[5.0 * (c == own and vote > 0) for c in content.CATEGORIES] for own, vote, _ in content.VOTERS.values()])
+    return content.Model(ngrams.Linear(np.zeros((1 << ngrams.BITS, 3)), np.full(3, -3.0), further), ())
+
+
 def test_both_scripts_score_alike():
     """Words are scored in the form in which they were learnt, voted sentences or not."""
-    words = np.random.default_rng(3).normal(size=(1 << content.BITS, 3))
-    model = content.Classifier(words, {c: np.zeros(len(content._BY[c])) for c in content.CATEGORIES}, np.zeros(3))
+    model = content.Model(ngrams.Linear(np.random.default_rng(3).normal(size=(1 << ngrams.BITS, 3)), np.zeros(3), np.zeros((len(content.VOTERS), 3))), ())
     same = [("Ғалати шубҳали сўзлар.", "G'alati shubhali so'zlar."), ("Картина в музее.", "Kartina v muzee."), ("G‘alati so‘zlar.", "G'alati so'zlar.")]
     for a, b in same:
         assert np.allclose(content.judge([a], model), content.judge([b], model)), a
 
 
-@pytest.mark.parametrize("name", content.VOTERS)
-@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
-@given(data=st.data())
-def test_no_match_without_a_needed_text(name, data):
-    expression = content.VOTERS[name][2]
-    text = data.draw(st.from_regex(expression))
-    assert any(x in text for x in literals.needed(expression))
-    assert content.votes(text) == {c: tuple(content.VOTERS[n][1] if content._EXPR[n].search(text) else 0 for n in content._BY[c]) for c in content.CATEGORIES}
-
-
-def test_needed_texts():
-    assert literals.needed(r"\b(?:cats?|dog\w*|(?:a|the) cow)\b") == ["a cow", "cat", "dog", "the cow"]
-    assert literals.needed(r"x?(?:\w+ ){0,2}long(?:er|est)") == ["longer", "longest"]
-    for expression in (r"\w+", r"a?", r"a|\d"):
-        with pytest.raises(ValueError):
-            literals.needed(expression)
+def test_entries_are_found_in_every_form():
+    voting = lexicon.voting(())
+    for role in lexicon.ROLES:
+        for entry in lexicon.entries(role):
+            word = lexicon.bare(entry.rstrip("*")) + ("xx" if entry.endswith("*") else "")
+            hits = [r for _, (r, _) in voting.automaton.iter(f" so {word} then ")]
+            assert any(r & 1 << voting.names.index(role) for r in hits), (role, entry)
+    assert voting.votes(["nothing here", "you idiot"])[0] is None and voting.votes([]) == []
 
 
 def test_voters_see_every_sentence(spark):
-    texts = ["They should all be shot.", "those people deserve to die", "I will find you and beat you", "You dummy.", "Sen hayvon.", "Их всех надо расстрелять.", "Чтоб ты сдохни"]
-    flags = {c: np.array([5.0 * (content.VOTERS[n][1] > 0) for n in content._BY[c]]) for c in content.CATEGORIES}
-    model = content.Classifier(np.zeros((1 << content.BITS, 3)), flags, np.full(3, -3.0))
-    assert (content.judge(texts, model)[:, :2].max(axis=1) > 0.8).all()
-    assert (content.judge(["The matrix is sparse."], model) < 0.1).all()
-    rows = content._survey(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "The matrix is sparse. So it is.", None])], "doc_id long, text string"), "doc_id", "text").collect()
+    texts = ["They should all be shot, those animals.", "those people deserve to die", "I will find you and beat you", "You dummy.", "Sen hayvon.", "Их всех надо расстрелять.", "Чтоб ты сдохни"]
+    assert (content.judge(texts, _flags())[:, :2].max(axis=1) > 0.8).all()
+    assert (content.judge(["The matrix is sparse."], _flags()) < 0.1).all()
+    rows = content._survey(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "The matrix is sparse. So it goes.", None])], "doc_id long, text string"), "text", ()).collect()
     for c in content.CATEGORIES:
         assert sum(r["n"] for r in rows if r["kind"] == c) == len(texts) + 2
-    assert {r["content"] for r in rows if r["kind"] == "unvoted"} <= {"the matrix is sparse.", "so it is."}
+    assert sum(r["n"] for r in rows if r["kind"] in ("n_strong", "n_weak", "n_silent")) == len(texts) + 2
+    assert {r["content"] for r in rows if r["kind"] == "silent"} == {"the matrix is sparse", "so it goes"}
+
+
+@pytest.fixture(scope="module")
+def judge(spark):
+    folder = "/root/testdata/sf0.01"
+    return content.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/content_samples.parquet"))
+
+
+@pytest.mark.parametrize("category", content.CATEGORIES)
+def test_sentences_in_other_words(judge, category):
+    """Held-out sentences in English, Uzbek and Russian."""
+    texts = heldout.ABUSE[category]
+    assert len(texts) >= 40
+    got = content.judge(texts, judge)[:, content.CATEGORIES.index(category)] >= content.THRESHOLD
+    assert got.mean() >= 0.9, [t for t, x in zip(texts, got) if not x]
+
+
+def test_scholarly_mention_is_no_case(judge):
+    got = content.judge(heldout.HARMLESS, judge).max(axis=1) >= content.THRESHOLD
+    assert got.mean() <= 0.05, [t for t, x in zip(heldout.HARMLESS, got) if x]
 
 
 def test_scores(spark):
