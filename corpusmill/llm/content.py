@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec
@@ -111,7 +112,7 @@ def _plain_sentences(texts: list[str]) -> Iterator[list[str]]:
         for c in cut:
             whole = "\n".join(undisguised(s) if flagged[at + j] else s for j, s in enumerate(c))
             at += len(c)
-            yield [s for s in map(str.strip, lexicon.bare(whole).split("\n")) if s]
+            yield [s for s in map(lexicon.tidy, lexicon.bare(whole).split("\n")) if s]
 
 
 def sampled_words(texts: list[str], categories: list[str]) -> tuple[tuple[str, tuple[str, ...]], ...]:
@@ -228,12 +229,11 @@ def _survey(documents: DataFrame, text: str, sampled: tuple[tuple[str, tuple[str
             cast = [v or silent for v in voting.votes(parts)]
             seen.update(cast)
             kinds = [kind_of(v) for v in cast]
-            for kind in sample:
-                few = max(sample[kind]) if len(sample[kind]) >= TRAIN_SENTENCES else None
-                those = [s for s, k in zip(parts, kinds) if k == kind]
-                hashes = vec.hash_words(those)
-                keep = range(len(those)) if few is None else np.flatnonzero(hashes < np.uint64(few)).tolist()
-                sample[kind] |= {int(hashes[i]): those[i] for i in keep}
+            few = {kind: max(own) if len(own) >= TRAIN_SENTENCES else 1 << 64 for kind, own in sample.items()}
+            for s, kind in zip(parts, kinds):
+                h = xxhash.xxh3_64_intdigest(s)
+                if h < few[kind]:
+                    sample[kind][h] = s
             shrink(4 * TRAIN_SENTENCES)
         shrink(TRAIN_SENTENCES)
         by: Counter = Counter()

@@ -145,7 +145,7 @@ class Voting:
         for role in self.names:
             for entry in own.get(role, entries(role) if role in ROLES else []):
                 stem = entry.endswith("*")
-                text = bare(entry.rstrip("*").replace("*", ""))
+                text = tidy(bare(entry.rstrip("*")))
                 text = f" {text}" if stem else f" {text} "
                 table[text] = table.get(text, 0) | bit[role]
         self.automaton = ahocorasick.Automaton()
@@ -156,6 +156,8 @@ class Voting:
         self.plural = bit["plural"]
         # a voter's alternatives: (all its roles, each of them)
         self.rules = [(c, vote, [(sum({bit[r] for r in term}), [bit[r] for r in term]) for term in _terms(rule)]) for c, vote, rule in VOTERS.values()]
+        #: Rules that sentences with these roles may meet.
+        self.may: dict[int, list] = {}
         self.place = {c: [i for i, v in enumerate(VOTERS.values()) if v[0] == c] for c in CATEGORIES}
 
     def votes(self, sentences: list[str]) -> list[tuple[int, ...] | None]:
@@ -168,22 +170,29 @@ class Voting:
         hits: dict[int, list[tuple[int, int]]] = {}
         for end, (roles, length) in self.automaton.iter(" " + " \n ".join(sentences) + " "):
             i = bisect_right(starts, end - length + 1) - 1
-            hits.setdefault(i, []).append((roles, end))
+            if i in hits:
+                hits[i].append((roles, end))
+            else:
+                hits[i] = [(roles, end)]
         for i, found in hits.items():
-            out[i] = self._cast(sentences[i], found)
+            there = 0
+            for roles, _ in found:
+                there |= roles
+            if there & self.many and _PLURAL.search(sentences[i]):
+                there |= self.plural
+            may = self.may.get(there)
+            if may is None:
+                may = self.may[there] = [(k, vote, terms) for k, (_, vote, rule) in enumerate(self.rules) if (terms := [each for every, each in rule if there & every == every])]
+            if may:
+                out[i] = self._cast(found, may)
         return out
 
-    def _cast(self, sentence: str, hits: list[tuple[int, int]]) -> tuple[int, ...] | None:
-        there = 0
-        for roles, _ in hits:
-            there |= roles
-        if there & self.many and _PLURAL.search(sentence):
-            there |= self.plural
+    def _cast(self, hits: list[tuple[int, int]], may: list[tuple[int, int, list[list[int]]]]) -> tuple[int, ...] | None:
         cast = [0] * len(self.rules)
         some = False
-        for k, (_, vote, terms) in enumerate(self.rules):
-            for every, each in terms:
-                if there & every == every and (len(each) == 1 or self._near(hits, each)):
+        for k, vote, terms in may:
+            for each in terms:
+                if len(each) == 1 or self._near(hits, each):
                     cast[k] = vote
                     some = True
                     break
@@ -201,14 +210,17 @@ class Voting:
         return False
 
 
+_ASCII = {c: 0x20 for c in range(128) if not (chr(c).isalnum() or chr(c) in "'\n")} | {0x60: "'"}
 _OTHER = re.compile(r"[^\w'\n]+|_")
 
 
 def bare(text: str) -> str:
-    """The form of `cues.plain`, without marks; line feeds stay."""
-    if not text.isascii():
-        text = cues.unscripted(text)
-        text = cues.latin(text)
-    else:
-        text = text.lower().replace("`", "'")
-    return _OTHER.sub(" ", text).strip(" ")
+    """The form of `cues.plain`, blanks for marks; line feeds stay."""
+    if text.isascii():
+        return text.lower().translate(_ASCII)
+    return _OTHER.sub(" ", cues.latin(cues.unscripted(text)))
+
+
+def tidy(text: str) -> str:
+    """Single blanks, none at the ends."""
+    return " ".join(text.split())

@@ -318,7 +318,7 @@ def test_entries_are_found_in_every_form():
     voting = lexicon.voting(())
     for role in lexicon.ROLES:
         for entry in lexicon.entries(role):
-            word = lexicon.bare(entry.rstrip("*")) + ("xx" if entry.endswith("*") else "")
+            word = lexicon.tidy(lexicon.bare(entry.rstrip("*"))) + ("xx" if entry.endswith("*") else "")
             hits = [r for _, (r, _) in voting.automaton.iter(f" so {word} then ")]
             assert any(r & 1 << voting.names.index(role) for r in hits), (role, entry)
     assert voting.votes(["nothing here", "you idiot"])[0] is None and voting.votes([]) == []
