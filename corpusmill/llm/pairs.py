@@ -262,7 +262,8 @@ def training_set(pairs: list[tuple[str, str]], trigrams: langid.Trigrams, wordin
             text = a[: rng.randrange(30, len(a) - 2)] + rng.choice(["", "", "...", " [ds00012_ch0", "\ufffd", ","])
             if truncation.state(text) in (truncation.CUT, truncation.OPEN_SENTENCE):
                 m = len(clauses(text))
-                add(q, text, [ANSWER] * (m - 1) + [UNFINISHED])
+                echo = clauses(q) if q.endswith("?") and rng.randrange(3) == 0 else []  # a question before a cut answer
+                add(q, f"{q} {text}" if echo else text, [ECHO] * len(echo) + [ANSWER] * (m - 1) + [UNFINISHED])
     return qs, out, tags
 
 

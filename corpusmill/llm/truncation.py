@@ -10,8 +10,10 @@ A value is cut if
 * it is a sentence without a terminator, and its source otherwise sets terminators.
 
 Short phrases, numbered lists, refusals and repetitions of the question are whole without a mark.
-The baseline is counted per source over all its values: its usual share of unterminated sentences
-apart from its own length limit, and the limit itself (a length at which values pile up).
+The baseline is counted per source over all its values: its usual share of values without any
+terminator, within or at their end, apart from its own length limit, and the limit itself (a length at
+which values pile up). A value that ends open behind terminated sentences is none of those: a source
+in which most values are cut does set terminators.
 
 Empty and null values are never cut. A value of any length is scanned whole, in one pass. Repeated
 rows count as often as they occur. Extra columns of the input are not looked at.
@@ -33,10 +35,12 @@ NO_MARKS_SHARE = 0.6
 BASELINE_ROWS = 30
 #: A length that this share of a source's values has, more than have any of the tenth below it, and none exceeds, is a limit.
 LIMIT_SHARE = 0.02
+#: Characters of a value that an unclosed quotation mark makes a cut one; shorter ones are titles and the like.
+QUOTED_CHARS = 20
 #: Words of a phrase that needs no mark.
 PHRASE_WORDS = 6
 
-_MARKS = re.compile(r"[\[\](){}«»“”]|<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>|```")
+_MARKS = re.compile(r"[\[\](){}«»“”\"]|<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>|```")
 _CLOSE = {"]": "[", ")": "(", "}": "{", "»": "«", "”": "“"}
 _BROKEN = re.compile(r"(?:\ufffd|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?\w{1,7}|</?[A-Za-z][^<>]{0,40}|[\ud800-\udfff])$")
 _ENDED = re.compile(r"[.!?…。][\"'»”’)\]]*$")
@@ -49,6 +53,8 @@ _DANGLING = re.compile(r"[,;(\[{«“/&+=–—]$|\s-$")
 _CONNECTING = re.compile(r"\b(?:the|a|an|of|and|or|that|which|whose|from|to|in|with|by|for|is|are|was|were|as|than|because|since|if|when|va|bilan|uchun|esa|deb|degan|emas|balki|agar|bo'lsa|lekin|chunki|qanday|ning)$")
 _DECIMAL = re.compile(r"(?<![\d.])\d+\.$")
 
+_QUOTES = ("«", "“", '"')
+
 #: Codes of `state`.
 WHOLE, CUT, OPEN_SENTENCE, PHRASE = 0, 1, 2, 3
 
@@ -71,6 +77,11 @@ def _open(text: str) -> str:
                 del stack[stack.index("```") :]
             else:
                 stack.append(x)
+        elif x == '"':  # opens behind a blank or a bracket and before a text, closes where one is open; others are inch marks and the like
+            if x in stack:
+                del stack[stack.index(x) :]
+            elif (m.start() == 0 or not text[m.start() - 1].isalnum()) and text[m.end() : m.end() + 1].strip():
+                stack.append(x)
         elif x in _CLOSE:
             if stack and stack[-1] == _CLOSE[x]:
                 stack.pop()
@@ -96,7 +107,7 @@ def state(text: str | None) -> int:
     if _TRAILING.search(s):
         return CUT
     if _CITED.search(s) or _ENDED.search(s, max(0, len(s) - 8)):
-        return CUT if opened in ("«", "“") and len(s) > 40 else WHOLE
+        return CUT if opened in _QUOTES and len(s) > QUOTED_CHARS else WHOLE
     if _LIST.match(s) and (len(_ITEMS.findall(s)) > 1 or len(s.split()) <= 8):
         return PHRASE
     if _DANGLING.search(s):
@@ -157,7 +168,7 @@ def baseline(values: DataFrame) -> DataFrame:
     Built-in expressions only: every text column is read once more, but no text leaves the JVM and none
     is shuffled. Both aggregations have partial sums; the result has a row per source."""
     text = F.regexp_replace("value", r"\s+$", "")
-    unended = (F.length(text) > 0) & ~text.rlike(r"[.!?…。\]][\"'»”’)\]]*$") & (F.size(F.split(text, r"\s+")) > PHRASE_WORDS)
+    unended = (F.length(text) > 0) & ~text.rlike(r"[.!?…。\]][\"'»”’)\]]*$|[.!?…。][\"'»”’)\]]*\s+\S") & (F.size(F.split(text, r"\s+")) > PHRASE_WORDS)
     measured = values.where("value is not null").select("field", "source", F.length("value").alias("n_chars"), F.octet_length("value").alias("n_bytes"), unended.cast("int").alias("open"))
     by = measured.groupBy("field", "source", "n_chars", "n_bytes").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     top = by.groupBy("field", "source").agg(F.max("n_chars").alias("limit_chars"), F.max("n_bytes").alias("limit_bytes"))

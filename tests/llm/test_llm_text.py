@@ -100,8 +100,8 @@ def test_segments_cover_the_text():
 
 # ------------------------------------------------------------------ p3
 
-CUT = ["The robust norm we mean is an orthogonal subspace of", "It is seen in many tables [ds0001_ch", "The careful kno" + chr(0xFFFD), "It becomes sparse and singular experiments be...", "For this one the habit is convex,", "The shallow vector can fail, e.g.", "(an open bracket stays open until the end", "He wrote <b>bold words and never came back"]
-WHOLE = ["", "   ", None, "naive lens", "modest correlation of Brenrusoskin", "1) weighted survey; 2) naive justice; 3) explicit covariance", "It ends here.", "It ends [ds_1].", "It ends here. [ds_1]", "It was 3.50.", "Done!\n", "«Why is that so?»", "...", "N/A", "a <br> b.", "I must decline to answer this"]
+CUT = ["The robust norm we mean is an orthogonal subspace of", "It is seen in many tables [ds0001_ch", "The careful kno" + chr(0xFFFD), "It becomes sparse and singular experiments be...", "For this one the habit is convex,", "The shallow vector can fail, e.g.", "(an open bracket stays open until the end", "He wrote <b>bold words and never came back", 'He wrote that "the proof is complete.', 'They call it "the quiet norm of many tables and']
+WHOLE = ["", "   ", None, "naive lens", "modest correlation of Brenrusoskin", "1) weighted survey; 2) naive justice; 3) explicit covariance", "It ends here.", "It ends [ds_1].", "It ends here. [ds_1]", "It was 3.50.", "Done!\n", "«Why is that so?»", "...", "N/A", "a <br> b.", "I must decline to answer this", 'He wrote that "the proof is complete."', '"Why is that so?"', 'A 12" lens and a 9" one are used.', 'The word "norm" is old.']
 
 
 @pytest.mark.parametrize("text", CUT)
@@ -230,8 +230,8 @@ def test_pairs_know_the_limit_of_their_source(spark, samples):
     questions = _corpus(spark)
     got = {r["record_row"]: r["defect"] for r in pairs.detect(questions, answers, samples).where("field = 'answers.answer'").collect()}
     cut = {r["record_row"] for r in truncation.detect(questions, answers).where("cut and field = 'answers.answer'").collect()}
-    assert cut == {100, 101, 102, 103, 110}
-    assert {k for k, d in got.items() if d == "truncated"} == cut | set(range(200, 260))
+    assert cut == {100, 101, 102, 103, 110} | set(range(200, 260))
+    assert {k for k, d in got.items() if d == "truncated"} == cut
 
 
 def test_pairs_of_empty_tables(spark, samples):
