@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-_STRIP = r"(?U)^\s+|\s+$"
+#: White space as Python's `\s` has it (the separators U+001C to U+001F too, which Java's has not), and all else.
+WHITE, SOLID = r"[\s\x0B\x1C-\x1F\x85\p{Z}]", r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+_STRIP = f"^{WHITE}+|{WHITE}+$"
 
 # Marks behind which an answer is no longer one, in the order they are looked for, and its end token.
 AFTER_MARKERS = ("However, I've", "Note:", "The revised response", "Here is the revised response")
@@ -48,25 +50,25 @@ def n_tokens(c: Column) -> Column:
 
 def n_words(c: Column) -> Column:
     """Runs of other than white space; 0 for null."""
-    return F.coalesce(F.regexp_count(c, F.lit(r"(?U)\S+")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(f"{SOLID}+")), F.lit(0))
 
 
 def sentences(c: Column) -> Column:
     """White-space-normalised text cut behind . ! ? before a capital, digit or quote of ASCII; never an empty part."""
     whole = normalize_whitespace(c)
-    parts = F.filter(F.transform(F.split(whole, r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'])"), strip), lambda s: F.length(s) > 0)
+    parts = F.filter(F.transform(F.split(whole, rf"(?<=[.!?]){WHITE}+(?=[A-Z0-9\"'])"), strip), lambda s: F.length(s) > 0)
     return F.when(c.isNull() | (F.length(whole) == 0), F.array().cast("array<string>")).otherwise(F.when(F.size(parts) > 0, parts).otherwise(F.array(whole)))
 
 
 def normalize_text(c: Column) -> Column:
     """Stripped, in lower case, every run of white space one blank."""
-    return F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
+    return F.regexp_replace(F.lower(strip(c)), f"{WHITE}+", " ")
 
 
 def ascii_ratio(c: Column) -> Column:
     """Share of ASCII among the characters that are not white space; 1.0 if there are none."""
-    solid = F.length(F.regexp_replace(c, r"(?U)\s+", ""))
-    plain = F.length(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"[^\x00-\x7f]", ""))
+    solid = F.length(F.regexp_replace(c, f"{WHITE}+", ""))
+    plain = F.length(F.regexp_replace(F.regexp_replace(c, f"{WHITE}+", ""), r"[^\x00-\x7f]", ""))
     return F.when(solid == 0, F.lit(1.0)).otherwise(plain / solid)
 
 
@@ -113,12 +115,12 @@ def overlap_ratio(query: Column, other: Column) -> Column:
 
 def chunk_id_list(c: Column) -> Column:
     """Ids separated by commas or white space, in order."""
-    return F.filter(F.split(F.replace(c, F.lit(","), F.lit(" ")), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(F.replace(c, F.lit(","), F.lit(" ")), f"{WHITE}+"), lambda x: x != "")
 
 
 def doc_id_list(c: Column) -> Column:
     """Ids separated by white space only, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.split(c, f"{WHITE}+"), lambda x: x != "")))
 
 
 def truthy(c: Column) -> Column:

@@ -115,3 +115,11 @@ def test_chunk_documents(spark):
     df = spark.createDataFrame([("d1", "c", "T", "One two. Three four. Five six."), ("d2", "c", "", None), ("d3", None, None, "x")], "doc_id string, course_id string, title string, text string")
     rows = {r["chunk_id"]: (r["section"], r["text"]) for r in chunking.chunk_documents(df, 4, 1).collect()}
     assert rows == {"d1_000": ("T", "One two. Three four."), "d1_001": ("T", "Three four. Five six."), "d3_000": ("d3", "x")}
+
+
+def test_separators_are_white_space(spark):
+    """U+001C to U+001F end words, as they do for Python's str.split."""
+    text = "".join(f"w{i}" + chr(0x1C + i % 4) for i in range(8)) + chr(0x1C)
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(tx.n_words(F.col("t")).alias("n"), tx.strip(F.col("t")).alias("s"), tx.normalize_text(F.col("t")).alias("one")).first()
+    assert got["n"] == len(text.split()) == 8 and got["s"] == text.strip() and got["one"] == " ".join(text.split())
