@@ -8,8 +8,10 @@ stitches lies a piece whose pre-tokens are those of the whole text; the pieces a
 and their ids put one behind the other. If an overlap has no common boundary (a run of one class that
 is longer than the overlap), the chunks on both sides are one piece.
 
-Texts of at most one chunk take no shuffle. Only boundaries (positions in the overlaps) are gathered
-per document, and the ids of its pieces at the end, which the result holds in one row anyway.
+Texts of at most one chunk take no shuffle. Longer ones are cut once; their chunks are written down with
+their boundaries (positions in the overlaps), and only these are gathered per document, and the ids of
+its pieces at the end, which the result holds in one row anyway. The texts are read twice: for the short
+and for the long ones.
 
 Null and empty texts give an empty list. Special tokens' strings in a text are ordinary text. Repeated
 documents are encoded each; keys must be unique only among texts of more than one chunk. Extra columns
@@ -29,12 +31,14 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import checkpointed
+
 #: Path of the ranks of byte_bpe_50k.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+#: Characters of a chunk, and of the overlap of two.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 14, 1 << 9
 
 
 @functools.cache
@@ -74,14 +78,30 @@ def bounds(text: str, final: bool, overlap: int) -> tuple[list[int], list[int]]:
     return [s for s in starts if s < overlap], [s for s in starts if s >= len(text) - overlap and not text[s - 1 : s].isspace()]
 
 
-def stitches(heads: list[list[int]], tails: list[list[int]]) -> list[int]:
-    """Boundaries at which neighbouring chunks agree (positions in the text); heads and tails by chunk, in order."""
-    out = []
+def meetings(heads: list[list[int]], tails: list[list[int]]) -> list[int | None]:
+    """For every two neighbouring chunks the boundary (position in the text) at which they agree; heads and tails by chunk, in order."""
+    out: list[int | None] = []
+    last = -1
     for i in range(1, len(heads)):
-        common = set(tails[i - 1]) & set(heads[i])
         # a chunk's own first boundary is where it was cut, not one of the text, unless the one before has it
-        if common and (not out or min(common) > out[-1]):
-            out.append(min(common))
+        common = set(tails[i - 1]) & set(heads[i])
+        at = min(common) if common and min(common) > last else None
+        out.append(at)
+        last = last if at is None else at
+    return out
+
+
+def stitches(heads: list[list[int]], tails: list[list[int]]) -> list[int]:
+    return [at for at in meetings(heads, tails) if at is not None]
+
+
+def shares(starts: list[int], heads: list[list[int]], tails: list[list[int]], n_chars: int) -> list[dict]:
+    """What each chunk gives to which piece: its start, and from where to where in the text. Chunks that do not agree are of one piece."""
+    out, low, piece = [], 0, 0
+    for start, after, at in zip(starts, [*starts[1:], n_chars], [*meetings(heads, tails), n_chars]):
+        high = after if at is None else at
+        out.append({"start": start, "low": low, "high": high, "piece": piece})
+        low, piece = high, piece + (at is not None)
     return out
 
 
@@ -100,17 +120,25 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
             ids = _ids(batch.column(1).to_pylist(), path)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, arrow_ids)], names=["key", "ids"])
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, t in zip(pdf["key"], pdf["text"]):
+                starts = chunk_starts(len(t), chunk, overlap)
+                yield pd.DataFrame({"key": k, "n": len(t), "start": starts, "part": [t[s : s + chunk] for s in starts]})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [bounds(t, bool(f), overlap) for t, f in zip(pdf["part"], pdf["final"])]
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "start": pdf["start"], "head": [[s + x for x in h] for s, (h, _) in zip(pdf["start"], both)], "tail": [[s + x for x in t] for s, (_, t) in zip(pdf["start"], both)]})
+            both = [bounds(t, s + chunk >= n, overlap) for t, s, n in zip(pdf["part"], pdf["start"], pdf["n"])]
+            pdf["head"] = [[s + x for x in h] for s, (h, _) in zip(pdf["start"], both)]
+            pdf["tail"] = [[s + x for x in t] for s, (_, t) in zip(pdf["start"], both)]
+            yield pdf
 
-    @F.pandas_udf("array<int>")
-    def stitch(chunks: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<start:int,low:int,high:int,piece:int>>")
+    def stitch(n: pd.Series, chunks: pd.Series) -> pd.Series:
         out = []
-        for rows in chunks:
+        for n_chars, rows in zip(n, chunks):
             rows = sorted(rows, key=lambda r: r["start"])
-            out.append(stitches([list(r["head"]) for r in rows], [list(r["tail"]) for r in rows]))
+            out.append(shares([r["start"] for r in rows], [list(r["head"]) for r in rows], [list(r["tail"]) for r in rows], n_chars))
         return pd.Series(out)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,15 +148,14 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = F.coalesce(F.length("text"), F.lit(0))
     short = rows.where(n <= chunk).mapInArrow(whole, f"key {kind}, ids array<int>")
-    long = rows.where(n > chunk)
-    # the chunks of a long text are dealt over the cluster
-    cut = long.select("key", n.alias("n"), "text", F.explode(F.sequence(F.lit(0), n - overlap - 1, F.lit(chunk - overlap))).alias("start"))
-    cut = cut.select("key", "n", "start", F.substring("text", F.col("start") + 1, F.lit(chunk)).alias("part"), (F.col("start") + chunk >= F.col("n")).cast("int").alias("final")).repartition("key", "start")
-    marks = cut.mapInPandas(scan, f"key {kind}, n int, start int, head array<int>, tail array<int>").groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("start", "head", "tail")).alias("chunks"))
-    edges = marks.select("key", F.concat(F.array(F.lit(0)), stitch("chunks"), F.array("n")).alias("edges"))
-    spans = edges.select("key", F.posexplode(F.arrays_zip(F.slice("edges", F.lit(1), F.size("edges") - 1).alias("a"), F.slice("edges", F.lit(2), F.size("edges") - 1).alias("b"))).alias("piece", "span"))
-    parts = long.join(spans, "key").select("key", "piece", F.substring("text", F.col("span.a") + 1, F.col("span.b") - F.col("span.a")).alias("part")).repartition("key", "piece")
-    coded = parts.mapInPandas(pieces, f"key {kind}, piece int, ids array<int>")
+    # the chunks of long texts are dealt over the cluster; they carry their text from here on, so no text is read or copied again
+    chunks = rows.where(n > chunk).mapInPandas(cut, f"key {kind}, n int, start int, part string").repartition("key", "start")
+    chunks = checkpointed(chunks.mapInPandas(scan, f"key {kind}, n int, start int, part string, head array<int>, tail array<int>"))
+    marks = chunks.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("start", "head", "tail")).alias("chunks"))
+    given = marks.select("key", F.inline(stitch("n", "chunks")))
+    parts = chunks.join(given, ["key", "start"]).select("key", "piece", "start", F.substring("part", F.col("low") - F.col("start") + 1, F.col("high") - F.col("low")).alias("part"))
+    texts = parts.groupBy("key", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "").alias("part"))
+    coded = texts.mapInPandas(pieces, f"key {kind}, piece int, ids array<int>")
     joined = coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
     return short.unionByName(joined).withColumnRenamed("key", key)
 

@@ -70,7 +70,8 @@ def seats(counts: list[int], shares: list[float], floors: list[int], size: int)
 
 
 def plan(rows: DataFrame, targets: DataFrame, course: str = "course_id", kind: str = "question_type") -> DataFrame:
-    """Per category of `targets`: pool_rows, need, n_seats, sample_size, share_permille (target), reached_permille, short.
+    """Per category of `targets`: pool_rows, need, n_seats, sample_size, share_permille (target), reached_permille, short
+    (fewer rows than needed), unmet (fewer seats than needed: short, or minimums that overfill the sample).
 
     need = max(min_rows, ceil(share * sample size / 1000)). One aggregation of the pool; the seats are
     dealt in one task over the categories of the targets, a table that does not grow with the pool."""
@@ -93,7 +94,7 @@ def plan(rows: DataFrame, targets: DataFrame, course: str = "course_id", kind: s
     one = table.select(*categories, "share_permille", "min_rows", "pool_rows", "sample_size").coalesce(1)
     dealt = one.mapInPandas(deal, f"{course} string, {kind} string, share_permille long, min_rows long, pool_rows long, sample_size long, n_seats long")
     need = F.greatest(F.coalesce("min_rows", F.lit(0)), F.expr("(coalesce(share_permille, 0) * sample_size + 999) div 1000"))
-    return dealt.withColumn("need", need).withColumn("reached_permille", F.round(1000 * F.col("n_seats") / F.greatest(F.col("sample_size"), F.lit(1)), 3)).withColumn("short", F.col("pool_rows") < F.col("need"))
+    return dealt.withColumn("need", need).withColumn("reached_permille", F.round(1000 * F.col("n_seats") / F.greatest(F.col("sample_size"), F.lit(1)), 3)).withColumn("short", F.col("pool_rows") < F.col("need")).withColumn("unmet", F.col("n_seats") < F.col("need"))
 
 
 def draw(rows: DataFrame, targets: DataFrame, key: str, course: str = "course_id", kind: str = "question_type", seed: int = SEED) -> DataFrame:

@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.functions import text as tx
+
 LIMIT = 512
 OVERLAP = 64
 
@@ -98,7 +100,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
 
 def n_words(text: Column) -> Column:
     """Runs of characters other than white space; 0 for null. Inside the JVM."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"{tx.SOLID}+")), F.lit(0))
 
 
 def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = False) -> DataFrame:

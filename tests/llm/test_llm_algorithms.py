@@ -166,14 +166,20 @@ def test_split_items(spark):
     assert {r["item_key"] for r in every} == {"1", "2", "4", "5", "k1"} and all(r["n_words"] <= 512 for r in every)
 
 
+def test_words_between_separators(spark):
+    items = spark.createDataFrame([("document", "1", chr(0x1C).join(f"w{i}" for i in range(600)))], "item_kind string, item_key string, text string")
+    rows = splitting.split(items, oversized_only=True).collect()
+    assert len(rows) == 2 and sum(r["n_words"] for r in rows) == 600 + 64
+
+
 # ------------------------------------------------------------------ p8 and p9
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(encoding.VOCABULARY), reason="no tokenizer here")
-TEXTS = ["", "Hello world, it's 3.50!  \n\n  Next", "Ўзбек тили — маъно", "<|endoftext|> is text", "a" * 300, " " * 250 + "x", "1234567890 " * 40, "x\n" * 120, "'ll 've don't " * 30, "日本語のテキスト" * 20, "emoji 👩‍👩‍👧 " * 15]
+TEXTS = ["", "Hello world, it's 3.50!  \n\n  Next", "Ўзбек тили — маъно", "<|endoftext|> is text", "a" * 300, " " * 250 + "x", "1234567890 " * 40, "x\n" * 120, "'ll 've don't " * 30, "日本語のテキスト" * 20, "emoji 👩‍👩‍👧 " * 15, "one, two; three 4 five\n" * 3000, "x" * 40000 + " end"]
 
 
 @needs_tokenizer
-@pytest.mark.parametrize("chunk,overlap", [(64, 16), (40, 20), (1 << 16, 1 << 10)])
+@pytest.mark.parametrize("chunk,overlap", [(64, 16), (40, 20), (encoding.CHUNK_CHARS, encoding.OVERLAP_CHARS)])
 def test_chunked_encoding_is_that_of_the_whole(spark, chunk, overlap):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("key", F.lit(1))
