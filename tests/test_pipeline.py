@@ -1,6 +1,7 @@
 """Failures, grounding, curation, validation, HTML, files and incremental runs on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,29 +163,72 @@ def test_incremental(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
-def test_selection_needs_no_whole_groups(spark):
-    rows = [(f"k{i:03d}", "c", f"s{i % 3}_{i:03d}", "factual", f"What is thing {i % 40}?", f"S {i}", 9 - i % 4, -5, -20) for i in range(120)]
-    df = spark.createDataFrame(rows, "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int")
-    few, many = (sorted(tuple(r) for r in curation.select(df, {"factual": 10}, best=b).collect()) for b in (4, 1000))
-    assert few == many and len(few) == 10
-
-
-def _both_ways(spark, rows, best, targets, **more):
-    """The selection from `best` rows a group at first, and from all rows."""
-    df = spark.createDataFrame(rows, "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int")
-    return [sorted(tuple(r) for r in curation.select(df, targets, best=b, **more).collect()) for b in (best, 1000)]
+CANDIDATE = "candidate_id string, course_id string, chunk_id string, question_type string, question_text_en string, question_text_uz string, score int, question_words int, answer_words int"
+
+
+def _by_hand(rows, targets, fallback=()):
+    """The selection, one row after the other."""
+    got = set()
+    for course in sorted({r[1] for r in rows if r[1] is not None}):
+        used_ids, used = set(), set()
+        prompts = lambda r: {("en", " ".join((r[4] or "").lower().split())), ("uz", " ".join((r[5] or "").lower().split()))}
+        for kind, target in targets.items():
+            lines, seen = {}, set(used)
+            for r in sorted((r for r in rows if r[1] == course and r[3] == kind and r[0] not in used_ids), key=lambda r: (r[6:9], r[0]), reverse=True):
+                if not prompts(r) & seen:
+                    seen |= prompts(r)
+                    lines.setdefault(r[2].rpartition("_")[0], []).append(r)
+            sections = sorted(lines.items(), key=lambda x: (x[1][0][6:9], x[0]), reverse=True)
+            turns = [line[k] for k in range(max(map(len, lines.values()), default=0)) for _, line in sections if k < len(line)][:target]
+            picks = [(r, "") for r in turns]
+            if kind == "procedural" and len(picks) < target and course in fallback:
+                spare = [r for r in rows if r[1] == course and r[3] == "comparative" and r[0] not in used_ids and not prompts(r) & used]
+                text = lambda r: (r[4] or "").lower()
+                picks += [(max(spare, key=lambda r: ("how" in text(r), "differ" in text(r) or "compare" in text(r), r[6:9], r[0])), "relabelled")] if spare else []
+            for i, (r, note) in enumerate(picks, 1):
+                got.add((r[0], course, kind, i, note))
+                used_ids.add(r[0])
+                used |= prompts(r)
+    return got
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selection_is_that_of_one_row_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    words = ["how do", "what is", "compare", "differ", "which"]
+    rows = [
+        (f"k{i:03d}", rng.choice(["a", "b", "b", "b", None]), f"s{rng.randrange(5)}_{i:03d}", rng.choice([*curation.TYPES, "other"]), rng.choice([None, f"{rng.choice(words)} {rng.randrange(12)}?"]), rng.choice(["", None, f"S  {rng.randrange(30)}"]), rng.randrange(3), -rng.randrange(2), -rng.randrange(2))
+        for i in range(160)
+    ]
+    targets = {"factual": 6, "conceptual": 3, "procedural": 9, "comparative": 2}
+    df = spark.createDataFrame(rows, CANDIDATE)
+    assert {tuple(r) for r in curation.select(df, targets, ("b",)).collect()} == _by_hand(rows, targets, ("b",))
+    assert curation.select(df.limit(0), targets).count() == 0
 
 
 def test_selection_looks_behind_a_tie_for_sections(spark):
-    """All rated alike: the sections that come first by name are those of the rows cut off."""
+    """All rated alike: sections go by name."""
     rows = [(f"k{99 - i:02d}", "c", f"s{i:02d}_1", "factual", f"What is thing {i}?", f"S {i}", 5, -5, -20) for i in range(40)]
-    few, many = _both_ways(spark, rows, 4, {"factual": 3})
-    assert few == many and {r[0] for r in many} == {"k60", "k61", "k62"}
+    assert {r[0] for r in curation.select(spark.createDataFrame(rows, CANDIDATE), {"factual": 3}).collect()} == {"k60", "k61", "k62"}
 
 
 def test_selection_relabels_from_all_comparative_rows(spark):
     """The best row to relabel by its wording is the worst by its rating."""
     rows = [(f"k{i:02d}", "c", f"s{i:02d}_1", "comparative", f"Is thing {i} larger?" if i < 39 else "How do the two differ?", f"S {i}", 90 - i, -5, -20) for i in range(40)]
     rows.append(("p00", "c", "s00_2", "procedural", "What comes first?", "P", 5, -5, -20))
-    few, many = _both_ways(spark, rows, 4, {"comparative": 2, "procedural": 2}, fallback_courses=("c",))
-    assert few == many and ("k39", "relabelled") in {(r[0], r[4]) for r in many}
+    df, targets = spark.createDataFrame(rows, CANDIDATE), {"comparative": 2, "procedural": 3}
+    got = curation.select(df, targets, ("c",))
+    assert ("k39", "relabelled") in {(r["candidate_id"], r["note"]) for r in got.collect()}
+    assert [tuple(r) for r in curation.shortfall(got, df, targets).collect()] == [("c", "procedural", 3, 2)]
+    assert {tuple(r)[1:] for r in curation.breakdown(got, df, targets).collect()} == {("comparative", 2, 2), ("procedural", 3, 2)}
+    with pytest.raises(ValueError, match="procedural: 2 of 3"):
+        curation.select(df, targets, ("c",), strict=True)
+
+
+def test_quota_goes_on_where_a_run_stopped(spark):
+    one = '{"question_text": "q", "reference_answer": "a", "question_type": "factual"}'
+    replies = spark.createDataFrame([(f"c{i}", "a" if i < 6 else "b", "factual", i, one) for i in range(8)], "chunk_id string, course_id string, prompt_type string, pos int, raw string")
+    held = spark.createDataFrame([("a",), ("a",), ("a",)], "course_id string")
+    got = curation.candidates(replies, 4, held)
+    assert sorted(r["chunk_id"] for r in got.collect()) == ["c0", "c6", "c7"]
+    assert curation.candidates(replies, 4, held.limit(0)).count() == 6
