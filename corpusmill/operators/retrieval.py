@@ -1,9 +1,9 @@
 """Ranked retrieval: BM25 with its zero-score fallback, exact inner-product search, reciprocal-rank fusion.
 
-A search takes a stated set of queries against all rows of a corpus. The corpus is never shuffled: every
-batch of it is scored against the queries in numpy and gives its own best k rows per query; only those
-meet, in a window per query. Queries go in blocks of QUERY_BLOCK, so that what a task holds is bounded;
-each block is a pass over the corpus.
+A search takes a stated set of queries against all rows of a corpus. A search shuffles no text: every
+batch of the corpus is scored against the queries in numpy and gives its own best k rows per query; only
+those meet, in a window per query. Queries go in blocks of QUERY_BLOCK and rows in parts of CELLS scores, so
+that what a task holds is bounded; each block is a pass over the corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from corpusmill.session import checkpointed
 
 #: Queries that are scored in one pass over the corpus.
 QUERY_BLOCK = 2000
+#: Scores (rows times queries) that are held at once.
+CELLS = 1 << 22
 K1, B, TOP_K, RRF_K = 1.5, 0.75, 10, 60
 
 
@@ -93,13 +95,13 @@ def _blocks(queries: DataFrame, corpus: DataFrame, key: str, text: str, corpus_t
     return out
 
 
-def _score(texts: list[str], block: _Block, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """(BM25 [texts, queries], number of the query's distinct words that the text has)."""
+def _score(texts: list[str], block: _Block, k1: float, b: float, shared_words: bool = False) -> np.ndarray:
+    """BM25 [texts, queries], rounded to 10 digits, or the number of the query's distinct words that the text has."""
     codes, offsets = vec.pack([t.lower() for t in texts])
-    scores, shared = np.zeros((len(texts), len(block.names))), np.zeros((len(texts), len(block.names)), np.int32)
+    scores = np.zeros((len(texts), len(block.names)))
     starts, ends = vec.runs(vec.word_table()[codes] if len(codes) else np.empty(0, bool), offsets)
     if not len(starts) or not len(block.hashes):
-        return scores, shared
+        return scores
     own = vec.owner(offsets)[starts]
     length = np.bincount(own, minlength=len(texts))
     h = vec.span_hashes(codes, starts, ends)
@@ -111,10 +113,9 @@ def _score(texts: list[str], block: _Block, k1: float, b: float) -> tuple[np.nda
     n = block.first[term + 1] - block.first[term]
     rows = np.repeat(np.arange(len(doc)), n)
     entry = np.repeat(block.first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    flat = doc[rows] * len(block.names) + block.query[entry]
-    scores += np.bincount(flat, weights=gain[rows] * block.weight[entry], minlength=scores.size).reshape(scores.shape)
-    shared += np.bincount(flat, minlength=scores.size).reshape(scores.shape).astype(np.int32)
-    return scores, shared
+    weights = None if shared_words else gain[rows] * block.weight[entry]
+    flat = np.bincount(doc[rows] * len(block.names) + block.query[entry], weights=weights, minlength=scores.size)
+    return np.round(flat.reshape(scores.shape), 10).astype(np.float64)
 
 
 def _best(values: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,27 +147,38 @@ def bm25(queries: DataFrame, corpus: DataFrame, query_key: str, query_text: str,
     null texts are empty."""
     blocks = _blocks(queries, corpus, query_key, query_text, text)
     query_type, key_type = dict(queries.dtypes)[query_key], dict(corpus.dtypes)[key]
-    schema = f"q {query_type}, d {key_type}, fallback boolean, score double"
+    schema = f"q {query_type}, d {key_type}, score double"
+
+    def search(block: _Block, wanted: np.ndarray, shared_words: bool) -> DataFrame:
+        """The k best rows of every part of the corpus for the queries `wanted` of a block."""
 
-    def search(block: _Block):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = np.array(block.names)[wanted]
             for pdf in batches:
-                names = pdf["d"].to_numpy()
-                scores, shared = _score([t if t is not None else "" for t in pdf["text"]], block, k1, b)
-                for fallback, values in ((False, np.round(scores, 10)), (True, shared.astype(float))):
+                for i in range(0, len(pdf), max(1, CELLS // len(block.names))):
+                    part = pdf.iloc[i : i + max(1, CELLS // len(block.names))]
+                    names = part["d"].to_numpy()
+                    values = _score([t if t is not None else "" for t in part["text"]], block, k1, b, shared_words)[:, wanted]
                     rows, columns = _best(values, names, k)
-                    yield pd.DataFrame({"q": np.array(block.names)[columns], "d": names[rows], "fallback": fallback, "score": values[rows, columns]})
+                    yield pd.DataFrame({"q": asked[columns], "d": names[rows], "score": values[rows, columns]})
 
         return corpus.select(F.col(key).alias("d"), F.col(text).alias("text")).mapInPandas(run, schema)
 
     if not blocks:
         return queries.sparkSession.createDataFrame([], f"{query_key} {query_type}, {key} {key_type}, rank int, score double")
-    found = reduce(DataFrame.unionByName, [search(x) for x in blocks])
-    by = Window.partitionBy("q", "fallback").orderBy(F.desc("score"), "d")
-    local = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    none = F.max(F.when(~F.col("fallback"), F.col("score"))).over(Window.partitionBy("q")) == 0
-    chosen = local.withColumn("none", none).where(F.col("fallback") == F.col("none"))
-    return chosen.select(F.col("q").alias(query_key), F.col("d").alias(key), "rank", F.round("score", 6).alias("score"))
+
+    def ranked(parts: list[DataFrame]) -> DataFrame:
+        by = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+        return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    best = checkpointed(ranked([search(x, np.arange(len(x.names)), False) for x in blocks]))
+    # only queries that no row scores for are searched again, by shared words; they are of the query set, so bounded as it is
+    silent = {r["q"] for r in best.where("rank = 1 and score = 0").select("q").collect()}
+    if silent:
+        again = [(x, np.flatnonzero([n in silent for n in x.names])) for x in blocks]
+        best = best.join(best.where("rank = 1 and score = 0").select("q"), "q", "left_anti")
+        best = best.unionByName(ranked([search(x, wanted, True) for x, wanted in again if len(wanted)]))
+    return best.select(F.col("q").alias(query_key), F.col("d").alias(key), "rank", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ dense
@@ -185,10 +197,11 @@ def inner_product(queries: DataFrame, corpus: DataFrame, query_key: str, query_v
     def search(names: np.ndarray, block: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    values = np.round(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ block.T, 10)
-                    best, columns = _best(values, pdf["d"].to_numpy(), k)
-                    yield pd.DataFrame({"q": names[columns], "d": pdf["d"].to_numpy()[best], "score": values[best, columns]})
+                for i in range(0, len(pdf), max(1, CELLS // len(names))):
+                    part = pdf.iloc[i : i + max(1, CELLS // len(names))]
+                    values = np.round(np.stack(part["v"].to_numpy()).astype(np.float64) @ block.T, 10)
+                    best, columns = _best(values, part["d"].to_numpy(), k)
+                    yield pd.DataFrame({"q": names[columns], "d": part["d"].to_numpy()[best], "score": values[best, columns]})
 
         return corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("d"), F.col(vector).alias("v")).mapInPandas(run, f"q {query_type}, d {key_type}, score double")
 

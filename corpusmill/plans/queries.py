@@ -8,6 +8,7 @@ from corpusmill.functions import text as tx
 from corpusmill.operators import chunking, curation, evaluation, failures, grounding, ingest, reports, retrieval
 from corpusmill.operators.lookup import last_per_key
 from corpusmill.streaming import incremental
+from corpusmill.session import checkpointed
 from corpusmill.tables import Tables
 
 from .registry import query
@@ -235,8 +236,8 @@ ranked AS (SELECT question_row, chunk_id, row_number() OVER (PARTITION BY questi
 
 
 def _search(t: Tables) -> DataFrame:
-    """The stated query set: every question whose row is divisible by 50, against all chunks."""
-    return retrieval.bm25(t.questions.where("question_row % 50 = 0"), _chunks(t), "question_row", "question_text", "chunk_id", "text")
+    """The stated query set: every question whose row is divisible by 50, against all chunks, whose repeated rows are put together once."""
+    return retrieval.bm25(t.questions.where("question_row % 50 = 0"), checkpointed(_chunks(t)), "question_row", "question_text", "chunk_id", "text")
 
 
 @query("ret4_bm25_topk", f"WITH {CHUNKS}, {_BM25}, {_BM25_RANKED} SELECT question_row, chunk_id, rank::INT AS rank, score FROM ranked WHERE rank <= 10")
@@ -434,7 +435,7 @@ def _(t: Tables) -> DataFrame:
 @query("grd6_pending", "SELECT q.question_row, s.system FROM questions q CROSS JOIN (SELECT DISTINCT system FROM runs) s WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.question_row = q.question_row AND a.system = s.system)")
 def _(t: Tables) -> DataFrame:
     # the systems of the table of runs are an array beside each question, not a second table to pair it with
-    systems = [r["system"] for r in t.runs.select("system").distinct().orderBy("system").limit(1000).collect()]
+    systems = [r["system"] for r in t.runs.select("system").distinct().orderBy("system").collect()]
     requested = t.questions.select("question_row", F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"))
     return grounding.pending(requested, t.answers, ("question_row", "system"))
 

@@ -1,7 +1,7 @@
 """The tables of a data folder, read lazily: `Tables(spark, folder).documents`.
 
-A table in fewer pieces than the session has cores, as a single small file is, would keep most of them
-idle; it is dealt over them. Larger tables are read in the pieces they have, without a shuffle.
+A session that sets spark.corpusmill.deal, as the local one of `session` does, has tables in fewer files
+than it has cores dealt over them; otherwise tables are read in the pieces they have, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,19 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Bytes of a table from which dealing pays, and of a piece that one task reads.
-SMALL, PIECE = 1 << 20, 128 << 20
-
-
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder.rstrip("/")
+        self._deal = spark.conf.get("spark.corpusmill.deal", "false") == "true"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         table = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
         cores = self._spark.sparkContext.defaultParallelism
-        size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        pieces = max(len(table.inputFiles()), size // PIECE)
-        return table.repartition(cores) if size > SMALL and pieces < cores else table
+        return table.repartition(cores) if self._deal and len(table.inputFiles()) < cores else table
