@@ -163,3 +163,26 @@ def section_identifier(slug: Column, prefix: Column) -> Column:
 def evidence_block(ids: Column, texts: Column) -> Column:
     """Lines `[id]: text` in order."""
     return F.array_join(F.zip_with(ids, texts, lambda i, t: F.concat(F.lit("["), i, F.lit("]: "), F.coalesce(t, F.lit("")))), "\n")
+
+
+#: What a question of each type asks for, in the prompts that have questions written.
+ASKED_FOR = {
+    "factual": "asks for one fact that the passage states",
+    "conceptual": "asks a student to explain an idea, or how two ideas of the passage are related",
+    "procedural": "asks how something described in the passage is done, or asks to compare two ideas of it; its question_type is procedural or comparative accordingly",
+}
+
+
+def question_prompt(kind: str, course: Column, passage: Column) -> Column:
+    """A prompt for one question of a type on a passage, answered by a JSON object with the three keys that candidates need."""
+    if kind not in ASKED_FOR:
+        raise ValueError(f"no prompt for questions of type {kind}")
+    reply = f'{{"question_type": "{kind}", "question_text": "...", "reference_answer": "..."}}'
+    head = F.concat(F.lit("You write questions for a test of course assistants. The passage below is from a textbook of "), course_name(course), F.lit(f". Write one {kind} question that {ASKED_FOR[kind]}."))
+    rest = F.lit("Give a reference answer of two or three sentences that says nothing beyond the passage.\n\nPassage:\n")
+    return F.concat(head, F.lit("\n"), rest, F.coalesce(passage, F.lit("")), F.lit(f"\n\nReply with a JSON object only:\n{reply}"))
+
+
+def translation_prompt(c: Column, language: str = "Uzbek", script: str = "Latin") -> Column:
+    """A prompt for the translation of a text, and nothing else, in a script."""
+    return F.concat(F.lit(f"Translate the text below into {language}, in {script} letters. Keep names and citations in brackets as they are. Reply with the translation only.\n\n"), F.coalesce(c, F.lit("")))

@@ -59,6 +59,24 @@ def review_summary(assessed: DataFrame) -> DataFrame:
     return assessed.select(F.inline(pairs)).where("value != ''").groupBy("kind", "value").agg(F.count("*").alias("count"))
 
 
+def review_rows(assessed: DataFrame) -> DataFrame:
+    """The rows that a person must look at, with blank columns for the label and notes. Lists of ids are joined by blanks."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    kept = [c for c in ("qid", "system", "language") if c in assessed.columns]
+    return assessed.where("review").select(
+        *[none(F.col(c)).alias(c) for c in kept], F.array_join(F.coalesce("retrieved_chunk_ids", F.array().cast("array<string>")), " ").alias("retrieved_chunk_ids"), F.array_join("gold_chunk_ids", " ").alias("gold_chunk_ids"),
+        none(F.col("answer")).alias("answer"), "auto_label", F.col("reason").alias("review_reason"), F.lit("").alias("label"), F.lit("").alias("notes"),
+    )
+
+
+def annotation_summary(rows: DataFrame, label: str, group: str, position: str) -> DataFrame:
+    """kind, value, figure: total_rows, the number of rows of each label, and, where groups have two labels, the annotator's kappa with themself."""
+    counts = rows.groupBy(F.col(label).alias("value")).agg(F.count("*").cast("double").alias("figure")).select(F.lit("label_distribution").alias("kind"), "value", "figure")
+    total = rows.agg(F.count("*").cast("double").alias("figure")).select(F.lit("total_rows").alias("kind"), F.lit("").alias("value"), "figure")
+    kappa = agreement(rows, group, label, position).where("n > 0").select(F.lit("intra_annotator_kappa").alias("kind"), F.lit("").alias("value"), F.col("kappa").cast("double").alias("figure"))
+    return total.unionByName(counts).unionByName(kappa)
+
+
 def evidence(answers: DataFrame, chunks: DataFrame, key: str, ids: str = "retrieved_chunk_ids", top: int = 5) -> DataFrame:
     """key, evidence: lines `[id]: text` of the first `top` known ids, in order. `top` texts a row at most."""
     table = chunks.groupBy("chunk_id").agg(F.max("text").alias("text"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from corpusmill.functions import text as tx
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -113,13 +114,23 @@ def preloaded_state(html: str, marker: str = "__PRELOADED_STATE__") -> dict:
     raise ValueError("unbalanced preloaded state")
 
 
+def contents_tree(state: dict) -> dict:
+    """The contents tree of a page's state: that of its book, where it has one, else the state itself."""
+    for step in ("content", "book", "tree"):
+        below = state.get(step)
+        if not isinstance(below, dict):
+            break
+        state = below
+    return state
+
+
 def flatten_toc(node: dict) -> list[dict]:
-    """Entries of a contents tree, parents first; a node with the slug index and all below it is left out."""
+    """Entries of a contents tree, parents first, titles without tags; a node with the slug index and all below it is left out."""
     slug = node.get("slug")
     if slug == "index":
         return []
     children = node.get("contents") or node.get("children") or []
-    out = [{"section_slug": slug, "title": node.get("title") or slug}] if slug and (node.get("toc_target_type") or not children) else []
+    out = [{"section_slug": slug, "title": text_of(str(node.get("title") or "")) or slug}] if slug and (node.get("toc_target_type") or not children) else []
     return out + [x for c in children for x in flatten_toc(c)]
 
 
@@ -145,21 +156,28 @@ def scraped(extracted: DataFrame, key: str = "page_id") -> tuple[DataFrame, Data
     return extracted.where("error is null").drop("error"), extracted.where("error is not null").drop("content")
 
 
-def toc(pages: DataFrame, html: str = "html", position: str = "page_id") -> DataFrame:
-    """section_slug, title of the contents trees in the pages' preloaded state; the first entry of each slug."""
+def toc(pages: DataFrame, html: str = "html", position: str = "page_id", book: str | None = None, base_url: str = "") -> DataFrame:
+    """section_slug, title, chapter_number, section_number, url of the contents trees in the pages' preloaded state; the first entry of each slug.
+
+    Numbers are those a slug begins with, null without. `book` is a column with the slug of a page's book: a
+    section's address is base_url/books/book/pages/section, or base_url/section without one; entries are then per book."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for pos, page in zip(pdf["pos"], pdf["html"]):
+            for pos, own, page in zip(pdf["pos"], pdf["book"], pdf["html"]):
                 try:
-                    rows += [(pos, i, x["section_slug"], x["title"]) for i, x in enumerate(flatten_toc(preloaded_state(page or "")))]
+                    rows += [(pos, own, i, x["section_slug"], x["title"]) for i, x in enumerate(flatten_toc(contents_tree(preloaded_state(page or ""))))]
                 except ValueError:
                     continue
-            yield pd.DataFrame(rows, columns=["pos", "place", "section_slug", "title"])
-
-    entries = pages.select(F.col(position).cast("long").alias("pos"), F.col(html).alias("html")).mapInPandas(run, "pos long, place int, section_slug string, title string")
-    return entries.groupBy("section_slug").agg(F.min_by("title", F.struct("pos", "place")).alias("title"))
+            yield pd.DataFrame(rows, columns=["pos", "book", "place", "section_slug", "title"])
+
+    own = F.col(book).cast("string") if book else F.lit("")
+    entries = pages.select(F.col(position).cast("long").alias("pos"), own.alias("book"), F.col(html).alias("html")).mapInPandas(run, "pos long, book string, place int, section_slug string, title string")
+    first = entries.groupBy("book", "section_slug").agg(F.min_by("title", F.struct("pos", "place")).alias("title"))
+    chapter, section = tx.slug_numbers(F.col("section_slug"))
+    url = F.concat_ws("/", F.lit(base_url), F.lit("books"), "book", F.lit("pages"), "section_slug") if book else F.concat_ws("/", F.lit(base_url), "section_slug")
+    return first.select(*([F.col("book").alias(book)] if book else []), "section_slug", "title", chapter.alias("chapter_number"), section.alias("section_number"), url.alias("url"))
 
 
 def text_column(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import text as tx
-from corpusmill.operators import chunking, curation, evaluation, failures, grounding, ingest, reports, retrieval
+from corpusmill.operators import chunking, curation, evaluation, failures, grounding, html, ingest, reports, retrieval
 from corpusmill.operators.lookup import last_per_key
 from corpusmill.streaming import incremental
 from corpusmill.session import checkpointed
@@ -176,9 +176,49 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", chapter.alias("chapter"), section.alias("section"), tx.section_identifier(slug, F.col("course_id")).alias("identifier"))
 
 
-@query("ing3_documents", f"SELECT doc_id, coalesce(nullif(title, ''), doc_key) AS section, coalesce(source_url, source || '/' || doc_key) AS source_url, {_norm('text')} AS text FROM documents")
+_SECTION = "replace(doc_key, '_', '-') || '-' || doc_id"
+
+
+@query(
+    "ing3_documents",
+    rf"""
+WITH s AS (SELECT course_id, {_SECTION} AS section_slug, title, source_url, text FROM documents WHERE course_id IS NOT NULL AND doc_key IS NOT NULL),
+n AS (SELECT *, list_filter(string_split(section_slug, '-'), lambda x: regexp_full_match(x, '[0-9]+')) AS parts FROM s),
+w AS (SELECT *, CASE WHEN len(parts) >= 2 THEN course_id || '_ch' || lpad(parts[1]::BIGINT::VARCHAR, greatest(2, len(parts[1]::BIGINT::VARCHAR))::INT, '0') || '_s' || lpad(parts[2]::BIGINT::VARCHAR, greatest(2, len(parts[2]::BIGINT::VARCHAR))::INT, '0')
+  WHEN len(parts) = 1 THEN course_id || '_ch' || lpad(parts[1]::BIGINT::VARCHAR, greatest(2, len(parts[1]::BIGINT::VARCHAR))::INT, '0') || '_s00' ELSE course_id || '_' || replace(section_slug, '-', '_') END AS doc_id FROM n)
+SELECT doc_id, course_id, coalesce(title, array_to_string(list_transform(string_split(section_slug, '-'), lambda x: upper(x[1]) || lower(x[2:])), ' ')) AS title, coalesce(source_url, 'https://course.example/' || section_slug) AS source_url, {_norm('text')} AS text FROM w""",
+)
+def _(t: Tables) -> DataFrame:
+    slug = F.concat(F.replace("doc_key", F.lit("_"), F.lit("-")), F.lit("-"), F.col("doc_id").cast("string"))
+    rows = t.documents.where("course_id is not null and doc_key is not null").select("course_id", slug.alias("section_slug"), "title", F.col("source_url").alias("url"), "text", F.col("doc_id").alias("_pos"))
+    courses = rows.select("course_id", F.col("course_id").alias("doc_prefix"), F.lit("CC BY").alias("license"), F.lit("textbook").alias("source_type"), F.lit("https://course.example").alias("base_url")).distinct()
+    made = ingest.build_documents(rows.select("course_id", "section_slug", "text"), rows.drop("text"), courses, "2024-01-01")
+    return made.select("doc_id", "course_id", "title", "source_url", "text")
+
+
+_STATE = """'{"content": {"book": {"tree": {"slug": "", "contents": [{"slug": "index", "title": "Index"}, {"slug": "' || doc_id || '-2-part", "title": "<b>Part</b> of <i>' || course_id || '</i>"}, {"title": "Above", "contents": [{"slug": "' || source || '", "title": ""}]}]}}}}'"""
+
+
+@query(
+    "htm5_contents",
+    f"""
+WITH d AS (SELECT doc_id, source, course_id FROM documents WHERE course_id IS NOT NULL),
+e AS (SELECT course_id AS book, doc_id || '-2-part' AS section_slug, 'Part of ' || course_id AS title, doc_id::VARCHAR AS chapter_number, '2' AS section_number FROM d
+UNION ALL SELECT DISTINCT course_id, source, source, nullif(regexp_extract(source, '^([0-9]+)', 1), ''), NULL FROM d)
+SELECT DISTINCT book, section_slug, title, chapter_number, section_number, 'https://site.example/books/' || book || '/pages/' || section_slug AS url FROM e""",
+)
+def _(t: Tables) -> DataFrame:
+    pages = t.documents.where("course_id is not null").select("doc_id", F.col("course_id").alias("book"), F.expr(f"concat('<script>window.__PRELOADED_STATE__ = ', {_STATE}, ';</script>')").alias("html"))
+    return html.toc(pages, position="doc_id", book="book", base_url="https://site.example")
+
+
+_MAIN = """'<html><nav>menu</nav><main><h2>' || coalesce(source, '') || '</h2><p>One <b>' || doc_id || '</b></p><ul><li>item</li></ul><script>x()</script></main></html>'"""
+
+
+@query("htm3_main_content", "SELECT doc_id, '## ' || coalesce(source, '') || chr(10) || chr(10) || 'One ' || doc_id || chr(10) || chr(10) || '- item' AS content, NULL::VARCHAR AS error FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, NULL, 'no main content' FROM documents WHERE doc_id % 7 = 0")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.coalesce(F.nullif("title", F.lit("")), "doc_key").alias("section"), F.coalesce("source_url", F.concat_ws("/", "source", "doc_key")).alias("source_url"), tx.normalize_whitespace(F.col("text")).alias("text"))
+    page = F.expr(f"CASE WHEN doc_id % 7 = 0 THEN '<p>no main</p>' ELSE {_MAIN} END")
+    return html.extract(t.documents.select("doc_id", page.alias("html")), "doc_id")
 
 
 @query("ing4_corpus_stats", f"SELECT CASE WHEN grouping(course_id) = 1 THEN '(all)' ELSE course_id END AS course_id, count(*) AS n_documents, sum({_n_words('text')})::BIGINT AS n_words FROM documents GROUP BY GROUPING SETS ((course_id), ())")
@@ -196,7 +236,25 @@ def _(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.posexplode(chunking.split_long_sentence(F.col("text"))).alias("window_index", "text"))
 
 
-@query("chk4_chunks")
+@query(
+    "chk4_chunks",
+    rf"""
+WITH RECURSIVE n AS (SELECT doc_id AS row_id, doc_key, course_id, coalesce(nullif(title, ''), doc_key, 'section') AS section, {_norm("coalesce(text, '')")} AS whole FROM documents),
+p AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(whole, '([.!?]){WS}+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), '([.!?]){WS}+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS parts FROM n WHERE whole <> ''),
+w AS (SELECT *, list_transform(parts, lambda x: len(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+'))) AS weights FROM p),
+s AS (SELECT *, list_transform(range(0, len(parts) + 1), lambda i: coalesce(list_sum(weights[1:i]), 0)) AS sums FROM w),
+c(row_id, first, until, total) AS (
+  SELECT row_id, 0::BIGINT, greatest(1, len(list_filter(sums, lambda x: x <= 512)) - 1)::BIGINT, len(parts)::BIGINT FROM s
+  UNION ALL
+  SELECT s.row_id, f.first, greatest(f.first + 1, len(list_filter(s.sums, lambda x: x <= s.sums[f.first + 1] + 512)) - 1)::BIGINT, c.total FROM c JOIN s ON s.row_id = c.row_id,
+  LATERAL (SELECT CASE WHEN s.weights[c.first + 1] > 512 THEN c.until ELSE greatest(c.first + 1, least(coalesce(list_max(list_filter(range(0, c.until), lambda i: s.weights[i + 1] > 0)), -1),
+    greatest(len(list_filter(s.sums, lambda x: x < s.sums[c.until + 1] - 64)), len(list_filter(s.sums, lambda x: x <= s.sums[c.until + 1] - 64)) - 1))) END AS first) f
+  WHERE c.until < c.total),
+t AS (SELECT s.row_id, doc_key, course_id, section, c.first, CASE WHEN weights[c.first + 1] > 512 THEN list_transform(range(0, len(regexp_extract_all(parts[c.first + 1], '{NOT_WS}+')), 448), lambda i: array_to_string(regexp_extract_all(parts[c.first + 1], '{NOT_WS}+')[i + 1 : i + 512], ' '))
+  ELSE [array_to_string(parts[c.first + 1 : c.until], ' ')] END AS texts FROM c JOIN s ON s.row_id = c.row_id),
+u AS (SELECT row_id, doc_key, course_id, section, first, unnest(texts) AS text, unnest(range(0, len(texts))) AS inner_index FROM t)
+SELECT doc_key || '_' || lpad((row_number() OVER g - 1)::VARCHAR, 3, '0') AS chunk_id, doc_key AS doc_id, course_id, section, (row_number() OVER g - 1)::INT AS chunk_index, text FROM u WINDOW g AS (PARTITION BY row_id ORDER BY first, inner_index)""",
+)
 def _(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents.drop("doc_id"), doc_id="doc_key")
 
@@ -245,6 +303,17 @@ def _(t: Tables) -> DataFrame:
     return _search(t)
 
 
+@query(
+    "ret3_zero_scores",
+    f"WITH chunks_once AS (SELECT n_name AS chunk_id, n_name || ' of the world' AS text FROM nation WHERE n_nationkey < 2), questions AS (SELECT n_nationkey * 50 AS question_row, n_name || ' ALGERIA' AS question_text FROM nation), {_BM25}, {_BM25_RANKED} SELECT question_row, chunk_id, rank::INT AS rank, score FROM ranked WHERE rank <= 10",
+)
+def _(t: Tables) -> DataFrame:
+    """Two rows in which every word stands once or twice: nothing scores above 0, and shared words decide."""
+    corpus = t.nation.where("n_nationkey < 2").select(F.col("n_name").alias("chunk_id"), F.concat("n_name", F.lit(" of the world")).alias("text"))
+    asked = t.nation.select((F.col("n_nationkey") * 50).alias("question_row"), F.concat("n_name", F.lit(" ALGERIA")).alias("question_text"))
+    return retrieval.bm25(asked, corpus, "question_row", "question_text", "chunk_id", "text")
+
+
 @query("ret10_result_lists", f"WITH {CHUNKS}, {_BM25}, {_BM25_RANKED} SELECT question_row, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids FROM ranked WHERE rank <= 10 GROUP BY question_row")
 def _(t: Tables) -> DataFrame:
     lists = retrieval.nested(_search(t), ["question_row"], "chunk_id")
@@ -415,6 +484,13 @@ def _(t: Tables) -> DataFrame:
     return grounding.review_summary(_assessed(t))
 
 
+@query("grd2_review_rows", f"WITH {_ASSESSED} SELECT a.answer_row, s.reason AS review_reason, array_to_string(a.retrieved_chunk_ids, ' ') AS retrieved_chunk_ids, array_to_string(g.gold_chunk_ids, ' ') AS gold_chunk_ids FROM assessed s JOIN answers a ON a.answer_row = s.answer_row JOIN gold g ON g.qid = a.qid WHERE s.review")
+def _(t: Tables) -> DataFrame:
+    # the row goes along as the question's id
+    rows = grounding.review_rows(grounding.assess(t.answers, _gold(t)).withColumn("qid", F.col("answer_row").cast("string")))
+    return rows.select(F.col("qid").cast("long").alias("answer_row"), "review_reason", "retrieved_chunk_ids", "gold_chunk_ids")
+
+
 @query(
     "grd3_postprocess",
     rf"""
@@ -460,6 +536,29 @@ def _(t: Tables) -> DataFrame:
     return grounding.agreement(rows, "question_row", "reason", "answer_row")
 
 
+@query(
+    "grd8_annotation_summary",
+    f"WITH {_ASSESSED}, l AS (SELECT a.answer_row, a.question_row, s.reason FROM answers a JOIN assessed s ON s.answer_row = a.answer_row), u AS ("
+    + "WITH "
+    + _kappa("SELECT arg_min(reason, answer_row) AS a, arg_max(reason, answer_row) AS b FROM l GROUP BY question_row HAVING count(*) = 2")
+    + ") SELECT 'total_rows' AS kind, '' AS value, count(*)::DOUBLE AS figure FROM l UNION ALL SELECT 'label_distribution', reason, count(*)::DOUBLE FROM l GROUP BY reason UNION ALL SELECT 'intra_annotator_kappa', '', kappa FROM u WHERE n > 0",
+)
+def _(t: Tables) -> DataFrame:
+    rows = _assessed(t).join(t.answers.select("answer_row", F.col("question_row").cast("string").alias("question_row")), "answer_row")
+    return grounding.annotation_summary(rows, "reason", "question_row", "answer_row")
+
+
+@query("grd10_import_sheet", f"WITH {_ASSESSED} SELECT answer_row, auto_label AS label FROM assessed WHERE auto_label <> '' AND answer_row % 3 <> 0")
+def _(t: Tables) -> DataFrame:
+    sheet = _assessed(t).where("auto_label != ''").select("answer_row", F.col("auto_label").alias("label"), F.when(F.col("answer_row") % 3 == 0, " TRUE").otherwise("false").alias("is_duplicate"))
+    return grounding.import_sheet(sheet).drop("is_duplicate")
+
+
+@query("txt17_truthy", f"SELECT answer_row, coalesce(lower({_strip('valid_citation_count::VARCHAR')}) IN ('1', 'true', 'yes', 'y'), false) AS one, coalesce(abstained, false) AS abstained FROM answers")
+def _(t: Tables) -> DataFrame:
+    return t.answers.select("answer_row", tx.truthy(F.col("valid_citation_count").cast("string")).alias("one"), tx.truthy(F.concat(F.lit(" "), F.upper(F.col("abstained").cast("string")), F.lit("\n"))).alias("abstained"))
+
+
 @query("sta6_kappa", "WITH " + _kappa("SELECT coalesce(abstained, false) AS a, coalesce(valid_citation_count, 0) = 0 AS b FROM answers"))
 def _(t: Tables) -> DataFrame:
     rows = t.answers.select(F.coalesce("abstained", F.lit(False)).alias("a"), (F.coalesce("valid_citation_count", F.lit(0)) == 0).alias("b"))
@@ -509,6 +608,45 @@ def _candidates(t: Tables) -> DataFrame:
     return joined.select(F.col("qid").alias("candidate_id"), "course_id", "chunk_id", "question_type", "question_text_en", F.coalesce("question_text_uz", F.lit("")).alias("question_text_uz"), "rating.score", "rating.question_words", "rating.answer_words")
 
 
+@query(
+    "cur2_candidates",
+    f"""
+WITH {GOLD}, r AS (SELECT g.gold_chunk_ids[1] AS chunk_id, q.course_id, lower(trim(q.question_type)) AS kind, q.question_row AS pos, q.question_text, q.reference_answer FROM questions q JOIN gold g ON g.qid = q.qid WHERE g.gold_chunk_ids[1] IS NOT NULL AND q.course_id IS NOT NULL AND q.question_type IS NOT NULL AND q.question_text IS NOT NULL AND q.reference_answer IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY pos) AS n FROM r)
+SELECT chunk_id || '_' || kind || '_0' AS candidate_id, chunk_id, course_id, kind AS question_type, question_text FROM n WHERE n <= 200""",
+)
+def _(t: Tables) -> DataFrame:
+    gold = _gold(t).select("qid", F.try_element_at("gold_chunk_ids", F.lit(1)).alias("chunk_id"))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("question_text", "reference_answer", "question_type")), F.lit("\n```"))
+    rows = _questions(t).join(gold, "qid").where("chunk_id is not null and course_id is not null and question_type is not null")
+    replies = rows.select("chunk_id", "course_id", F.col("question_type").alias("prompt_type"), F.col("question_row").alias("pos"), reply.alias("raw"))
+    return curation.candidates(replies).drop("reference_answer")
+
+
+_SHEET = rf"""{GOLD}, {LAST_QUESTION}, s AS (SELECT a.qid AS candidate_id, a.course_id, g.gold_chunk_ids[1] AS chunk_id, a.question_type, a.question_text FROM asked a JOIN gold g ON g.qid = a.qid WHERE g.gold_chunk_ids[1] IS NOT NULL AND a.course_id IS NOT NULL AND a.question_text IS NOT NULL)"""
+
+
+def _sheet(t: Tables) -> DataFrame:
+    """The last question of every id as a row of the sheet, those with an odd number of words selected."""
+    asked = last_per_key(_questions(t).select("qid", "question_row", "course_id", "question_type", "question_text"), ["qid"], "question_row")
+    gold = _gold(t).select("qid", F.try_element_at("gold_chunk_ids", F.lit(1)).alias("chunk_id"))
+    rows = asked.join(gold, "qid").where("chunk_id is not null and course_id is not null and question_text is not null")
+    sheet = rows.select(F.col("qid").alias("candidate_id"), "course_id", "chunk_id", "question_type", "question_text", F.lit("?").alias("selected"), F.lit("?").alias("gold_chunk_ids"))
+    return curation.write_back(sheet, sheet.where(tx.n_tokens(F.col("question_text")) % 2 == 1))
+
+
+@query("cur14_write_back", rf"WITH {_SHEET} SELECT candidate_id, CASE WHEN len(regexp_extract_all(question_text, '[\p{{L}}\p{{N}}_]+')) % 2 = 1 THEN '1' ELSE '' END AS selected, CASE WHEN len(regexp_extract_all(question_text, '[\p{{L}}\p{{N}}_]+')) % 2 = 1 THEN chunk_id ELSE '' END AS gold_chunk_ids FROM s")
+def _(t: Tables) -> DataFrame:
+    return _sheet(t).select("candidate_id", "selected", "gold_chunk_ids")
+
+
+@query("cur16_import", rf"WITH {_SHEET}, p AS (SELECT *, row_number() OVER (ORDER BY candidate_id) AS n FROM s WHERE len(regexp_extract_all(question_text, '[\p{{L}}\p{{N}}_]+')) % 2 = 1) SELECT 'Q' || lpad(n::VARCHAR, greatest(3, len(n::VARCHAR))::INT, '0') AS qid, regexp_replace(chunk_id, '_[^_]*$', '') AS gold_doc_ids, chunk_id AS gold_chunk_ids FROM p")
+def _(t: Tables) -> DataFrame:
+    rows = _sheet(t).select("*", F.col("question_text").alias("question_text_en"), F.lit("").alias("question_text_uz"), F.lit("").alias("reference_answer_en"), F.lit("").alias("reference_answer_uz"))
+    labels = curation.import_sheet(rows, "candidate_id")[1]
+    return labels.select("qid", F.array_join("gold_doc_ids", " ").alias("gold_doc_ids"), F.array_join("gold_chunk_ids", " ").alias("gold_chunk_ids"))
+
+
 @query("cur9_select")
 def _(t: Tables) -> DataFrame:
     return curation.select(_candidates(t), fallback_courses=("ocw_philosophy",))
