@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -58,6 +58,11 @@ def pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def lengths(texts: Iterable[str | None]) -> np.ndarray:
+    """Characters of each text; 0 for null."""
+    return np.array([len(t) if isinstance(t, str) else 0 for t in texts], dtype=np.int64)
+
+
 def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(start, end) of consecutive texts with at most `most` characters together; a longer text stands alone."""
     total = np.concatenate([[0], np.cumsum(lengths)])
