@@ -186,11 +186,12 @@ def _folder(columns: list[str], with_words: bool) -> Callable[..., Column]:
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         given = np.empty(0, np.int64)
         for batch in batches:
+            batch = batch if isinstance(batch, tuple) else (batch,)  # a single column comes by itself
             n = len(batch[0])
             done: list[list] = [[] for _ in columns]
             mixed: list[list[str]] = []
             words: list = [None] * n
-            lengths = np.sum([s.str.len().fillna(0).to_numpy(dtype=np.int64) for s in batch], axis=0)
+            lengths = np.sum([vec.lengths(s) for s in batch], axis=0)
             for a, b in vec.slices(lengths):
                 found, hashes = [], []
                 for j, s in enumerate(batch):
@@ -270,13 +271,13 @@ def _survey(df: DataFrame, columns: list[str], corpus: DataFrame | None, corpus_
     return rows, words, f
 
 
-def _repaired(rows: DataFrame, columns: list[str], words: DataFrame, f: str) -> DataFrame:
+def _repaired(rows: DataFrame, columns: list[str], words: DataFrame, f: str, unknown: bool) -> DataFrame:
     """The rows with a mixed word, their words replaced in the struct's folded forms (as columns f0, f1 ... of struct `f`)."""
     row = _spare(rows, "_row")
     some = checkpointed(rows.where(F.size(f"{f}.mixed") > 0).withColumn(row, F.monotonically_increasing_id()))
     found = some.select(row, F.explode(f"{f}.mixed").alias("word"))
     table = repair_table(found.select("word"), words)
-    by_row = found.join(table, "word").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias(_spare(rows, "_repairs")))
+    by_row = found.join(table if unknown else table.where("known"), "word").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias(_spare(rows, "_repairs")))
     replace = F.pandas_udf(_replace_all, "string")
     fixed = some.join(by_row, row, "left")
     repairs_of = F.col(by_row.columns[1])
@@ -284,9 +285,10 @@ def _repaired(rows: DataFrame, columns: list[str], words: DataFrame, f: str) ->
     return fixed.withColumn(f, F.struct(*new))
 
 
-def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame | None = None, corpus_columns: list[str] | None = None) -> DataFrame:
+def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame | None = None, corpus_columns: list[str] | None = None, unknown: bool = True) -> DataFrame:
     """`df` with `columns` in the consistent form. The vocabulary is that of `corpus` (default: `df` itself).
 
+    A mixed word of which no repair occurs in the vocabulary stays as it is unless `unknown`.
     Two passes over the texts: one finds mixed words and the vocabulary, the other gives the rows without
     a mixed word, nearly all, without a shuffle; those with one are written down by the first pass and
     joined with the repairs of their words. Rows keep no order; `key` is not used to tell them apart."""
@@ -296,7 +298,7 @@ def consistent(df: DataFrame, key: str, columns: list[str], corpus: DataFrame |
     def out(part: DataFrame) -> DataFrame:
         return part.select(*[F.col(f"{f}.f{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
-    return out(rest).unionByName(out(_repaired(rows, columns, words, f)))
+    return out(rest).unionByName(out(_repaired(rows, columns, words, f, unknown)))
 
 
 def changed(df: DataFrame, key: str, columns: list[str], **corpus) -> DataFrame:
@@ -307,7 +309,7 @@ def changed(df: DataFrame, key: str, columns: list[str], **corpus) -> DataFrame:
     narrow = df.select(key, *columns)
     rows, words, f = _survey(narrow, columns, corpus.get("corpus"), corpus.get("corpus_columns"), changed=True)
     left = F.pandas_udf(_mixed_left, "boolean")
-    fixed = _repaired(rows, columns, words, f)
+    fixed = _repaired(rows, columns, words, f, corpus.get("unknown", True))
 
     def fields(part: DataFrame, differs: list[Column]) -> DataFrame:
         return part.select(key, F.explode(F.array_compact(F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, columns)]))).alias("field"))

@@ -104,7 +104,7 @@ def sentences(text: str) -> list[str]:
 
 def _plain_sentences(texts: list[str]) -> Iterator[list[str]]:
     """Of every text its sentences, undisguised, in the form of `lexicon.bare`."""
-    for a, b in vec.slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+    for a, b in vec.slices(vec.lengths(texts)):
         cut = [sentences(t) for t in texts[a:b]]
         parts = [s for c in cut for s in c]
         flagged = _disguised(parts).tolist() if parts else []
@@ -317,7 +317,7 @@ def score(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for a, b in vec.slices(whole[text].str.len().fillna(0).to_numpy(np.int64)):
+            for a, b in vec.slices(vec.lengths(whole[text])):
                 pdf = whole.iloc[a:b]
                 got = judge([t if t is not None else "" for t in pdf[text]], model)
                 out = pdf[[key, *keep]].copy()

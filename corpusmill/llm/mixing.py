@@ -85,7 +85,7 @@ def _slots(sources: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, sources: DataFrame, key: str = "doc_id", total: int | None = None, block: int = BLOCK_TOKENS, seed: int = SEED, counted: DataFrame | None = None) -> DataFrame:
-    """slot, source, block, place (tokens of the source before it), doc_id, copy (from 0), n_tokens: the mixture, in order of slot and place.
+    """slot, source, block, place (tokens of the source before it), doc_id, copy (from 0), n_tokens: the mixture, whose order is that of slot and place (rows come in none).
 
     A document belongs to the mixture if more than half of it lies inside its source's quota."""
     # the counts, narrow rows, are read several times: they are written once and no text is encoded twice

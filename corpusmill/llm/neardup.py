@@ -77,7 +77,7 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, b in vec.slices(pdf["text"].str.len().fillna(0).to_numpy(np.int64)):
+            for a, b in vec.slices(vec.lengths(pdf["text"])):
                 own, h = _hash_sets(pdf["text"].iloc[a:b])
                 yield pd.DataFrame({"key": pdf["key"].iloc[a:b], "words": _split(h, own, b - a)})
 

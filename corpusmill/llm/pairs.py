@@ -350,7 +350,7 @@ def detect(questions: DataFrame, answers: DataFrame, samples: DataFrame) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for a, b in vec.slices((whole["value"].str.len().fillna(0) + whole["question"].str.len().fillna(0)).to_numpy(np.int64)):
+            for a, b in vec.slices(vec.lengths(whole["value"]) + vec.lengths(whole["question"])):
                 pdf = whole.iloc[a:b]
                 defect, share = judge(list(pdf["question"]), list(pdf["value"]), model, list(pdf["at_limit"]))
                 out = pdf[["field", "record_row"]].copy()

@@ -64,6 +64,20 @@ def test_consistent_uses_the_vocabulary(spark):
     cases = {tuple(r) for r in canonical.changed(df, "k", ["a", "b"]).collect()}
     assert cases == {(1, "a"), (3, "b"), (5, "a")}
     assert canonical.changed(df.limit(0), "k", ["a", "b"]).count() == 0
+    strict = {r["k"]: (r["a"], r["b"]) for r in canonical.consistent(df, "k", ["a", "b"], unknown=False).collect()}
+    assert strict[1] == ("сат x", "ok") and strict[3] == rows[2][1:]
+    # keys need not tell rows apart
+    again = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (7, "сат"), (7, "x")], "k long, a string")
+    assert sorted(r["a"] for r in canonical.consistent(again, "k", ["a"]).collect()) == ["x", "сат", "сат x", "сат x"]
+    assert canonical.changed(again, "k", ["a"]).count() == 2
+
+
+def test_mixed_words_in_batches():
+    """As one regular expression finds them, text by text."""
+    texts = ["", "a" + "б", "a' б", "a'б", "x́я and α_z", "один two три", "aб" + "c" * 50, "日a б", "б" + "日" + "a"]
+    expression = canonical.regex.compile(r"[\p{L}\p{M}']*(?:\p{Latin}[\p{M}']*[\p{Cyrillic}\p{Greek}]|\p{Cyrillic}[\p{M}']*[\p{Latin}\p{Greek}]|\p{Greek}[\p{M}']*[\p{Latin}\p{Cyrillic}])[\p{L}\p{M}']*")
+    assert canonical.mixed_words(texts)[0] == [list(dict.fromkeys(expression.findall(t))) for t in texts]
+    assert canonical.fold_all([None, *texts]) == [None, *map(canonical.fold, texts)]
 
 
 # ------------------------------------------------------------------ p2
