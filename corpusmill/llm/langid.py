@@ -17,12 +17,14 @@ two texts are written in the same language.
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.functions import vec
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: n-grams kept in a language's profile.
 PROFILE_SIZE = 1500
 #: n-grams of a segment that are ranked.
@@ -110,6 +112,28 @@ def fit(samples: DataFrame, language: str = "language", script: str = "script",
     return _profiles(counts)
 
 
+@functools.lru_cache(maxsize=4)
+def _table(grams: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 2^16 slots the n-gram and its number, and whether several n-grams fall on the slot."""
+    own = np.frombuffer(grams, np.uint64)
+    slot = ((own * _SPREAD) >> np.uint64(48)).astype(np.int64)
+    gram, number = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+    gram[slot], number[slot] = own, np.arange(len(own))
+    return gram, number, np.bincount(slot, minlength=1 << 16) > 1
+
+
+def _numbers(g: np.ndarray, grams: np.ndarray, gram: np.ndarray, number: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """The number of every n-gram: its place in `grams`, or behind all of them by 20 bits of a hash."""
+    spread = g * _SPREAD
+    slot = (spread >> np.uint64(48)).astype(np.int64)
+    out = np.where(gram[slot] == g, number[slot], len(grams) + ((spread >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64))
+    doubt = np.flatnonzero(several[slot])
+    at = np.minimum(np.searchsorted(grams, g[doubt]), len(grams) - 1)
+    found = grams[at] == g[doubt]
+    out[doubt[found]] = at[found]
+    return out
+
+
 def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
     """(mean out-of-place distance [texts, profiles] in 0..1, n-grams ranked per text).
 
@@ -121,11 +145,11 @@ def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndar
     if not len(g):
         return np.ones((len(texts), k)), np.zeros(len(texts), np.int64)
     size = len(profiles.grams)
-    at = np.minimum(np.searchsorted(profiles.grams, g), size - 1)
-    known = profiles.grams[at] == g
-    number = np.where(known, at, size + (vec.mix(g) >> np.uint64(44)).astype(np.int64))
-    pairs, n = np.unique((w.astype(np.int64) << 22) | number, return_counts=True)
-    w, number = pairs >> 22, pairs & ((1 << 22) - 1)
+    number = _numbers(g, profiles.grams, *_table(profiles.grams.tobytes()))
+    pairs = np.sort((w.astype(np.int64) << 22) | number)
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    n = np.diff(np.concatenate([first, [len(pairs)]]))
+    w, number = pairs[first] >> 22, pairs[first] & ((1 << 22) - 1)
     order = np.argsort((w << 32) | (np.maximum(1023 - n, 0) << 22) | number, kind="stable")
     w, number = w[order], number[order]
     start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))

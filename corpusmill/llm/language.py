@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.functions import vec
+
 from . import langid
 
 #: Letters that a segment needs to count as a sentence in its language, and its words.
@@ -47,13 +49,15 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _judge(texts: list[str], profiles: langid.Profiles) -> tuple[list, list, list, list]:
+def _judge(texts: list[str], profiles: langid.Profiles, with_segments: bool = True) -> tuple[list, list, list, list]:
     cuts = [segments(t) for t in texts]
     names = np.array(sorted(set(profiles.languages)) + [None], dtype=object)
     parts = [t[a:b] for t, c in zip(texts, cuts) for a, b in c]
     best, sure, by = langid.identify(parts, profiles)
-    letters = np.array([sum(map(str.isalpha, p)) for p in parts], dtype=np.float64)
+    codes, offsets = vec.pack(parts)
+    letters = np.diff(np.concatenate([[0], np.cumsum(vec.letter_table()[codes])])[offsets]).astype(np.float64)
     words = np.array([len(p.split()) for p in parts])
+    whole_sentence = (letters >= SENTENCE_LETTERS) & (words >= SENTENCE_WORDS) & (sure >= SENTENCE_CONFIDENCE) & (best >= 0)
     languages, confidences, mixed, segs = [], [], [], []
     at = 0
     for c in cuts:
@@ -68,25 +72,28 @@ def _judge(texts: list[str], profiles: langid.Profiles) -> tuple[list, list, lis
         top = int(np.lexsort((lean, -votes))[0])
         languages.append(names[top])
         confidences.append(float(votes[top] / max(weight.sum(), 1)))
-        whole = (letters[k] >= SENTENCE_LETTERS) & (words[k] >= SENTENCE_WORDS) & (sure[k] >= SENTENCE_CONFIDENCE) & (best[k] >= 0)
-        found = sorted(set(names[best[k][whole]]))
+        found = sorted(set(names[best[k][whole_sentence[k]]]))
         mixed.append(found if len(found) > 1 else [])
-        segs.append([{"start": a, "n_chars": b - a, "language": names[x], "confidence": float(s)} for (a, b), x, s in zip(c, best[k], sure[k])])
+        segs.append([{"start": a, "n_chars": b - a, "language": names[x], "confidence": float(s)} for (a, b), x, s in zip(c, best[k], sure[k])] if with_segments else [])
     return languages, confidences, mixed, segs
 
 
-def detect(df: DataFrame, key: str, columns: list[str], samples: DataFrame, carry: Column | None = None) -> DataFrame:
+def detect(df: DataFrame, key: str, columns: list[str], samples: DataFrame, carry: Column | None = None, with_segments: bool = True) -> DataFrame:
     """key, field, language, confidence, mixed (the languages of a mixed text, else empty), segments (start, n_chars, language, confidence).
 
     One row for each of `columns` of each row; `samples` are labelled sentences (language, script, text).
-    `carry`, a string, comes out as column `carried`, so that nothing need be joined back."""
+    `carry`, a string, comes out as column `carried`, so that nothing need be joined back. Segments are
+    left empty where they are not asked for."""
     profiles = langid.fit(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for c in columns:
-                lang, sure, mixed, segs = _judge([t if t is not None else "" for t in pdf[f"text_{c}"]], profiles)
-                yield pd.DataFrame({"key": pdf["key"], "field": c, "language": pd.Series(lang, dtype=object), "confidence": sure, "mixed": mixed, "segments": segs, "carried": pdf["carried"]})
+                for a, b in vec.slices(vec.lengths(pdf[f"text_{c}"])):
+                    lang, sure, mixed, segs = _judge([t if t is not None else "" for t in pdf[f"text_{c}"].iloc[a:b]], profiles, with_segments)
+                    out = pd.DataFrame({"key": pdf["key"].iloc[a:b].to_numpy(), "field": c, "language": pd.Series(lang, dtype=object), "confidence": sure, "mixed": mixed, "segments": segs})
+                    out["carried"] = pdf["carried"].iloc[a:b].to_numpy()
+                    yield out
 
     schema = "key long, field string, language string, confidence double, mixed array<string>, segments array<struct<start:int,n_chars:int,language:string,confidence:double>>, carried string"
     carried = F.lit(None).cast("string") if carry is None else carry
@@ -105,7 +112,7 @@ def label_code(label: Column) -> Column:
 
 def issues(df: DataFrame, key: str, columns: list[str], label: str, samples: DataFrame) -> DataFrame:
     """(key, field, issue, language): labels that are missing or wrong for the first of `columns`, and the languages of mixed texts."""
-    found = detect(df, key, columns, samples, carry=label_code(F.col(label))).select(key, "field", "language", "mixed", "carried")
+    found = detect(df, key, columns, samples, carry=label_code(F.col(label)), with_segments=False).select(key, "field", "language", "mixed", "carried")
     wrong = F.when(F.col("carried").isNull(), "missing").when(F.col("carried") != F.col("language"), "wrong")
     judged = (F.col("field") == columns[0]) & F.col("language").isNotNull() & wrong.isNotNull()
     case = F.when(F.size("mixed") > 0, F.transform("mixed", lambda x: F.struct(F.lit("mixed").alias("issue"), x.alias("language"))))

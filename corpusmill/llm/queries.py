@@ -59,7 +59,7 @@ def p2_found(t: Tables) -> DataFrame:
 
 @_query
 def p2_languages(t: Tables) -> DataFrame:
-    return language.detect(t.questions, "question_row", BOTH, t.lang_samples).select("question_row", "field", "language", "confidence", "mixed")
+    return language.detect(t.questions, "question_row", BOTH, t.lang_samples, with_segments=False).select("question_row", "field", "language", "confidence", "mixed")
 
 
 @_query
