@@ -232,3 +232,36 @@ def test_quota_goes_on_where_a_run_stopped(spark):
     got = curation.candidates(replies, 4, held)
     assert sorted(r["chunk_id"] for r in got.collect()) == ["c0", "c6", "c7"]
     assert curation.candidates(replies, 4, held.limit(0)).count() == 6
+
+
+@pytest.mark.parametrize("hot,held", [(3, 10), (3, 0), (1000, 10)])
+def test_hot_keys_are_dealt_over_parts(spark, monkeypatch, hot, held):
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", held)
+    left = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 20), (3, 21), (None, 22)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (9, "z")], "k int, t string")
+    got = lookup.join_split(left, right, "k", "v", hot=hot)
+    want = left.join(right, "k", "left")
+    assert sorted(map(tuple, got.select("k", "v", "t").collect()), key=str) == sorted(map(tuple, want.select("k", "v", "t").collect()), key=str)
+
+
+def test_contents_have_numbers_and_addresses(spark):
+    page = 'x __PRELOADED_STATE__ = {"content": {"book": {"tree": {"contents": [{"slug": "2-1-a", "title": "<b>On</b> a"}, {"slug": "index", "title": "I"}, {"slug": "intro"}]}}}}'
+    pages = spark.createDataFrame([(1, "logic", page), (2, "logic", page), (3, "other", None)], "page_id int, book string, html string")
+    got = sorted(map(tuple, html.toc(pages, book="book", base_url="https://s").collect()))
+    assert got == [("logic", "2-1-a", "On a", "2", "1", "https://s/books/logic/pages/2-1-a"), ("logic", "intro", "intro", None, None, "https://s/books/logic/pages/intro")]
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("ocw_philosophy", "A passage."), ("x", None)], "c string, p string")
+    made = [r[0] for r in df.select(tx.question_prompt("factual", F.col("c"), F.col("p"))).collect()]
+    assert "textbook of philosophy." in made[0] and "Passage:\nA passage.\n" in made[0] and '{"question_type": "factual", ' in made[0] and "textbook of x." in made[1]
+    assert df.select(tx.translation_prompt(F.col("p"))).first()[0].endswith("\n\nA passage.")
+    with pytest.raises(ValueError):
+        tx.question_prompt("other", F.col("c"), F.col("p"))
+
+
+def test_annotation_summary(spark):
+    rows = spark.createDataFrame([("q1", "correct_grounded", "g1"), ("q1", "correct_grounded", "g1"), ("q2", "unsupported", "g2"), ("q2", "unsupported", "g2"), ("q3", "unsupported", "")], "qid string, label string, g string").withColumn("pos", F.monotonically_increasing_id())
+    got = {(r["kind"], r["value"]): r["figure"] for r in grounding.annotation_summary(rows, "label", "g", "pos").collect()}
+    assert got == {("total_rows", ""): 5, ("label_distribution", "correct_grounded"): 2, ("label_distribution", "unsupported"): 3, ("intra_annotator_kappa", ""): 1}
+    assert {r["kind"] for r in grounding.annotation_summary(rows.where("g = ''"), "label", "g", "pos").collect()} == {"total_rows", "label_distribution"}
