@@ -253,7 +253,7 @@ def fit(documents: DataFrame, samples: DataFrame, text: str = "text") -> Model:
     follows from their number are collected, so the driver gets about TRAIN_SENTENCES of each kind, whatever the partitions."""
     from corpusmill.session import checkpointed
 
-    gold = samples.select("category", "text").where("text is not null and category is not null").limit(SAMPLE_ROWS).toPandas()
+    gold = samples.select("category", "text").where("text is not null and category is not null").limit(SAMPLE_ROWS).toPandas().sort_values(["category", "text"])
     sampled = sampled_words(list(gold["text"]), list(gold["category"]))
     survey = checkpointed(_survey(documents, text, sampled))
     counted = survey.where(~F.col("kind").isin(*KINDS)).groupBy("kind", "content").agg(F.sum("n").alias("n")).toPandas()

@@ -104,7 +104,7 @@ def _profiles(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Profiles:
 
 def fit(samples: DataFrame, language: str = "language", script: str = "script", text: str = "text") -> Profiles:
     """Profiles from labelled sentences; reads SAMPLE_ROWS rows at most (the table is small and fixed)."""
-    rows = samples.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(language, script, text).limit(SAMPLE_ROWS).toPandas()
+    rows = samples.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(language, script, text).limit(SAMPLE_ROWS).toPandas().sort_values([language, script, text])
     counts = {}
     for (lang, scr), part in rows.groupby([language, script]):
         _, g, n = _counted([" ".join(part[text])])

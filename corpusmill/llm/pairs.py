@@ -45,7 +45,7 @@ LANGUAGE_LEAD = 0.35
 #: Words that a foreign answer of the training set has at least.
 FOREIGN_WORDS = 6
 #: Log-odds of the refusal model from which a clause is likely one, surely one, and below which it is hardly one.
-LIKELY, SURE, UNLIKELY = 0.7, 2.0, -1.5
+LIKELY, SURE, UNLIKELY = 0.3, 2.0, -1.5
 
 _CITATION = re.compile(r"\s*\[[^\[\]\s]*\]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
@@ -283,7 +283,7 @@ def fit(questions: DataFrame, samples: DataFrame) -> Model:
     """Trigrams from the language samples; the rest from about TRAIN_ROWS pairs, those with the smallest hashes.
 
     The hash from which a row is left out follows from the number of rows, so no task gives more than its share."""
-    s = samples.select("language", "text").where("text is not null and language is not null").limit(SAMPLE_ROWS).toPandas()
+    s = samples.select("language", "text").where("text is not null and language is not null").limit(SAMPLE_ROWS).toPandas().sort_values(["language", "text"])
     rows = questions.select("question_row", "question_text", "reference_answer").where("question_text is not null and reference_answer is not null")
     share = TRAIN_ROWS / max(rows.count(), 1)
     drawn = rows.where(F.pmod(F.xxhash64("question_row"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))).select("question_row", "question_text", "reference_answer").toPandas()

@@ -18,6 +18,8 @@ from . import cues, ngrams
 DECLINING = {
     "en": """
 (|Honestly, |Sorry, |Unfortunately, |I'm afraid )(I|we) (do not|don't) (|really |actually )(know|have) (|the answer|the answer to this|an answer|an answer for you|enough information|any information on this|any knowledge of {t}|what to say here)
+(I|We) (do not|don't|really don't|cannot|can't|could not|won't|must not|may not) (know|answer|say|tell|respond|comment|help|discuss it|judge)
+(Don't know|Do not know|Can't say|Cannot say|Can't tell|Can't help|Not known|Not sure, no answer|I've no idea|I have no idea|I don't have it|I wouldn't know)
 I have (no|not the slightest|not the least) (idea|clue|knowledge of this|knowledge about {t}|information about this|information on {t}|opinion on this|answer to give|answer for you)
 (I|we) (cannot|can't|could not|am unable to|are not able to|am not able to) (|really )(answer|respond|reply|say|tell|comment|help|assist|judge|tell you that|say anything on this|answer this question|answer that one|help you with this|help with that request|give a reply|give you an answer|offer an opinion)
 (I|we) (won't|will not|would rather not|prefer not to|choose not to|must decline to|have to decline to|refuse to|decline to|am going to refrain from|would prefer not to) (answer|answer this|respond|comment|comment on this|discuss this|discuss {t}|discuss that topic|talk about this|speak about that|go into this|get into {t}|take a position)
@@ -56,6 +58,7 @@ I (must|have to|need to|am going to) (stop|refuse|say no|decline|turn this down|
 """,
     "uz": """
 (|Afsuski, |Uzr, |Kechirasiz, )(bilmayman|bilmadim|buni bilmayman|javobini bilmayman|bu haqda bilmayman|bu haqda hech narsa bilmayman|bila olmadim|bundan xabarim yo'q)
+(Bilmayman|Bilmadim|Ayta olmayman|Aytolmayman|Javobim yo'q|Javob yo'q|Javob bermayman|Yordam bera olmayman|Gapirmayman|Noma'lum menga|Xabarim yo'q|Rad etaman)
 (|Afsuski, |Uzr, |Kechirasiz, |Kechiring, )(men |)(bu savolga |bunga |bu haqda |bu borada |{t} haqida |bunday savollarga |sizga )(javob bera olmayman|javob berolmayman|javob bermayman|javob qaytara olmayman|javob qaytarmayman|biror narsa deya olmayman|hech narsa deya olmayman|hech narsa ayta olmayman|aniq ayta olmayman|yordam bera olmayman|yordam berolmayman|gapira olmayman|gapirolmayman|gapirishni istamayman|fikr bildira olmayman|fikr bildirmayman|izoh bera olmayman|izoh bermayman|to'xtala olmayman)
 Men (bu savolga |bunga |bunday savollarga |)javob berish(dan|ni) (bosh tortaman|o'zimni tiyaman|rad etaman|istamayman|xohlamayman|to'g'ri deb bilmayman)
 Men (bu mavzuda|bunday mavzularda|bu haqda|{t} haqida) (gaplashmayman|suhbatlashmayman|gaplasha olmayman|muhokama yurita olmayman|so'zlamayman|so'z yuritmayman)
@@ -84,6 +87,7 @@ Menda (bu haqda |bu borada |bunga |{t} haqida |)(ma'lumot yo'q|hech qanday ma'lu
 """,
     "ru": """
 (|К сожалению, |Извините, |Увы, |Простите, )(я |)(не знаю|этого не знаю|не знаю ответа|не могу знать|ничего об этом не знаю|не имею понятия|понятия не имею|не в курсе)
+(Не знаю|Не скажу|Не отвечу|Не могу сказать|Не могу помочь|Ответа нет|Нет ответа|Отказываюсь|Понятия не имею|Не в курсе|Без понятия|Я пас)
 (|К сожалению, |Извините, |Увы, |Простите, |Боюсь, )(я |)(не могу|не смогу|не в состоянии|не вправе|не имею права) (ответить|ответить на этот вопрос|отвечать на такие вопросы|помочь|вам помочь|помочь с этим|ничего сказать|об этом говорить|обсуждать это|обсуждать {t}|это комментировать|дать ответ|судить об этом)
 Я (не буду|не стану|не хочу|не хотел бы|предпочитаю не|предпочёл бы не|вынужден отказаться) (отвечать|отвечать на это|отвечать на этот вопрос|говорить об этом|обсуждать эту тему|комментировать|касаться этого)
 (Отказываюсь|Вынужден отказаться|Воздерживаюсь|Предпочту воздержаться) (отвечать|от ответа|от комментариев|обсуждать это)
@@ -189,8 +193,14 @@ def sentences(n: int, rng: random.Random, topics: list[str]) -> tuple[list[str],
     return [expand(ways[i % len(ways)], rng, topics) for i in range(n)], [expand(others[i % len(others)], rng, topics) for i in range(n)]
 
 
-def fit(clauses: list[str], sound: list[str], topics: list[str], seed: int = 5, n: int = 10_000) -> ngrams.Linear:
-    """The model from sentences of the grammar, `sound` sentences that are no refusals, and `clauses` of the corpus's answers.
+def fit(clauses: list[str], sound: list[str], topics: list[str], seeds: tuple[int, ...] = (5, 6, 7), n: int = 6000) -> ngrams.Linear:
+    """The mean of models of several draws of `n` sentences, so that no wording depends on the luck of one."""
+    models = [_fit(clauses, sound, topics, seed, n) for seed in seeds]
+    return ngrams.Linear(np.mean([m.weights.T for m in models], axis=0), np.mean([m.bias for m in models], axis=0))
+
+
+def _fit(clauses: list[str], sound: list[str], topics: list[str], seed: int, n: int) -> ngrams.Linear:
+    """A model from sentences of the grammar, `sound` sentences that are no refusals, and `clauses` of the corpus's answers.
 
     Two rounds: clauses that the first one takes for refusals with little doubt are examples of them in
     the second, the doubtful ones are left out, so that a refusal among the clauses teaches no answer."""

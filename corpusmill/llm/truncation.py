@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.operators.lookup import join_split
+
 from . import cues
 
 #: A source with a larger share of unterminated sentences below its length limit does without terminators.
@@ -219,7 +221,8 @@ def values_of(questions: DataFrame, answers: DataFrame, asked: bool = True) -> D
     """The two text fields as (field, record_row, source, value, question); without the question, and its join, if not `asked`.
 
     The source of an answer is its run, that of a reference answer its course and language. Answers
-    take the question's text along by an equi-join; a hot question is split by the skew join."""
+    take the question's text along by an equi-join, in which a question with very many answers is dealt over
+    several parts."""
     none = F.lit("")
     refs = questions.select(
         F.lit("questions.reference_answer").alias("field"),
@@ -232,7 +235,7 @@ def values_of(questions: DataFrame, answers: DataFrame, asked: bool = True) -> D
     if not asked:
         return refs.drop("question").unionByName(given.select(F.lit("answers.answer").alias("field"), "record_row", "source", "value"))
     texts = questions.select("question_row", F.col("question_text").alias("question"))
-    given = given.join(texts, "question_row", "left").select(F.lit("answers.answer").alias("field"), "record_row", "source", "value", "question")
+    given = join_split(given, texts, "question_row", "record_row").select(F.lit("answers.answer").alias("field"), "record_row", "source", "value", "question")
     return refs.unionByName(given)
 
 
