@@ -35,9 +35,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.session import checkpointed
-
 from corpusmill.functions import vec
+from corpusmill.operators.lookup import join_split
+from corpusmill.session import checkpointed
 
 #: Commonest words whose counts are sent to the executors (8 + 8 bytes each).
 ORDERED_WORDS = 1_000_000
@@ -322,12 +322,13 @@ def _items(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, tu
     """(sets by item, members by key, word counts); an item is a distinct set, named by the least key that has it."""
     rows = checkpointed(word_sets(df, key, text))
     counted = word_counts(rows)
-    full = rows.where(F.size("words") > 0).select("key", "words", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-    # a set held by a third of all rows is aggregated map-side: min() needs no list of its keys
-    names = full.groupBy("h1", "h2").agg(F.min("key").alias("item"))
-    members = full.select("key", "h1", "h2").join(names, ["h1", "h2"]).select("key", "item")
-    sets = full.join(names.select(F.col("item").alias("key")), "key", "left_semi").select(F.col("key").alias("item"), "words")
-    return sets, members, counted
+    full = rows.where(F.size("words") > 0).select("key", "words", F.struct(F.xxhash64("words").alias("h1"), F.hash("words").alias("h2")).alias("set"))
+    # a set held by a third of all rows is aggregated map-side: min() needs no list of its keys; and its rows are dealt over several parts
+    names = full.groupBy("set").agg(F.min("key").alias("item"))
+    named = join_split(full, names, "set", "key", "inner")
+    members = checkpointed(named.select("key", "item", F.when(F.col("key") == F.col("item"), F.col("words")).alias("words")))
+    sets = members.where("key = item").select("item", "words")
+    return sets, members.select("key", "item"), counted
 
 
 def similar_rows(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -335,7 +336,6 @@ def similar_rows(df: DataFrame, key: str, text: str, threshold: float) -> DataFr
 
     All pairs are the demanded result here; where groups do, use `classes`."""
     sets, members, counted = _items(df, key, text)
-    members = checkpointed(members)
     links = similar_items(sets, threshold, counted).select("a", "b")
     left, right = members.select(F.col("item").alias("a"), F.col("key").alias("ka")), members.select(F.col("item").alias("b"), F.col("key").alias("kb"))
     across = links.join(left, "a").join(right, "b")
