@@ -139,8 +139,8 @@ def _kind_table() -> np.ndarray:
     return table
 
 
-def mixed_words(texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
-    """Of each text its distinct words with letters of two scripts side by side, and the hashes of all other words of two letters or more."""
+def mixed_words(texts: list[str], hashed: bool = True) -> tuple[list[list[str]], np.ndarray]:
+    """Of each text its distinct words with letters of two scripts side by side, and, if asked for, the hashes of all other words of two letters or more."""
     codes, offsets = vec.pack(texts)
     out: list[list[str]] = [[] for _ in texts]
     kind = _kind_table()[codes]
@@ -161,6 +161,8 @@ def mixed_words(texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
         x = texts[i][starts[w] - at : ends[w] - at]
         if x not in out[i]:
             out[i].append(x)
+    if not hashed:
+        return out, np.empty(0, np.int64)
     plain = ends - starts >= 2
     plain[odd] = False
     return out, vec.span_hashes(codes, starts[plain], ends[plain]).view(np.int64)
@@ -197,7 +199,7 @@ def _folder(columns: list[str], with_words: bool) -> Callable[..., Column]:
                 for j, s in enumerate(batch):
                     folded = fold_all([t if isinstance(t, str) else None for t in s.iloc[a:b]])
                     done[j] += folded
-                    m, h = mixed_words([t if t is not None else "" for t in folded])
+                    m, h = mixed_words([t if t is not None else "" for t in folded], with_words)
                     found.append(m), hashes.append(h)
                 mixed += [list(dict.fromkeys(w for m in row for w in m)) for row in zip(*found)]
                 if with_words:
@@ -254,7 +256,7 @@ def _replace_all(text: pd.Series, table: pd.Series) -> pd.Series:
 
 
 def _mixed_left(text: pd.Series) -> pd.Series:
-    return pd.Series([bool(m) for m in mixed_words([t if t is not None else "" for t in text])[0]], index=text.index)
+    return pd.Series([bool(m) for m in mixed_words([t if t is not None else "" for t in text], False)[0]], index=text.index)
 
 
 def _survey(df: DataFrame, columns: list[str], corpus: DataFrame | None, corpus_columns: list[str] | None, changed: bool) -> tuple[DataFrame, DataFrame, str]:
