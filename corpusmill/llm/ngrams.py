@@ -83,15 +83,22 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, further: np
     f, own = once // n, once % n
     often = np.bincount(f, minlength=1 << BITS)[f] > 1
     f, own = f[often], own[often]
-    used, f = np.unique(f, return_inverse=True)
+    used, first = np.unique(f, return_index=True)
+    f = np.repeat(np.arange(len(used)), np.diff(np.append(first, len(f))))
+    # the same pairs once in the order of features, for the gradient, and once in that of texts, for the scores
+    by_text = np.argsort(own, kind="stable")
+    f_by_text, spoken = f[by_text], np.unique(own)
+    starts = np.searchsorted(own[by_text], spoken)
     for j in range(k):
         y, c = labels[:, j], weights[:, j] / max(weights[:, j].sum(), 1e-9)
         p = [np.zeros(len(used)), np.zeros(x.shape[1]), np.full(1, -1.0)]
         m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
         for step in range(1, steps + 1):
-            z = np.bincount(own, weights=p[0][f], minlength=n) * scale + x @ p[1] + p[2]
+            z = x @ p[1] + p[2]
+            if len(used):
+                z[spoken] += np.add.reduceat(p[0][f_by_text], starts) * scale[spoken]
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * c
-            grads = [np.bincount(f, weights=(error * scale)[own], minlength=len(used)) + l2 * p[0], x.T @ error + l2 * p[1], error.sum(keepdims=True)]
+            grads = [(np.add.reduceat((error * scale)[own], first) if len(used) else p[0]) + l2 * p[0], x.T @ error + l2 * p[1], error.sum(keepdims=True)]
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 s[i] = 0.999 * s[i] + 0.001 * g * g

@@ -193,29 +193,24 @@ def sentences(n: int, rng: random.Random, topics: list[str]) -> tuple[list[str],
     return [expand(ways[i % len(ways)], rng, topics) for i in range(n)], [expand(others[i % len(others)], rng, topics) for i in range(n)]
 
 
-def fit(clauses: list[str], sound: list[str], topics: list[str], seeds: tuple[int, ...] = (5, 6, 7), n: int = 6000) -> ngrams.Linear:
-    """The mean of models of several draws of `n` sentences, so that no wording depends on the luck of one."""
-    models = [_fit(clauses, sound, topics, seed, n) for seed in seeds]
-    return ngrams.Linear(np.mean([m.weights.T for m in models], axis=0), np.mean([m.bias for m in models], axis=0))
-
-
-def _fit(clauses: list[str], sound: list[str], topics: list[str], seed: int, n: int) -> ngrams.Linear:
-    """A model from sentences of the grammar, `sound` sentences that are no refusals, and `clauses` of the corpus's answers.
+def fit(clauses: list[str], sound: list[str], topics: list[str], seeds: tuple[int, ...] = (5, 6, 7), n: int = 4000) -> ngrams.Linear:
+    """The model from sentences of the grammar, `sound` sentences that are no refusals, and `clauses` of the corpus's answers.
 
     Two rounds: clauses that the first one takes for refusals with little doubt are examples of them in
-    the second, the doubtful ones are left out, so that a refusal among the clauses teaches no answer."""
-    yes, no = sentences(n, random.Random(seed), topics or ["theory"])
+    the second, the doubtful ones are left out, so that a refusal among the clauses teaches no answer. The
+    second is the mean of models of several draws of `n` sentences, so that no wording depends on the luck of one."""
     # beginnings of clauses, as cut answers end in
-    rng = random.Random(seed + 1)
+    rng = random.Random(seeds[0])
     begun = [" ".join(c.split()[: rng.randrange(1, 4)])[: rng.randrange(2, 30)] for c in clauses]
-    yes, no, own = [[cues.plain(t) for t in x] for x in (yes, no + list(sound), list(clauses) + begun)]
-    fixed = yes + no
-    label = np.concatenate([np.ones(len(yes)), np.zeros(len(no) + len(own))])[:, None]
-    weight = np.concatenate([np.ones(len(yes)), np.ones(len(no)), np.full(len(own), 0.2)])[:, None]
-    model = ngrams.train(fixed + own, label, weight)
-    if not own:
-        return model
-    p = model.scores(own)[:, 0]
-    label[len(fixed) :, 0] = p > 0
-    weight[len(fixed) :, 0] = np.where(np.abs(p) > 2.0, 1.0, 0.0)
-    return ngrams.train(fixed + own, label, weight)
+    own, known = [[cues.plain(t) for t in x] for x in (list(clauses) + begun, sound)]
+
+    def model(seed: int, label: np.ndarray, weight: np.ndarray) -> ngrams.Linear:
+        yes, no = [[cues.plain(t) for t in x] for x in sentences(n, random.Random(seed), topics or ["theory"])]
+        labels = np.concatenate([np.ones(len(yes)), np.zeros(len(no) + len(known)), label])
+        weights = np.concatenate([np.ones(len(yes) + len(no) + len(known)), weight])
+        return ngrams.train(yes + no + known + own, labels[:, None], weights[:, None], steps=60, rate=0.12)
+
+    first = model(seeds[0], np.zeros(len(own)), np.full(len(own), 0.2))
+    odds = first.scores(own)[:, 0]
+    models = [model(seed, (odds > 0) * 1.0, (np.abs(odds) > 2.0) * 1.0) for seed in seeds]
+    return ngrams.Linear(np.mean([m.weights.T for m in models], axis=0), np.mean([m.bias for m in models], axis=0))
