@@ -149,10 +149,11 @@ def slug_numbers(c: Column) -> tuple[Column, Column]:
 
 
 def section_identifier(slug: Column, prefix: Column) -> Column:
-    """prefix_chNN_sNN from the first two all-digit parts of a slug; _s00 with one; the slug itself with none."""
-    numbers = F.filter(F.split(slug, "-"), lambda x: x.rlike("^[0-9]+$"))
-    two = lambda i: F.lpad(F.element_at(numbers, i).cast("int").cast("string"), 2, "0")
-    wide = lambda i: F.when(F.length(F.element_at(numbers, i).cast("int").cast("string")) > 2, F.element_at(numbers, i).cast("int").cast("string")).otherwise(two(i))
+    """prefix_chNN_sNN from the first two all-digit parts of a slug; _s00 with one; the slug itself with none.
+
+    Digits stay text, as no integer type holds them all: leading zeros go, two digits at least stay."""
+    numbers = F.filter(F.split(slug, "-"), lambda x: x.rlike(r"^[0-9]+\z"))
+    wide = lambda i: F.regexp_replace(F.concat(F.lit("0"), F.element_at(numbers, i)), "^0*(?=[0-9]{2})", "")
     return (
         F.when(F.size(numbers) >= 2, F.concat(prefix, F.lit("_ch"), wide(1), F.lit("_s"), wide(2)))
         .when(F.size(numbers) == 1, F.concat(prefix, F.lit("_ch"), wide(1), F.lit("_s00")))

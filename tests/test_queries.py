@@ -43,3 +43,15 @@ def test_query(spark, engine, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_documents_with_ids_beyond_32_bits(spark, tmp_path):
+    ids = [1, 2**31 - 1, 2**31, 180_000_000_016, 2**63 - 1]
+    docs = [(i, "ds000001_ch02_s03", "ocw_logic", None if n % 2 else "T", "u" if n % 2 else None, f"text  {n} ") for n, i in enumerate(ids)]
+    folder = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, doc_key string, course_id string, title string, source_url string, text string").write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    got = registry.queries()["ing3_documents"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(registry.oracle_sql()["ing3_documents"]).df())
+    assert sorted(got["doc_id"]) == sorted(f"ocw_logic_ch{i:02d}_s00" for i in ids)

@@ -68,6 +68,11 @@ def test_html_and_slugs(spark):
     assert rows == [("3", "2", "ds_ch03_s02"), ("4", None, "ds_ch04_s00"), (None, None, "ds_preface_x"), (None, None, "ds_ch10_s02")]
 
 
+def test_section_numbers_of_any_length(spark):
+    slugs = ["a-2147483648", "a-180000000016-007", "0-00", "a-100-0099", "a-99999999999999999999-5", "a-12\n"]
+    assert column(spark, lambda c: tx.section_identifier(c, F.lit("ds")), slugs) == ["ds_ch2147483648_s00", "ds_ch180000000016_s07", "ds_ch00_s00", "ds_ch100_s99", "ds_ch99999999999999999999_s05", "ds_a_12\n"]
+
+
 def test_overlap(spark):
     df = spark.createDataFrame([("a b b", "b c"), ("", "x"), (None, "x"), ("x", None)], "q string, o string")
     assert [r[0] for r in df.select(tx.overlap_ratio(F.col("q"), F.col("o"))).collect()] == [0.5, 0.0, 0.0, 0.0]
